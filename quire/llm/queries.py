@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, cuckoo, token_files
+from quire.llm import bpe, cuckoo, partenum, token_files
 from quire.llm.workspace import new_folder
 
 
@@ -30,7 +30,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_token_files, op5_exact_dedup)}
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_token_files, op5_exact_dedup, op7_jaccard_join)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""

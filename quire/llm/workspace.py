@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +55,27 @@ def lookup(df: DataFrame, table: DataFrame, key: str, how: str = "left", hot: Da
     by_broadcast = df.join(F.broadcast(hot), key, "inner")
     rest = marked.filter(F.col("__hot").isNull()).drop("__hot").join(table, key, how)
     return by_broadcast.unionByName(rest)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose `column` has about `limit` bytes, or one row that has more, so that what is made of
+    a slice is small."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.cumsum(sizes + 64) // limit
+        cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
+
+
+def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch with columns replaced or added."""
+    names = [n for n in batch.schema.names if n not in new]
+    return pa.record_batch([batch.column(n) for n in names] + list(new.values()), names=names + list(new))
+
+
+def schema_with(df: DataFrame, new: dict[str, str]) -> str:
+    kept = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema if f.name not in new]
+    return ", ".join(kept + [f"`{n}` {t}" for n, t in new.items()])
