@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, cuckoo, partenum, token_files
+from quire.llm import bpe, cuckoo, kdtree, language, partenum, token_files
 from quire.llm.workspace import new_folder
 
 
@@ -20,12 +20,23 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(codec.decode("ids"), 256).alias("decoded_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out("doc_id"))
+    model = language.fit(docs.filter("not held_out"), "text", "lang", ["doc_id"])
+    return language.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     manifest = token_files.write_token_files(docs, new_folder(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kdtree.split_by_kdtree(_table(spark, sf_dir, "documents"), shards=8)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -34,7 +45,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_token_files, op5_exact_dedup, op7_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_token_files, op4_kdtree_shards, op5_exact_dedup, op7_jaccard_join)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
