@@ -86,10 +86,14 @@ class CuckooIndex:
         return ((k, v) for k, v in zip(self.keys, self.values) if k is not None)
 
 
+def text_digest(text_col: str) -> Column:
+    """The SHA-256 of a normalised text in hexadecimal: runs of ASCII white space become one space, null is empty."""
+    return F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
+
+
 def digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Each row's id and the SHA-256 of its normalised text: runs of ASCII white space become one space, null is empty."""
-    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    return df.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    """Each row's id and the digest of its text."""
+    return df.select(F.col(id_col).alias("id"), F.unhex(text_digest(text_col)).alias("digest"))
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

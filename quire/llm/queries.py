@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, cuckoo, kdtree, language, partenum, token_files
+from quire.llm import bpe, cotrain, cuckoo, kdtree, language, line_clean, mixing, partenum, surrogate, token_files
 from quire.llm.workspace import new_folder
 
 
@@ -45,7 +45,41 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_token_files, op4_kdtree_shards, op5_exact_dedup, op7_jaccard_join)}
+def op6_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = cotrain.train(docs, _table(spark, sf_dir, "labels"))
+    return cotrain.score(docs, model).select("doc_id", "score", "score_text", "score_metadata", "kept")
+
+
+def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_clean.clean_lines(docs).drop("text", "clean_text")
+
+
+def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.temperature_mix(docs, max_repeats=2.0).select("doc_id", "source", "n_tokens", "pass", "block")
+
+
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogate.replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogate-key").select("doc_id", "text", "n_entities")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_byte_bpe,
+        op2_language_id,
+        op3_token_files,
+        op4_kdtree_shards,
+        op5_exact_dedup,
+        op6_cotrained_quality,
+        op7_jaccard_join,
+        op8_line_rules,
+        op9_temperature_mix,
+        op10_surrogates,
+    )
+}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
