@@ -22,6 +22,8 @@ MAX_REPEAT = 50
 #: Per cent of the characters of words that may go with removed lines.
 MAX_LOST = 50
 SYMBOLS = "#*$%&|<>"
+#: A longer line is no notice, whatever phrase is in it.
+NOTICE_WORDS = 25
 REMEMBERED = 150_000
 
 #: What a line of prose may end with.
@@ -73,7 +75,7 @@ def line_fails(line: str, words: list[bytes]) -> bool:
         return True
     if n >= 4 and 2 * sum(a == b for a, b in zip(words, words[1:])) > n:  # boilerplate: one word over and over
         return True
-    return bool(BOILERPLATE.search(line.lower()))
+    return n <= NOTICE_WORDS and bool(BOILERPLATE.search(line.lower()))
 
 
 def repeated_words(words: list[bytes], known: dict) -> int:

@@ -20,8 +20,8 @@ ATTEMPTS = 50
 HOT_SHARE = 1000
 
 #: Titles that tell a gender. Fixed values.
-FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "Signora", "Госпожа", "г-жа")
-MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Don", "Signor", "Господин", "г-н")
+FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "Signora", "Госпожа", "Г-жа", "г-жа")
+MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Don", "Signor", "Господин", "Г-н", "г-н")
 NEUTRAL = ("Dr", "Prof")
 #: Syllables that names are made of, and their endings by gender.
 SYLLABLES = {
