@@ -14,13 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.pretoken import Spans, in_chunks, spread
+from quire.llm.workspace import schema_with, slices, with_columns
 
 #: Misses that a worker remembers; then it forgets all.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -135,6 +136,9 @@ class Codec:
         for token, i in ranks.items():
             self.by_id[i] = token
 
+    def __len__(self) -> int:
+        return len(self.tokens)
+
     def _ids(self, unique: list[bytes]) -> list[bytes]:
         entry = self.hash.order[self.hash.slots(unique)].tolist() if unique else []
         out = []
@@ -170,37 +174,52 @@ class Codec:
 
 
 class ByteBPE:
-    """Encoding and decoding as column functions.
+    """Encoding and decoding of whole columns.
 
         bpe = ByteBPE(spark, path_of_a_rank_file)
-        df.withColumn("ids", bpe.encode("text")).withColumn("bytes", bpe.decode("ids"))
-
-    `ids` are packed: unsigned 32-bit little-endian integers in a binary column, four bytes an id. A null or empty
-    text gives no ids; texts of any length are encoded whole. An id without an entry decodes to nothing; packed
-    ids of null decode to null. Other columns are carried along untouched, whatever their names.
+        encoded = bpe.encode(df)               # adds token_ids
+        texts = bpe.decode(encoded)            # adds decoded
+        both = bpe.round_trip(df)              # adds both, in one pass
+
+    Ids are packed: unsigned 32-bit little-endian integers in a binary column, four bytes an id (`unpacked` makes an
+    array of them). A null or empty text gives no ids; texts of any length are encoded whole. An id without an entry
+    decodes to nothing; ids of null decode to null. Decoded columns hold bytes. A column that already has the
+    name of a new one is replaced; all others are carried along.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        codec = spark.sparkContext.broadcast(Codec(read_ranks(path)))
+        self.codec = spark.sparkContext.broadcast(Codec(read_ranks(path)))
+
+    def encode(self, df: DataFrame, text: str = "text", ids: str = "token_ids") -> DataFrame:
+        return self._map(df, text, {ids: lambda codec, texts, _: codec.encode([t or "" for t in texts])})
 
-        @F.arrow_udf("binary")
-        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for texts in batches:
-                yield pa.array([x.tobytes() for x in codec.value.encode([t or "" for t in texts.to_pylist()])], pa.binary())
+    def decode(self, df: DataFrame, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+        return self._map(df, ids, {decoded: lambda codec, packed, _: (None if x is None else codec.decode(np.frombuffer(x, "<u4")) for x in packed)})
 
-        @F.arrow_udf("binary")
-        def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for packed in batches:
-                yield pa.array([None if x is None else codec.value.decode(np.frombuffer(x, "<u4")) for x in packed.to_pylist()], pa.binary())
+    def round_trip(self, df: DataFrame, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+        return self._map(df, text, {ids: lambda codec, texts, _: codec.encode([t or "" for t in texts]), decoded: lambda codec, _, found: map(codec.decode, found)})
 
-        self._encode, self._decode = encode, decode
+    def _map(self, df: DataFrame, column: str, steps: dict) -> DataFrame:
+        broadcast = self.codec
 
-    def encode(self, text: str | Column) -> Column:
-        return self._encode(text)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codec = broadcast.value
+            for batch in slices(batches, column):
+                given, found, new = batch.column(column).to_pylist(), None, {}
+                for name, step in steps.items():
+                    found = list(step(codec, given, found))
+                    new[name] = pa.array([x.tobytes() if isinstance(x, np.ndarray) else x for x in found], pa.binary())
+                yield with_columns(batch, new)
 
-    def decode(self, ids: str | Column) -> Column:
-        return self._decode(ids)
+        return df.mapInArrow(run, schema_with(df, dict.fromkeys(steps, "binary")))
 
 
 def n_tokens(ids: str | Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")
+
+
+def unpacked(ids: str | Column) -> Column:
+    """Packed ids as an array of integers."""
+    ids = F.col(ids) if isinstance(ids, str) else ids
+    places = F.when(F.octet_length(ids) > 0, F.sequence(F.lit(0), (F.octet_length(ids) / 4 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.when(ids.isNotNull(), F.transform(places, lambda i: F.conv(F.hex(F.reverse(ids.substr(i * 4 + 1, F.lit(4)))), 16, 10).cast("long")))

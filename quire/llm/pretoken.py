@@ -17,7 +17,7 @@ import regex
 
 LETTER, NUMBER, SPACE, OTHER, EDGE = range(5)
 #: Characters that are handled at once; a longer text is cut only where a pre-token must begin.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -100,7 +100,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _span_hashes(cps: np.ndarray, at: np.ndarray, upto: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span, all by one running sum."""
-    up, down = _powers(1 << max(20, int(len(cps)).bit_length()))
+    up, down = _powers(1 << max(19, int(len(cps)).bit_length()))
     with np.errstate(over="ignore"):
         v = (cps.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         v ^= v >> np.uint64(31)

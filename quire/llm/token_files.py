@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.pretoken import Spans, in_chunks, spread
-from quire.llm.workspace import materialize
+from quire.llm.workspace import materialize, slices
 
 LENGTH = 2048
 #: Sequences in a batch.
 BATCH = 64
 #: Pre-tokens that a worker remembers the ids of; then it forgets all.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 MANIFEST = "part int, n_documents long, n_ids long, n_sequences long, tokens string, index string"
 
@@ -139,7 +139,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, id_col: s
             sequences = _Sequences(out, width, length)
             schema = pa.schema([("id", first.schema.field("id").type), ("start", pa.int64()), ("n_tokens", pa.int64())])
             with pa.ipc.new_file(index, schema) as documents:
-                for batch in _with(first, batches):
+                for batch in slices(_with(first, batches), "text"):
                     n = []
                     for ids in codec.encode([t or "" for t in batch.column("text").to_pylist()]):
                         sequences.add(np.append(ids, np.uint32(end_id)))
