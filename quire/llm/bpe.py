@@ -222,4 +222,9 @@ def unpacked(ids: str | Column) -> Column:
     """Packed ids as an array of integers."""
     ids = F.col(ids) if isinstance(ids, str) else ids
     places = F.when(F.octet_length(ids) > 0, F.sequence(F.lit(0), (F.octet_length(ids) / 4 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.when(ids.isNotNull(), F.transform(places, lambda i: F.conv(F.hex(F.reverse(ids.substr(i * 4 + 1, F.lit(4)))), 16, 10).cast("long")))
+
+    def number(i: Column) -> Column:
+        digits = F.hex(ids.substr(i * 4 + 1, F.lit(4)))
+        return F.conv(F.concat(*[F.substr(digits, F.lit(at), F.lit(2)) for at in (7, 5, 3, 1)]), 16, 10).cast("long")
+
+    return F.when(ids.isNotNull(), F.transform(places, number))

@@ -37,6 +37,8 @@ CROWD = 8
 #: Words and sets that a worker remembers; then it forgets all.
 REMEMBERED = 150_000
 HOT_SHARE = 1000
+#: Sets that one task compares with a pivot, about.
+MEMBERS = 500
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
@@ -244,38 +246,51 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield close(sig, cls, True)[0]
 
 
-def _feature_rows(docs: DataFrame, wanted: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """The sets of the wanted classes, one row each: (class, features, n_shingles). `ids` has an id of each class."""
-    ids = ids.select("id").distinct()
+def _texts_of(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """The wanted classes' texts, (class, text). `classes` has an id for each; should ids repeat, other texts come along."""
+    ids = classes.select("id").distinct()
     if small_enough(ids):
         ids = F.broadcast(ids)
     rows = docs.join(ids, docs["id"].eqNullSafe(ids["id"]), "left_semi")
 
-    def make(sets) -> Iterator[pa.RecordBatch]:
-        for some in _blocks(((class_of(x), x) for _, x in sets if len(x)), 500):
-            yield pa.record_batch([pa.array([c for c, _ in some], pa.int64()), pa.array([x.tobytes() for _, x in some], pa.binary())], names=["class", "features"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        with np.errstate(over="ignore"):
+            for batch in slices(batches, "text"):
+                texts = batch.column("text")
+                found = [shingles(t, words, n) for t in texts.to_pylist()]
+                yield pa.record_batch([pa.array([class_of(x) if len(x) else None for x in found], pa.int64()), texts], names=["class", "text"])
+
+    return rows.mapInArrow(run, "class long, text string")
 
-    sets = rows.mapInArrow(_sets(n, make), "class long, features binary")
-    return sets.join(wanted, "class", "left_semi").dropDuplicates(["class"])
 
+def _compare(percent: int, n: int):
+    """A function for mapInArrow over rows (pivot, part, class, text) in that order, a pivot's own row first: the links
+    (a, b) of each pivot with its members. One set is held beside the one it is compared with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pivot, features = _Words(), None, np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            for batch in slices(batches, "text"):
+                a, b = [], []
+                for p, c, text in zip(*(batch.column(x).to_pylist() for x in ("pivot", "class", "text"))):
+                    found = shingles(text, words, n)
+                    if c == p:
+                        pivot, features = p, found
+                    elif p == pivot and _link(features, found, percent):
+                        a.append(p)
+                        b.append(c)
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
-def _linked(percent: int):
-    @F.arrow_udf("boolean")
-    def linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            out = []
-            for x, y in zip(left, right):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if 100 * len(small) < percent * len(large):
-                    out.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                out.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.array(out, pa.bool_())
 
-    return linked
+def _link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(small) < percent * len(large):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -300,23 +315,29 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     often = often.filter("n > 2 + floor(n_shingles / 25)").select("class")
     open_rows = materialize(crowded.join(often, "class"), "crowded")
 
-    # first round: the uncrowded pairs, and for each set in a crowd the smallest pivot of its crowds
+    # first round: each set against the smallest that it shares an uncrowded signature or a crowd with
     pivots = open_rows.groupBy("sig").agg(F.min("class").alias("a"))
-    first = open_rows.join(pivots, "sig").groupBy("class").agg(F.min("a").alias("a")).filter("a <> class").select("a", F.col("class").alias("b"))
-    links = _verify(docs, classes, pairs.unionByName(first).distinct(), n, percent)
+    first = open_rows.join(pivots, "sig").filter("a <> class").select("a", F.col("class").alias("b"))
+    pairs = materialize(_near_in_size(pairs, classes, percent), "pairs")
+    first = pairs.unionByName(_near_in_size(first.distinct(), classes, percent)).groupBy("b").agg(F.min("a").alias("a"))
+    links = _verify(docs, classes, materialize(first.select("a", "b"), "first"), n, percent)
     labels = materialize(components(links), "labels")
 
-    # later rounds: crowds that are still in several components lose a pivot each time, more of them each time
-    count = 1
+    # then pairs of different components, all uncrowded ones at once; a crowd that is still in several components is
+    # held against some of its members as pivots, which then leave it, and against more of them each time
+    rest, count = _apart(pairs, labels), 1
     while True:
         open_rows = materialize(_divided(open_rows, labels), "crowded")
-        if open_rows.isEmpty():
-            break
         chosen = materialize(_pivots(open_rows, count), "pivots")
-        edges = open_rows.join(chosen, "sig").filter("a <> class and a_label <> label").select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
-        more = _verify(docs, classes, edges, n, percent)
-        links = materialize(links.unionByName(more), "links")
-        labels = materialize(components(links), "labels")
+        edges = open_rows.join(chosen, "sig").filter("a <> class and a_label <> label").select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b"))
+        edges = _near_in_size(edges.distinct(), classes, percent)
+        edges = materialize(edges if rest is None else edges.unionByName(rest).distinct(), "pairs")
+        rest = None
+        if not edges.isEmpty():
+            links = materialize(links.unionByName(_verify(docs, classes, edges, n, percent)), "links")
+            labels = materialize(components(links), "labels")
+        if chosen.isEmpty():
+            break
         open_rows = open_rows.join(chosen.select("sig", F.col("a").alias("class")), ["sig", "class"], "left_anti").select("sig", "class")
         count *= 4
 
@@ -343,14 +364,30 @@ def _pivots(rows: DataFrame, count: int) -> DataFrame:
     return best.select("sig", F.col("p.class").alias("a"), F.col("p.label").alias("a_label"))
 
 
+def _near_in_size(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes allow a link."""
+    left, right = (classes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs of different components. Those that were compared and did not link are among them, again."""
+    left, right = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}")) for c in "ab")
+    joined = pairs.join(left, "a", "left").join(right, "b", "left")
+    return joined.filter(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b")
+
+
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold."""
-    sizes = classes.select("class", "n_shingles")
-    left, right = (sizes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
-    pairs = pairs.join(left, "a").join(right, "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
-    pairs = materialize(pairs, "pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "wanted")
-    sets = materialize(_feature_rows(docs, wanted, classes.join(wanted, "class"), n), "sets")
-    one, two = (sets.select(F.col("class").alias(c), F.col("features").alias(f"f_{c}")) for c in "ab")
-    joined = pairs.join(one, "a").join(two, "b")
-    return materialize(joined.filter(_linked(percent)("f_a", "f_b")).select("a", "b"), "links")
+    """The pairs (a, b) of classes whose sets reach the threshold.
+
+    The text of b goes to its pivot a, that of a once to each part of the group that is made for it; a pivot
+    with many members has its group in parts of about MEMBERS. Only texts are moved, which shrink well in a shuffle.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    members = pairs.join(sizes, "a").select(F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("class"))
+    own = sizes.select(F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("class"))
+    deliveries = materialize(members.unionByName(own), "deliveries")
+    texts = _texts_of(docs, classes.join(deliveries.select("class").distinct(), "class"), n)
+    sent = texts.join(F.broadcast(deliveries) if small_enough(deliveries) else deliveries, "class")
+    grouped = sent.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("class") != F.col("pivot"))
+    return materialize(grouped.select("pivot", "class", "text").mapInArrow(_compare(percent, n), "a long, b long"), "links")

@@ -87,4 +87,33 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op8_line_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        w AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+        r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM w), range(3) o(k) WHERE c > 1 GROUP BY 1),
+        l AS (SELECT doc_id, line, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM d)),
+        m AS (SELECT *, len(lw) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again FROM l WHERE len(lw) > 0),
+        f AS (SELECT *, again OR NOT regexp_matches(line, '[.!?;:…。！？]["''”’»)\]]*[\x20\x09-\x0D]*$') OR 2 * length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > n
+            OR 4 * len(list_filter(lw, lambda x: x IN ('|', '·', '•', '»', '›', '>', '→', '/'))) >= n OR (n >= 5 AND line = upper(line) AND line <> lower(line))
+            OR (n >= 4 AND 2 * len(list_filter(range(1, n), lambda i: lw[i] = lw[i + 1])) > n)
+            OR (n <= 25 AND regexp_matches(lower(line), 'all rights reserved|licen[sc]ed under|released under|terms of (?:use|service)|privacy policy|cookie policy|(?:uses?|accept|enable) cookies|enable javascript|click here|subscribe to|sign up for|log ?in to|powered by|lorem ipsum')) AS fails FROM m),
+        g AS (SELECT doc_id, count(*) FILTER (again) AS n_dup, coalesce(sum(length(array_to_string(lw, ''))) FILTER (fails), 0) AS lost, count(*) FILTER (fails) AS removed FROM f GROUP BY 1),
+        b AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+            CAST(coalesce(lost, 0) AS BIGINT) AS lost_chars, coalesce(removed, 0) AS n_lines_removed FROM d LEFT JOIN r USING (doc_id) LEFT JOIN g USING (doc_id))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_chars <= 50 * word_chars AS kept FROM b
+    """,
+    "op9_temperature_mix": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n_tokens, coalesce('=' || source, 'null') AS k FROM documents),
+        s AS (SELECT k, CAST(sum(n_tokens) AS BIGINT) AS t FROM d GROUP BY 1),
+        a AS (SELECT greatest(0, 1 - ln(2.0) / nullif(ln(max(t) / min(t)), 0)) AS x, sum(t) AS total FROM s),
+        w AS (SELECT k, t, pow(t / total, coalesce(x, 0)) AS w FROM s, a),
+        p AS (SELECT k, t, w / t * max(t / w) OVER () AS p FROM w),
+        q AS (SELECT k, CAST(floor(p + 1e-9) AS BIGINT) AS whole, CAST(greatest(0, round((p - floor(p + 1e-9)) * t)) AS BIGINT) AS part, greatest(1, CAST(ceil(t / 100000) AS BIGINT)) AS blocks FROM p),
+        r AS (SELECT d.*, whole, part, CAST('0x' || substr(md5('mix|' || doc_id), 1, 15) AS BIGINT) % blocks AS block FROM d JOIN q USING (k)),
+        b AS (SELECT k, block, whole, part, sum(n_tokens) AS n FROM r GROUP BY ALL),
+        c AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY md5('mix|block|' || k || '|' || block || '|' || whole), block) - n AS before FROM b),
+        e AS (SELECT r.*, CASE WHEN before + n <= c.part THEN 1 WHEN c.part - before > 0 AND sum(n_tokens) OVER (PARTITION BY r.k, r.block ORDER BY md5('mix|doc|' || doc_id || '|' || r.whole), n_tokens ROWS UNBOUNDED PRECEDING) <= c.part - before THEN 1 ELSE 0 END AS more
+            FROM r JOIN c ON c.k = r.k AND c.block = r.block)
+        SELECT doc_id, source, n_tokens, unnest(range(whole + more)) AS pass, block FROM e
+    """,
 }

@@ -1,0 +1,86 @@
+import random
+import re
+
+from compare import SMALL
+from pyspark.sql import functions as F
+
+from quire.llm import surrogate
+from quire.llm.queries import op10_surrogates
+
+
+def luhn(digits):
+    d = [int(c) for c in digits][::-1]
+    return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
+
+
+def replaced(spark, *texts, key="k"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in surrogate.replace_entities(df, key).orderBy("doc_id").collect()]
+
+
+def test_formats_and_coreference(spark):
+    texts = (
+        "Mail hein.19@mail5.example.com or HEIN.19@MAIL5.EXAMPLE.COM now, +1 (743) 555-3824 or +17435553824.",
+        "Cards 4994226020900891, 4994 2260 2090 0891; ip 227.5.221.1!",
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"; hein.19@mail5.example.com; 123-45-6789',
+        "Mrs. Ann Smith met Mr Smith. Г-жа Анна Иванова и Г-н Петров.",
+    )
+    a, b, c, d = replaced(spark, *texts)
+    mail = re.search(r"Mail (\S+) or (\S+) now, \+(\d) \((\d{3})\) (\d{3})-(\d{4}) or \+(\d{11})\.$", a)
+    assert mail and mail[1].upper() == mail[2] and re.fullmatch(r"[a-z]{4}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com", mail[1])
+    assert "".join(mail.groups()[2:6]) == mail[7] != "17435553824" and mail[1] in c
+    cards = re.fullmatch(r"Cards (\d{16}), (\d{4} \d{4} \d{4} \d{4}); ip (\d+)\.(\d+)\.(\d+)\.(\d+)!", b)
+    assert cards[1] == cards[2].replace(" ", "") and luhn(cards[1]) and cards[1] != "4994226020900891" and cards[1][0] == "4"
+    assert all(0 < int(x) < 256 for x in cards.groups()[2:])
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"; \S+; \d{3}-\d{2}-\d{4}', c) and "04dbebab" not in c
+    names = re.fullmatch(r"Mrs\. ([A-Z][a-z]+) ([A-Z][a-z]+) met Mr ([A-Z][a-z]+)\. Г-жа ([А-Я][а-я]+) ([А-Я][а-я]+) и Г-н ([А-Я][а-я]+)\.", d)
+    assert names and names[1].endswith(("na", "la")) and names[3].endswith(("no", "ren")) and names[4].endswith(("на", "ла"))
+
+
+def test_other_text_stays(spark):
+    texts = (None, "", "Version 2.0 of 2024-01-02, 16 of 4785380592391138, 300.1.2.3, a@b, key 12", "x@" * 1000, "a" * 200_000, "1.2.3.4.5")
+    assert replaced(spark, *texts) == list(texts)
+
+
+def test_key_decides(spark):
+    (a,), (b,), (c,) = (replaced(spark, "ip 227.5.221.1", key=k) for k in ("k", "k", "other"))
+    assert a == b != c
+
+
+def test_distinct_entities_stay_distinct(spark, monkeypatch):
+    # surrogates of two digits meet often: what meets is drawn again
+    entities = spark.createDataFrame([("ssn", f"{i:02d}") for i in range(40)], "kind string, core string")
+    got = surrogate.assign(entities, "k").collect()
+    new = [r.surrogate for r in got]
+    assert len(got) == 40 and len(set(new)) == 40 and not set(new) & {r.core for r in got}
+
+
+def test_many_documents_and_repeated_rows(spark):
+    rnd = random.Random(9)
+    mails = [f"user{i}@host{i % 7}.example.org" for i in range(50)]
+    texts = [f"see {mails[0] if rnd.random() < 0.4 else rnd.choice(mails)} and 10.0.0.{i % 9 + 1}" for i in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 2 + [(None, texts[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_entities", F.lit("clash")).repartition(4)
+    got = surrogate.replace_entities(df, "k").collect()
+    assert len(got) == len(rows) and all(r.n_entities == 2 for r in got)
+    mapping = {}
+    for r in got:
+        if r.doc_id is not None:
+            for old, new in zip(texts[r.doc_id].split(), r.text.split()):
+                mapping.setdefault(old, set()).add(new)
+    assert all(len(v) == 1 for v in mapping.values()) and len({*map(min, mapping.values())}) == len(mapping)
+    assert surrogate.replace_entities(df.limit(0), "k").collect() == []
+
+
+def test_only_built_in_operations(spark, capsys):
+    op10_surrogates(spark, SMALL).explain()
+    plan = capsys.readouterr().out
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_query_leaves_clean_documents_alone(spark):
+    before = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    for r in op10_surrogates(spark, SMALL).collect():
+        private = re.search(r"@\S+\.\S+|\b\d+\.\d+\.\d+\.\d+\b|\+\d|\d{16}|token", before[r.doc_id])
+        assert (r.text == before[r.doc_id]) or private
+        assert not re.search(r"@mail\d\.example\.com", r.text)
