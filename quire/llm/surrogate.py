@@ -106,8 +106,8 @@ def _shaped(core: Column, h: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.length(core) - 1), drawn), "")
 
 
-def _name(core: Column, h: Column) -> Column:
-    """A name of the parts, gender and script that a core tells."""
+def _name(core: Column, h: Column, attempt: Column) -> Column:
+    """A name of the parts, gender and script that a core tells; later attempts draw from longer names, so names suffice."""
     parts = F.split(core, r"\|")
     out = F.lit(None).cast("string")
     for script, (middle, female, male, neutral) in SYLLABLES.items():
@@ -115,9 +115,10 @@ def _name(core: Column, h: Column) -> Column:
         ends = {g: F.array(*[F.lit(s) for s in e.split()]) for g, e in (("f", female), ("m", male), ("n", neutral))}
 
         def made(word: int, script_pool=pool, script_ends=ends) -> Column:
-            pick = lambda a, i, n: F.element_at(a, _byte(h, word * 16 + i) % n + 1)
-            end = reduce(lambda rest, g: F.when(parts[0] == g, pick(script_ends[g], 9, 2)).otherwise(rest), ("f", "m"), pick(script_ends["n"], 9, 2))
-            return F.initcap(F.concat(pick(script_pool, 0, 32), pick(script_pool, 1, 32), pick(script_pool, 2, 32), end))
+            pick = lambda a, i: F.element_at(a, _byte(h, word * 16 + i) % F.size(a) + 1)
+            end = reduce(lambda rest, g: F.when(parts[0] == g, pick(script_ends[g], 9)).otherwise(rest), ("f", "m"), pick(script_ends["n"], 9))
+            more = F.when(attempt >= 10, F.concat(pick(script_pool, 3), pick(script_pool, 4))).when(attempt >= 5, pick(script_pool, 3)).otherwise("")
+            return F.initcap(F.concat(pick(script_pool, 0), pick(script_pool, 1), pick(script_pool, 2), more, end))
 
         full = F.when(parts[2] == "2", F.concat_ws(" ", made(0), made(1))).otherwise(made(0))
         out = F.when(parts[1] == script, full).otherwise(out)
@@ -140,7 +141,7 @@ def surrogate_core(kind: Column, core: Column, key: str, attempt: Column) -> Col
         .when(kind == "ip", F.concat_ws(".", octet(0), octet(1), octet(2), octet(3)))
         .when(kind == "card", F.concat(body, check.cast("string")))
         .when(kind == "phone", phone)
-        .when(kind == "name", _name(core, h))
+        .when(kind == "name", _name(core, h, attempt))
         .when((kind == "secret") & core.rlike("^[0-9a-f]+$") & (F.length(core) <= 1024), hexed)
         .otherwise(shaped)
     )
