@@ -14,6 +14,9 @@ with all it matches, so its crowded ones need no look. Sets with more are those
 above all; they are held against one pivot for each crowded signature, and only groups that this leaves in several
 components go on to the next rounds.
 
+A candidate pair first has its *prints* compared: a set's features fall into about as many cells as it has features, and
+the print has four bits of a sum for each cell. A cell that differs holds a feature that differs, so a pair with more such
+cells than its sizes allow cannot link; that is exact, and spares the texts of most pairs that only share a passage.
 Every link that decides is verified on whole sets, with exact integer arithmetic.
 """
 
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.workspace import lookup, materialize, slices, small_enough
+from quire.llm.workspace import lookup, materialize, schema_with, slices, small_enough, with_columns
 
 WORDS = 5
 PERCENT = 80
@@ -80,6 +83,23 @@ def class_of(features: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(features.tobytes()) - (1 << 63)
 
 
+def print_of(features: np.ndarray) -> bytes:
+    """For each of 2 ** k cells, k from 3, the sum of what its features give to it, modulo 16; two cells to a byte."""
+    bits = max(3, len(features).bit_length() - 1)
+    cells = np.bincount((features & _U((1 << bits) - 1)).astype(np.int64), (features >> _U(40)) % _U(15) + _U(1), 1 << bits).astype(np.int64)
+    return ((cells[::2] & 15) | (cells[1::2] & 15) << 4).astype(np.uint8).tobytes()
+
+
+def cells_apart(x: bytes, y: bytes) -> int:
+    """Cells in which two prints differ, after the longer one is folded to the length of the other."""
+    a, b = (np.frombuffer(p, np.uint8) for p in ((x, y) if len(x) <= len(y) else (y, x)))
+    low, high = b & 15, b >> 4
+    while len(low) > len(a):
+        half = len(low) // 2
+        low, high = low[:half] + low[half:], high[:half] + high[half:]
+    return int(((low & 15) != (a & 15)).sum() + ((high & 15) != (a >> 4)).sum())
+
+
 def most_differences(size: int, percent: int = PERCENT) -> int:
     """Features in one but not both of two sets that link, of which the smaller has `size`."""
     return size * 100 // percent * (100 - percent) // 100
@@ -124,10 +144,11 @@ def _in_band(features: np.ndarray, band: int, least: int, need: int, percent: in
         h = mix(features ^ salt)
         if parts:
             of = h % _U(parts)
+            of = of.astype(np.uint16) if parts <= 1 << 16 else of  # sorted by digits
             order = np.argsort(of, kind="stable")
             of, h = of[order], mix(h[order] + salt)
             first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            found = mix(np.add.reduceat(h, first) + of[first] * _U(0x9E3779B97F4A7C15) + salt)
+            found = mix(np.add.reduceat(h, first) + of[first].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + salt)
         else:
             found = np.sort(h)
         out.append(found[:need])
@@ -137,7 +158,7 @@ def _in_band(features: np.ndarray, band: int, least: int, need: int, percent: in
 
 
 def _sets(n: int, make):
-    """A function for mapInArrow that gives (id, features) of each text to `make`."""
+    """A function for mapInArrow that gives (the first column's value, features) of each text to `make`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -147,30 +168,22 @@ def _sets(n: int, make):
     return run
 
 
-def document_classes(rows: DataFrame, id_type: str, n: int = WORDS) -> DataFrame:
-    """Rows (id, text) to (id, class, n_shingles); class is null for an empty set."""
-    kind = rows.schema["id"].dataType
-
-    def make(sets) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        for some in _blocks(sets, 5000):
-            ids = pa.array([i for i, _ in some], to_arrow_type(kind))
-            classes = pa.array([class_of(x) if len(x) else None for _, x in some], pa.int64())
-            yield pa.record_batch([ids, classes, pa.array([len(x) for _, x in some], pa.int64())], names=["id", "class", "n_shingles"])
-
-    return rows.mapInArrow(_sets(n, make), f"id {id_type}, class long, n_shingles long")
+def document_classes(docs: DataFrame, n: int = WORDS) -> DataFrame:
+    """Rows (id, place, text) to (id, place, class, n_shingles, print); class and print are null for an empty set."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        with np.errstate(over="ignore"):
+            for batch in slices(batches, "text"):
+                found = [shingles(t, words, n) for t in batch.column("text").to_pylist()]
+                new = {
+                    "class": pa.array([class_of(x) if len(x) else None for x in found], pa.int64()),
+                    "n_shingles": pa.array([len(x) for x in found], pa.int64()),
+                    "print": pa.array([print_of(x) if len(x) else None for x in found], pa.binary()),
+                }
+                yield with_columns(batch.drop_columns(["text"]), new)
 
-def _blocks(items, n: int) -> Iterator[list]:
-    block = []
-    for x in items:
-        block.append(x)
-        if len(block) == n:
-            yield block
-            block = []
-    if block:
-        yield block
+    return docs.mapInArrow(run, schema_with(docs.drop("text"), {"class": "long", "n_shingles": "long", "print": "binary"}))
 
 
 def signature_rows(rows: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -246,22 +259,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield close(sig, cls, True)[0]
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """The wanted classes' texts, (class, text). `classes` has an id for each; should ids repeat, other texts come along."""
-    ids = classes.select("id").distinct()
-    if small_enough(ids):
-        ids = F.broadcast(ids)
-    rows = docs.join(ids, docs["id"].eqNullSafe(ids["id"]), "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        with np.errstate(over="ignore"):
-            for batch in slices(batches, "text"):
-                texts = batch.column("text")
-                found = [shingles(t, words, n) for t in texts.to_pylist()]
-                yield pa.record_batch([pa.array([class_of(x) if len(x) else None for x in found], pa.int64()), texts], names=["class", "text"])
-
-    return rows.mapInArrow(run, "class long, text string")
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts, (class, text), of classes given as (class, id, place)."""
+    wanted = wanted.select("class", F.col("id").alias("__id"), F.col("place").alias("__place"))
+    if small_enough(wanted):
+        wanted = F.broadcast(wanted)
+    return docs.join(wanted, (F.col("place") == F.col("__place")) & F.col("id").eqNullSafe(F.col("__id"))).select("class", "text")
 
 
 def _compare(percent: int, n: int):
@@ -300,12 +303,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     as its one feature; one without words, or null, has none and links with nothing. Equal sets are linked and
     are handled as one. Rows that repeat are equal sets; a null id counts as larger than any other. Sets are held by 64-bit hashes.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = materialize(document_classes(docs, id_type, n), "classes")
-    classes = materialize(rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("members")), "class_groups")
-
-    dealt = signature_rows(docs, n, percent).repartition("sig").sortWithinPartitions("sig", "class")
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("place"), F.col(text_col).alias("text"))
+    rows = materialize(document_classes(docs, n), "classes")
+    one = F.min(F.struct("place", "id"))  # the row whose text stands for the class
+    groups = rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("least"), one.alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("print").alias("print"), F.count("*").alias("members"))
+    classes = materialize(groups.select("class", "least", "one.id", "one.place", "n_shingles", "print", "members"), "class_groups")
+    rows = rows.select("id", "class", "n_shingles")
+
+    dealt = signature_rows(docs.select("id", "text"), n, percent).repartition("sig").sortWithinPartitions("sig", "class")
     met = materialize(dealt.mapInArrow(_meet, "crowded boolean, x long, y long"), "candidates")
     pairs = met.filter("not crowded").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     crowded = met.filter("crowded").select(F.col("x").alias("sig"), F.col("y").alias("class"))
@@ -318,33 +323,36 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # first round: each set against the smallest that it shares an uncrowded signature or a crowd with
     pivots = open_rows.groupBy("sig").agg(F.min("class").alias("a"))
     first = open_rows.join(pivots, "sig").filter("a <> class").select("a", F.col("class").alias("b"))
-    pairs = materialize(_near_in_size(pairs, classes, percent), "pairs")
-    first = pairs.unionByName(_near_in_size(first.distinct(), classes, percent)).groupBy("b").agg(F.min("a").alias("a"))
+    pairs = _plausible(pairs, classes, percent)
+    first = pairs.unionByName(_plausible(first.distinct(), classes, percent)).groupBy("b").agg(F.min("a").alias("a"))
     links = _verify(docs, classes, materialize(first.select("a", "b"), "first"), n, percent)
     labels = materialize(components(links), "labels")
 
     # then pairs of different components, all uncrowded ones at once; a crowd that is still in several components is
     # held against some of its members as pivots, which then leave it, and against more of them each time
-    rest, count = _apart(pairs, labels), 1
+    rest, count = _apart(pairs, labels), 4
     while True:
         open_rows = materialize(_divided(open_rows, labels), "crowded")
         chosen = materialize(_pivots(open_rows, count), "pivots")
         edges = open_rows.join(chosen, "sig").filter("a <> class and a_label <> label").select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b"))
-        edges = _near_in_size(edges.distinct(), classes, percent)
-        edges = materialize(edges if rest is None else edges.unionByName(rest).distinct(), "pairs")
+        edges = _plausible(edges.distinct(), classes, percent)
+        edges = edges if rest is None else materialize(edges.unionByName(rest).distinct(), "pairs")
         rest = None
         if not edges.isEmpty():
-            links = materialize(links.unionByName(_verify(docs, classes, edges, n, percent)), "links")
-            labels = materialize(components(links), "labels")
+            more = _verify(docs, classes, edges, n, percent)
+            if not more.isEmpty():
+                links = materialize(links.unionByName(more), "links")
+                labels = materialize(components(links), "labels")
         if chosen.isEmpty():
             break
         open_rows = open_rows.join(chosen.select("sig", F.col("a").alias("class")), ["sig", "class"], "left_anti").select("sig", "class")
         count *= 4
 
-    small = classes.join(labels, classes["class"] == labels["node"]).select("class", "id", "label")
-    least = small.groupBy("label").agg(F.min("id").alias("least"))
-    small = small.join(least, "label").select("class", "least")
-    table = classes.join(small, "class", "left").select("class", F.coalesce("least", "id").alias("component_id"), "members")
+    classes = classes.select("class", "least", "members")
+    small = classes.join(labels, classes["class"] == labels["node"]).select("class", "least", "label")
+    lowest = small.groupBy("label").agg(F.min("least").alias("lowest"))
+    small = small.join(lowest, "label").select("class", "lowest")
+    table = classes.join(small, "class", "left").select("class", F.coalesce("lowest", "least").alias("component_id"), "members")
     total = classes.agg(F.sum("members")).first()[0] or 0
     hot = table.filter(F.col("members") * HOT_SHARE > total)
     joined = lookup(rows, table.drop("members"), "class", hot=hot.drop("members"))
@@ -364,10 +372,24 @@ def _pivots(rows: DataFrame, count: int) -> DataFrame:
     return best.select("sig", F.col("p.class").alias("a"), F.col("p.label").alias("a_label"))
 
 
-def _near_in_size(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes allow a link."""
-    left, right = (classes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and prints allow a link."""
+    sizes = classes.select("class", "n_shingles")
+    left, right = (sizes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
+    near = pairs.join(left, "a").join(right, "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    near = materialize(near.select("a", "b", "n_a", "n_b"), "near")
+    few = F.broadcast(near) if small_enough(near) else near
+    prints = classes.select(F.col("class").alias("c"), "print")
+    x = few.join(prints, F.col("a") == F.col("c")).select("a", "b", "n_a", "n_b", F.col("print").alias("x"))
+    y = few.join(prints, F.col("b") == F.col("c")).select("a", "b", F.col("print").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (np.add(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) * (100 - percent) // (100 + percent)).tolist()
+            near = [cells_apart(p, q) <= d for p, q, d in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), most)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return materialize(x.join(y, ["a", "b"]).mapInArrow(run, "a long, b long"), "pairs")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -387,7 +409,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, perce
     members = pairs.join(sizes, "a").select(F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("class"))
     own = sizes.select(F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("class"))
     deliveries = materialize(members.unionByName(own), "deliveries")
-    texts = _texts_of(docs, classes.join(deliveries.select("class").distinct(), "class"), n)
+    texts = _texts_of(docs, classes.select("class", "id", "place").join(deliveries.select("class").distinct(), "class"))
     sent = texts.join(F.broadcast(deliveries) if small_enough(deliveries) else deliveries, "class")
     grouped = sent.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("class") != F.col("pivot"))
     return materialize(grouped.select("pivot", "class", "text").mapInArrow(_compare(percent, n), "a long, b long"), "links")
