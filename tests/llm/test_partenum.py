@@ -103,3 +103,14 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(200, 200)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 160)}}
+
+
+def test_prints_never_tell_more_differences_than_there_are():
+    rng = np.random.default_rng(4)
+    for n, m, both in ((1, 1, 1), (1, 2, 1), (7, 9, 6), (100, 120, 95), (1000, 700, 650), (4000, 3900, 0)):
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * (n + m), np.int64).astype(np.uint64))
+        rng.shuffle(pool)
+        x, y = np.sort(pool[:n]), np.sort(np.concatenate((pool[:both], pool[n : n + m - both])))
+        apart = partenum.cells_apart(partenum.print_of(x), partenum.print_of(y))
+        assert apart <= n + m - 2 * both and apart == partenum.cells_apart(partenum.print_of(y), partenum.print_of(x))
+        assert partenum.cells_apart(partenum.print_of(x), partenum.print_of(x)) == 0
