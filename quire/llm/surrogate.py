@@ -1,6 +1,7 @@
 """Surrogates for personal data, in DataFrame operations only.
 
-Entities are found by patterns and, where the format has one, by a check digit. Each distinct entity gets a surrogate
+Entities are found by patterns and, where the format has one, by a check digit; what a text's cards are is settled first,
+so that a number beside a card, or one that is none, hides nothing. Each distinct entity gets a surrogate
 from a keyed hash that keeps its type and format: the digits of a phone number or card in their grouping, with a
 valid check digit, a host in an address, hexadecimal for a hexadecimal secret, a name of the same gender and script.
 Surrogates that meet each other, or an entity that occurs, are drawn again, so that distinct entities stay distinct and
@@ -37,11 +38,13 @@ PATTERNS = {
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\+\d{10,14})(?!\d)",
-    "card": r"(?<![\d.])\d(?:[ \-]?\d){12,18}(?![\d])",
+    "card": r"(?<!\d)(?<!\d\.)\d(?:[ \-]?\d){12,18}(?!\d)",
     "secret": r"(?=[A-Za-z0-9_+/\-]{16})(?<=(?i:token|secret|passw(?:or)?d|api[_\-]?key|access[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/\-]++",
     "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+BEFORE_CARDS, AFTER_CARDS = ("|".join(f"(?:{PATTERNS[k]})" for k in kinds) for kinds in (("email", "ip", "ssn", "phone"), ("secret", "name")))
+#: Groupings of digits that cards are written in, the usual ones first; a year in front belongs to none of them.
+CARD_GROUPS = (r"\d{13,19}", r"\d{4}(?:[ \-]\d{4}){3}", r"\d{4}[ \-]\d{6}[ \-]\d{4,5}", r"\d{4}(?:[ \-]\d{4}){3}[ \-]\d{1,3}", r"\d{4}(?:[ \-]\d{3}){3}", r"\d{6}[ \-]\d{13}")
 #: A text without a match of this has no entity.
 HINT = rf"[0-9@]|(?i:token|secret|passw|key)|(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}"
 
@@ -73,6 +76,24 @@ def kind_of(raw: Column) -> Column:
     return F.when(raw.rlike(r"^[\d \-]{13,}$") & (out == "secret"), F.lit(None)).otherwise(out)
 
 
+def cards_of(text: Column) -> Column:
+    """The cards of a text, by their check digits: what stands in a grouping of cards at any place, then whole runs of
+    digits, blanks and hyphens in other groupings."""
+    begin = r"(?=\d)(?<!\d)(?<!\d\.)"
+    grouped = [F.regexp_extract_all(text, F.lit(rf"{begin}(?!(?:19|20)\d\d[ \-])(?=({g})(?!\d))"), F.lit(1)) for g in CARD_GROUPS]
+    others = F.regexp_extract_all(text, F.lit(rf"{begin}(?<!\d[ \-])(?=(\d(?:[ \-]?\d){{12,18}})(?!\d))"), F.lit(1))
+    others = F.filter(others, lambda x: ~x.rlike(PATTERNS["ssn"]))
+    valid = F.filter(F.array_distinct(F.concat(*grouped, others)), lambda x: _luhn_sum(_digits(x)) % 10 == 0)
+    return F.when(text.rlike(r"\d(?:[ \-]?\d){12}"), valid).otherwise(F.array().cast("array<string>"))
+
+
+def pattern_of(text: Column) -> Column:
+    """The pattern of a text's entities: that of every type, and of cards those that the text has."""
+    cards = F.array_join(cards_of(text), "|")
+    some = F.concat(F.lit(rf"{BEFORE_CARDS}|(?<!\d)(?<!\d\.)(?=\d(?:[ \-]?\d){{12}})(?:"), cards, F.lit(rf")(?!\d)|{AFTER_CARDS}"))
+    return F.when(cards != "", some).otherwise(f"{BEFORE_CARDS}|{AFTER_CARDS}")
+
+
 def _name_of(raw: Column) -> Column:
     return F.regexp_replace(raw, rf"^(?:{_TITLE})\.? ", "")
 
@@ -186,9 +207,9 @@ def replace_entities(df: DataFrame, key: str, id_col: str = "doc_id", text: str
     corpus in which the same surrogates are free. Digits without a valid check digit are no card.
     """
     kept = [c for c in df.columns if c not in ("n_entities", text)]
-    found = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
     hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
-    rows = df.select(*kept, F.col(text).alias("__text"), F.when(hinted, found).alias("__raw"))
+    rows = df.select(*kept, F.col(text).alias("__text"), F.when(hinted, pattern_of(F.col(text))).alias("__any"))
+    rows = rows.withColumn("__raw", F.regexp_extract_all(F.col("__text"), F.col("__any"), F.lit(0)))
     rows = rows.withColumn("__raw", F.filter("__raw", lambda x: kind_of(x).isNotNull()))
     some = F.coalesce(F.size("__raw"), F.lit(0)) > 0
     place = [F.col(id_col).alias("__id"), F.xxhash64("__text").alias("__hash")]
@@ -206,8 +227,8 @@ def replace_entities(df: DataFrame, key: str, id_col: str = "doc_id", text: str
 
     changed = rows.filter(some).withColumns({"__i": place[0], "__h": place[1]})
     changed = changed.join(by_text, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")))
-    pieces = F.split("__text", ANY, -1)
-    matches = F.regexp_extract_all(F.col("__text"), F.lit(ANY), F.lit(0))
+    pieces = F.split("__text", F.col("__any"), -1)
+    matches = F.regexp_extract_all(F.col("__text"), F.col("__any"), F.lit(0))
     new = F.transform(matches, lambda x: F.coalesce(F.element_at("__new", x), x))
     whole = F.array_join(F.zip_with(pieces, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     order = [*kept, whole.alias(text), F.size("__raw").cast("long").alias("n_entities")]

@@ -42,6 +42,27 @@ def test_other_text_stays(spark):
     assert replaced(spark, *texts) == list(texts)
 
 
+def test_card_beside_other_numbers(spark):
+    card, ssn = "4994226020900891", "123-45-6789"
+    texts = (
+        f"{card} 12/25",
+        f"no 5 {card}",
+        f"in 2024 {ssn}",
+        f"{ssn} {card}",
+        "in 2024 4994 2260 2090 0891 123",
+        "no.4994-2260-2090-0891-12 and 3782 822463 10005 1",
+        "so 49942260 20900891",
+        f"5 {card}, and 4785380592391138",
+    )
+    got = replaced(spark, *texts)
+    for old, new in zip(texts, got):
+        assert card not in re.sub(r"\D", "", new) and ssn not in new and re.sub(r"\d", "#", old) == re.sub(r"\d", "#", new), new
+    new = re.fullmatch(r"(\d{16}) 12/25", got[0])[1]
+    assert luhn(new) and got[1] == f"no 5 {new}" and got[3].endswith(new) and got[7] == f"5 {new}, and 4785380592391138"
+    assert got[2].startswith("in 2024 ") and re.fullmatch(r"in 2024 (\d{4} ){4}123", got[4]) and "37828" not in re.sub(r"\D", "", got[5])
+    assert re.sub(r"\D", "", got[6]) == new == re.sub(r"\D", "", got[4])[4:20]
+
+
 def test_key_decides(spark):
     (a,), (b,), (c,) = (replaced(spark, "ip 227.5.221.1", key=k) for k in ("k", "k", "other"))
     assert a == b != c
