@@ -28,7 +28,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    manifest = token_files.write_token_files(docs, new_folder(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
+    manifest = token_files.write_token_files(docs, new_folder(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), added=True)
     return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -34,15 +35,22 @@ MANIFEST = "part int, n_documents long, n_ids long, n_sequences long, tokens str
 
 class LibraryEncoder:
     """Ids by the tokenizers library. A byte-level tokenizer encodes each pre-token on its own, so the library gets
-    the distinct pre-tokens of many texts, each once, and a text's ids are those of its pre-tokens in order."""
+    the distinct pre-tokens of many texts, each once, and a text's ids are those of its pre-tokens in order. With `added`,
+    the file's added tokens are found in a text first, as by the library; without, special ones are text like any other."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         self.known: dict[bytes, bytes] = {}
+        tokens = (json.loads(spec).get("added_tokens") or []) if added else []
+        self.added = {t["content"]: np.array([t["id"]], np.uint32) for t in tokens if t["content"]}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if tokens else None
+        #: Tokens that take blanks beside them or ask for a word's edges are left to the library.
+        self.by_library = any(t.get(flag) for t in tokens for flag in ("single_word", "lstrip", "rstrip"))
 
     def _ids(self, unique: list[bytes]) -> list[bytes]:
         new = [t for t in unique if t not in self.known]
@@ -56,6 +64,22 @@ class LibraryEncoder:
         return [self.known[t] for t in unique]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if not self.cut:
+            yield from self._encode(texts)
+            return
+        cut = [[t] if self.by_library else self.cut.split(t) for t in texts]  # every second piece is an added token
+        found = self._encode([p for t, c in zip(texts, cut) for p in c[::2] if not self._left(t)])
+        for text, pieces in zip(texts, cut):
+            if self._left(text):
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            else:
+                ids = [self.added[p] if i % 2 else next(found) for i, p in enumerate(pieces)]
+                yield ids[0] if len(ids) == 1 else np.concatenate(ids)
+
+    def _left(self, text: str) -> bool:
+        return self.by_library and self.cut.search(text) is not None
+
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         held: list[np.ndarray] = []
         for parts, last in in_chunks(texts):
             spans = Spans(parts)
@@ -109,13 +133,14 @@ class _Sequences:
         self.writer.close()
 
 
-def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = LENGTH) -> DataFrame:
+def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = LENGTH, added: bool = False) -> DataFrame:
     """Encode every whole text, append end_id to each, and write the ids in the order of id_col to Arrow files in
     `folder` (any URI that pyarrow opens, shared by all executors). Returns the manifest, which is itself a table in
     the shared folder: a row for each part.
 
     A null or empty text has the end id alone. Rows of one id follow each other, ordered by a hash of the text; null ids
-    come first. An empty table gives an empty manifest. An attempt that is lost leaves files that no manifest names.
+    come first. With `added`, the literal of an added token gives that token's id, as in a plain call of the library; without,
+    special tokens are text like any other. An empty table gives an empty manifest. An attempt that is lost leaves files that no manifest names.
     """
     spark = df.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -123,7 +148,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, id_col: s
     if not _splits_by_itself(json.loads(spec)):
         raise ValueError("a byte-level tokenizer without normalizer is needed")
     encoder = spark.sparkContext.broadcast(spec)
-    size = max(json.loads(spec)["model"]["vocab"].values()) + 1
+    size = max([*json.loads(spec)["model"]["vocab"].values(), *[t["id"] for t in json.loads(spec).get("added_tokens") or []]]) + 1
     width = np.dtype("<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +156,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, id_col: s
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        codec, (files, at) = LibraryEncoder(encoder.value), fs.FileSystem.from_uri(folder)
+        codec, (files, at) = LibraryEncoder(encoder.value, added), fs.FileSystem.from_uri(folder)
         files.create_dir(at, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}"
         rows = start = 0

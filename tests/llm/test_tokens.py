@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -130,3 +131,26 @@ def test_token_file_query(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in op3_token_files(spark, folder).collect()} == expected(rows)
+
+
+def test_added_tokens_as_by_the_plain_call():
+    with open(JSON, encoding="utf-8") as f:
+        spec = f.read()
+    texts = [t or "" for t in ODD] + ["a <|endoftext|> b", "<|endoftext|><|endoftext|>\n x", "<|endoftext|", "it's <|endoftext|>"]
+    flagged = json.loads(spec)
+    flagged["added_tokens"][0] |= {"lstrip": True, "rstrip": True}
+    for s in (spec, json.dumps(flagged)):
+        plain = Tokenizer.from_str(s)
+        got = [x.tolist() for x in token_files.LibraryEncoder(s, added=True).encode(texts)]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [64, 220, 50256, 275] in [x.tolist() for x in token_files.LibraryEncoder(spec, added=True).encode(texts)]
+
+
+def test_query_takes_added_tokens(spark, tmp_path):
+    from quire.llm.queries import op3_token_files
+
+    rows = [(1, "a <|endoftext|> b"), (2, "c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = np.array([64, 220, 50256, 275, 0], "<u4").tobytes()
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in op3_token_files(spark, str(tmp_path)).collect()}
+    assert got[1] == (0, 5, zlib.crc32(ids)) and got[2][:2] == (5, 2)
