@@ -8,9 +8,9 @@ same in both sets: each set takes its first k + 1 + slack partitions that have f
 the enumeration of PartEnum with single partitions as subsets. A set also takes part in the next band if a set that
 it may match lies there.
 
-The slack is what makes frequent passages harmless. Two sets that match share at least 1 + slack signatures. A
-signature that many sets have is *crowded*; a set with at most `slack` crowded signatures shares an uncrowded one
-with all it matches, so its crowded ones need no look. Sets with more are those that consist of shared text, near copies
+The slack is what makes frequent passages harmless. Two sets that match share at least 1 + slack signatures, by the slack of
+the smaller. A signature that many sets have is *crowded*; a set with at most as many crowded signatures as the slack of the
+smallest set that it may match shares an uncrowded one with all it matches, so its crowded ones need no look. Sets with more are those that consist of shared text, near copies
 above all; they are held against one pivot for each crowded signature, and only groups that this leaves in several
 components go on to the next rounds.
 
@@ -315,9 +315,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs = met.filter("not crowded").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     crowded = met.filter("crowded").select(F.col("x").alias("sig"), F.col("y").alias("class"))
 
-    # sets with more crowded signatures than their slack
+    # sets with more crowded signatures than the slack of the smallest set that they may link with
     often = crowded.groupBy("class").agg(F.count("*").alias("n")).join(classes.select("class", "n_shingles"), "class")
-    often = often.filter("n > 2 + floor(n_shingles / 25)").select("class")
+    often = often.filter(f"n > 2 + floor(ceil({percent} * n_shingles / 100) / 25)").select("class")
     open_rows = materialize(crowded.join(often, "class"), "crowded")
 
     # first round: each set against the smallest that it shares an uncrowded signature or a crowd with

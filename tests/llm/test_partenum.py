@@ -114,3 +114,47 @@ def test_prints_never_tell_more_differences_than_there_are():
         apart = partenum.cells_apart(partenum.print_of(x), partenum.print_of(y))
         assert apart <= n + m - 2 * both and apart == partenum.cells_apart(partenum.print_of(y), partenum.print_of(x))
         assert partenum.cells_apart(partenum.print_of(x), partenum.print_of(x)) == 0
+
+
+def test_linked_pairs_share_more_than_the_slack_of_the_smaller():
+    rng = np.random.default_rng(5)
+    begins = np.array(partenum.bands())
+    with np.errstate(over="ignore"):
+        for size in (4, 8, 10, 16, 20, 24, 25, 39, 48, 60, 90, 240):
+            for _ in range(60):
+                k = partenum.most_differences(size)
+                pool = rng.integers(0, 1 << 63, size + k, np.int64).astype(np.uint64)
+                gone = int(rng.integers(0, k + 1))
+                a, b = np.unique(pool[:size]), np.unique(pool[gone : size + k - gone])
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= 80 * (len(a) + len(b) - both):
+                    shared = np.intersect1d(partenum.signatures(a, begins), partenum.signatures(b, begins))
+                    assert len(shared) > partenum.slack(min(len(a), len(b))), (size, len(a), len(b))
+
+
+def gap_family():
+    """Texts of which one of 24 shingles and one of 30 link, share no signature but crowded ones, and the larger has
+    no more of those than its own slack; the others link with the smaller alone."""
+    begins, rnd = np.array(partenum.bands()), random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    with np.errstate(over="ignore"):
+        sig = lambda ws: set(partenum.signatures(partenum.shingles(" ".join(ws), partenum._Words()), begins).tolist())
+        for _ in range(20_000):
+            large = [word() for _ in range(34)]
+            small = large[:28]
+            s, b = sig(small), sig(large)
+            if len(s & b) != partenum.slack(30):
+                continue
+            copies = [[*small[:27], word()] for _ in range(60)]
+            copies = [c for c in copies if s & b <= sig(c)][:12]
+            if len(copies) == 12 and all(sum(x in sig(c) for c in copies) + (x in s) < 1 for x in b - s):
+                return [" ".join(x) for x in (large, small, *copies)]
+    raise AssertionError("none found")
+
+
+def test_crowded_pair_across_a_step_of_the_slack(spark):
+    rows = list(enumerate(gap_family()))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    assert want[0] == (30, 0) and want[1] == (24, 0)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.jaccard_components(df).collect()} == want
