@@ -1,25 +1,24 @@
 """A quality classifier by co-training on two views of a document.
 
-One classifier sees the text, the other its metadata. Each round, each of them labels the unlabelled documents it is most
-sure of for the other. In the end both are calibrated on labelled rows that no round has used, and every document is
+One classifier sees the text, the other its metadata. Each round, each of them scores all unlabelled documents and labels
+those it is most sure of for the other. In the end both are calibrated on labelled rows that no round has used, and every document is
 scored by the sum of their calibrated log-odds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.workspace import materialize, slices
 
-#: Labelled rows, and unlabelled ones, that the classifiers are fitted on, at most; chosen by a hash.
+#: Labelled rows that the classifiers are fitted on, at most; chosen by a hash.
 MAX_LABELLED = 20_000
-MAX_POOL = 20_000
 ROUNDS = 5
 #: Pseudo-labels of each class that a classifier gives in a round, as a part of the labelled rows, and the least confidence.
 SHARE = 0.05
@@ -118,29 +117,58 @@ class Views:
         return 1 / (1 + np.exp(-np.clip(np.stack((both, text, metadata), 1), -30, 30)))
 
 
+def _sureness(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """How sure a view is of label 1."""
+    return 1 / (1 + np.exp(-np.clip(_odds(x, w), -30, 30)))
+
+
+#: From the weights of each view, and how many rows to take of labels 0 and 1, to the rows that each view got labels for
+#: from the other: their features in it, and the labels. A row is given to a view once.
+Choose = Callable[[dict[str, np.ndarray], tuple[int, int]], dict[str, tuple[np.ndarray, np.ndarray]]]
+_OTHER = {"x": "m", "m": "x"}
+
+
+def choose_from(pool: dict[str, np.ndarray]) -> Choose:
+    """The choice from a pool in memory."""
+    free = {v: np.ones(len(pool[v]), bool) for v in pool}
+
+    def choose(weights: dict[str, np.ndarray], most: tuple[int, int]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        out = {}
+        for view, other in _OTHER.items():
+            p = _sureness(pool[view], weights[view])
+            rows = []
+            for sure, n in zip((1 - p, p), most):
+                best = np.argsort(-np.where(free[other], sure, -1), kind="stable")[:n]
+                rows.append(best[free[other][best] & (sure[best] >= CONFIDENT)])
+            free[other][np.concatenate(rows)] = False
+            out[other] = pool[other][np.concatenate(rows)], np.repeat((0.0, 1.0), [len(r) for r in rows])
+        return out
+
+    return choose
+
+
 def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, pool_x: np.ndarray, pool_m: np.ndarray, rounds: int = ROUNDS) -> Views:
-    """Labelled rows (views x, m and labels y) and a pool without labels to a classifier of both views. Every fifth labelled
-    row is for calibration alone."""
+    """Labelled rows (views x, m and labels y) and a pool without labels to a classifier of both views."""
+    return co_train_by(x, m, y, choose_from({"x": pool_x, "m": pool_m}), rounds if len(pool_x) else 0)
+
+
+def co_train_by(x: np.ndarray, m: np.ndarray, y: np.ndarray, choose: Choose, rounds: int = ROUNDS) -> Views:
+    """Labelled rows (views x, m and labels y), and a choice from a pool without labels, to a classifier of both views.
+    Every fifth labelled row is for calibration alone."""
     hold = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
-    seen = {"x": (x[~hold], pool_x), "m": (m[~hold], pool_m)}
+    seen = {"x": x[~hold], "m": m[~hold]}
     base = y[~hold]
-    pseudo = {v: np.full(len(pool_x), np.nan) for v in seen}
+    pseudo = {v: (seen[v][:0], base[:0]) for v in seen}
+    most = tuple(max(1, int(SHARE * (base == label).sum())) for label in (0.0, 1.0))
 
     def fitted(view: str) -> np.ndarray:
-        own, pool = seen[view]
-        got = ~np.isnan(pseudo[view])
-        return fit_logistic(np.concatenate((own, pool[got])), np.concatenate((base, pseudo[view][got])), np.concatenate((np.ones(len(base)), np.full(got.sum(), 0.5))))
+        rows, labels = pseudo[view]
+        return fit_logistic(np.concatenate((seen[view], rows)), np.concatenate((base, labels)), np.concatenate((np.ones(len(base)), np.full(len(labels), 0.5))))
 
     weights = {v: fitted(v) for v in seen}
-    for _ in range(rounds if len(pool_x) else 0):
-        for view, other in (("x", "m"), ("m", "x")):
-            p = 1 / (1 + np.exp(-np.clip(_odds(seen[view][1], weights[view]), -30, 30)))
-            free = np.isnan(pseudo[other])
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                n = max(1, int(SHARE * (base == label).sum()))
-                best = np.argsort(-np.where(free, sure, -1), kind="stable")[:n]
-                best = best[free[best] & (sure[best] >= CONFIDENT)]
-                pseudo[other][best] = label
+    for _ in range(rounds):
+        for view, (rows, labels) in choose(weights, most).items():
+            pseudo[view] = np.concatenate((pseudo[view][0], rows)), np.concatenate((pseudo[view][1], labels))
         weights = {v: fitted(v) for v in seen}
     test = hold if hold.any() else np.ones(len(y), bool)
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
@@ -153,19 +181,70 @@ def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, pool_x: np.ndarray, po
 
 def _features(df: DataFrame, text: str, metadata: tuple[str, ...], carried: str) -> DataFrame:
     """(carried columns, x, m) with the features of both views packed as 32-bit floats."""
+    names = [c.split()[0] for c in carried.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
             x = [text_features(t).tobytes() for t in batch.column("__text").to_pylist()]
             m = metadata_features({c: batch.column(c) for c in metadata})
-            rest = [batch.column("label")] if carried else []
-            yield pa.record_batch([*rest, pa.array(x), pa.array([r.astype("<f4").tobytes() for r in m])], names=[*(["label"] if carried else []), "x", "m"])
+            rest = [batch.column(c) for c in names]
+            yield pa.record_batch([*rest, pa.array(x), pa.array([r.astype("<f4").tobytes() for r in m])], names=[*names, "x", "m"])
+
+    return df.mapInArrow(run, f"{carried}, x binary, m binary")
+
+
+def _best(weights: dict[str, np.ndarray], taken: dict[str, np.ndarray], most: tuple[int, int]):
+    """A function for mapInArrow over rows (key, row, x, m) to (other, label, sure, key, row): those of a task that each
+    view is most sure of and that the other has not got."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {(v, label): np.zeros(0, [("sure", "f8"), ("key", "i8"), ("row", "i8")]) for v in _OTHER for label in (0, 1)}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, row = batch.column("key").to_numpy(), batch.column("row").to_numpy()
+            for view, other in _OTHER.items():
+                p = _sureness(_matrix(batch.column(view).to_pylist()), weights[view])
+                free = ~np.isin(row, taken[other])
+                for label, sure in ((0, 1 - p), (1, p)):
+                    at = np.flatnonzero(free & (sure >= CONFIDENT))
+                    new = np.empty(len(at), best[view, label].dtype)
+                    new["sure"], new["key"], new["row"] = sure[at], key[at], row[at]
+                    both = np.concatenate((best[view, label], new))
+                    best[view, label] = both[np.lexsort((both["row"], both["key"], -both["sure"]))[: most[label]]]
+        for (view, label), rows in best.items():
+            given = [pa.array([_OTHER[view]] * len(rows), pa.string()), pa.array(np.full(len(rows), label, np.int32))]
+            yield pa.record_batch([*given, *[pa.array(np.ascontiguousarray(rows[c])) for c in ("sure", "key", "row")]], names=["other", "label", "sure", "key", "row"])
+
+    return run
+
+
+def choose_by_spark(pool: DataFrame) -> Choose:
+    """The choice from all rows (key, row, x, m) of a table, of which `row` tells apart rows and `key` decides between rows
+    of which a view is equally sure. Only what is chosen comes to the driver."""
+    taken = {v: np.zeros(0, np.int64) for v in _OTHER}
+
+    def choose(weights: dict[str, np.ndarray], most: tuple[int, int]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        found = pool.mapInArrow(_best(weights, taken, most), "other string, label int, sure double, key long, row long")
+        rank = F.row_number().over(Window.partitionBy("other", "label").orderBy(F.desc("sure"), "key", "row"))
+        found = found.withColumn("__rank", rank).filter(F.col("__rank") <= F.when(F.col("label") == 1, most[1]).otherwise(most[0]))
+        chosen = materialize(found.select("other", "label", "key", "row"), "chosen")
+        features = F.when(F.col("other") == "x", F.col("x")).otherwise(F.col("m")).alias("features")
+        got = pool.drop("key").join(F.broadcast(chosen), "row").select("other", "label", "key", "row", features).collect()
+        got.sort(key=lambda r: (r.label, r.key, r.row))
+        out = {}
+        for v in _OTHER:
+            of = [r for r in got if r.other == v]
+            if of:
+                taken[v] = np.concatenate((taken[v], [r.row for r in of]))
+                out[v] = _matrix([r.features for r in of]), np.array([float(r.label) for r in of])
+        return out
 
-    return df.mapInArrow(run, f"{carried}x binary, m binary")
+    return choose
 
 
 def _matrix(rows: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(r, "<f4") for r in rows])
+    return np.frombuffer(b"".join(rows), "<f4").reshape(len(rows), -1)
 
 
 def _sample(df: DataFrame, key: Column, most: int) -> DataFrame:
@@ -177,22 +256,21 @@ def _sample(df: DataFrame, key: Column, most: int) -> DataFrame:
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", text: str = "text", metadata: tuple[str, ...] = ("source", "lang", "n_chars")) -> Views | None:
-    """Fit on the rows of df that `labels` (id_col, label of 0 or 1) names, and on others as the pool. None where there are
+    """Fit on the rows of df that `labels` (id_col, label of 0 or 1) names, and on all others as the pool. None where there are
     not both classes. Rows without a label value are no labelled rows; of several labels of an id the smallest counts."""
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label).cast("double").alias("label"))
     rows = df.select(id_col, F.col(text).alias("__text"), *metadata, F.xxhash64(F.col(id_col), F.lit("quality")).alias("__order"))
     chosen = _sample(known.withColumn("__order", F.xxhash64(F.col(id_col), F.lit("quality"))), F.col("__order"), MAX_LABELLED).select(id_col, "label")
     labelled = rows.join(F.broadcast(chosen), id_col).orderBy("__order").select("__text", *metadata, "label")
-    pool = _sample(rows.join(F.broadcast(chosen.select(id_col)), id_col, "left_anti"), F.col("__order"), MAX_POOL).select("__text", *metadata)
-    got = materialize(_features(labelled, text, metadata, "label double, "), "labelled").collect()
+    got = materialize(_features(labelled, text, metadata, "label double"), "labelled").collect()
     y = np.array([r.label for r in got])
     if not len(y) or y.min() == y.max():
         return None
-    more = materialize(_features(pool, text, metadata, ""), "pool").collect()
+    pool = rows.join(F.broadcast(chosen.select(id_col)), id_col, "left_anti").withColumns({"key": F.col("__order"), "row": F.monotonically_increasing_id()})
+    pool = materialize(_features(pool.select("__text", *metadata, "key", "row"), text, metadata, "key long, row long"), "pool")
     x, m = _matrix([r.x for r in got]), _matrix([r.m for r in got])
     order = np.argsort([xxhash.xxh3_64_intdigest(r.x + r.m) for r in got], kind="stable")
-    pool_x, pool_m = (_matrix([r[v] for r in more]) for v in ("x", "m")) if more else (x[:0], m[:0])
-    return co_train(x[order], m[order], y[order], pool_x, pool_m)
+    return co_train_by(x[order], m[order], y[order], choose_by_spark(pool))
 
 
 def score(df: DataFrame, model: Views | None, text: str = "text", metadata: tuple[str, ...] = ("source", "lang", "n_chars")) -> DataFrame:

@@ -90,6 +90,26 @@ def test_views_label_for_each_other():
     assert right(both) >= right(alone) - 0.005 and right(both) > 0.93
 
 
+def test_all_unlabelled_rows_take_part(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(cotrain, "MAX_POOL", 10, raising=False)
+    docs, labels = spark.read.parquet(f"{FOLDER}/documents.parquet").repartition(5), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    some, metadata = labels.filter("doc_id % 3 = 0"), ("source", "lang", "n_chars")
+    got = cotrain.train(docs, some)
+    of = {r.doc_id: float(r.quality) for r in some.filter("quality is not null").collect()}
+    rows = docs.orderBy(F.xxhash64("doc_id", F.lit("quality"))).toArrow()
+    x = np.stack([cotrain.text_features(t) for t in rows["text"].to_pylist()])
+    m = cotrain.metadata_features({c: rows[c].combine_chunks() for c in metadata}).astype(np.float32)
+    y = np.array([of.get(i, np.nan) for i in rows["doc_id"].to_pylist()])
+    known = np.flatnonzero(~np.isnan(y))
+    known = known[np.argsort([cotrain.xxhash.xxh3_64_intdigest(x[i].tobytes() + m[i].tobytes()) for i in known], kind="stable")]
+    want = cotrain.co_train(x[known], m[known], y[known], x[np.isnan(y)], m[np.isnan(y)])
+    assert np.allclose(got.text, want.text, atol=1e-6) and np.allclose(got.metadata, want.metadata, atol=1e-6)
+    alone = cotrain.co_train(x[known], m[known], y[known], x[:0], m[:0])
+    assert not np.allclose(want.text, alone.text, atol=1e-2)
+
+
 def test_no_labels_nulls_and_clashes(spark):
     schema = "doc_id long, text string, source string, lang string, n_chars long, score string"
     df = spark.createDataFrame([(1, None, None, None, None, "x"), (2, "", "s", "en", 0, "y")], schema)
