@@ -32,17 +32,20 @@ SYLLABLES = {
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "|".join(FEMALE + MALE + NEUTRAL)
+#: A part of a name, to its end: also McDonald, O'Brien and Smith-Jones, but not the 's of a genitive.
+_PART = r"\p{Lu}(?:[\p{L}\p{M}]+|['’]\p{Lu}[\p{L}\p{M}]+)(?:['’]\p{Lu}[\p{L}\p{M}]+|-[\p{L}\p{M}]+)*"
 #: Patterns by type, tried in this order at each place of a text.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\+\d{10,14})(?!\d)",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\+\d{10,14}|\+\d{1,3}(?:[ .\-]?\(\d{1,4}\))?(?:[ .\-]?\d){7,12})(?!\d)",
     "card": r"(?<!\d)(?<!\d\.)\d(?:[ \-]?\d){12,18}(?!\d)",
+    "national": r"(?<![\d+])(?<!\d[.\-])(?:\d{3}(?: \d{3} |\.\d{3}\.|-\d{3}-)\d{4}|0\d(?:[ .\-]\d{2}){4}|0\d{2,4}[ /\-]\d{6,8})(?![\d\-]|\.\d)",
     "secret": r"(?=[A-Za-z0-9_+/\-]{16})(?<=(?i:token|secret|passw(?:or)?d|api[_\-]?key|access[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/\-]++",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.? {_PART}(?: {_PART})?",
 }
-BEFORE_CARDS, AFTER_CARDS = ("|".join(f"(?:{PATTERNS[k]})" for k in kinds) for kinds in (("email", "ip", "ssn", "phone"), ("secret", "name")))
+BEFORE_CARDS, AFTER_CARDS = ("|".join(f"(?:{PATTERNS[k]})" for k in kinds) for kinds in (("email", "ip", "ssn", "phone"), ("national", "secret", "name")))
 #: Groupings of digits that cards are written in, the usual ones first; a year in front belongs to none of them.
 CARD_GROUPS = (r"\d{13,19}", r"\d{4}(?:[ \-]\d{4}){3}", r"\d{4}[ \-]\d{6}[ \-]\d{4,5}", r"\d{4}(?:[ \-]\d{4}){3}[ \-]\d{1,3}", r"\d{4}(?:[ \-]\d{3}){3}", r"\d{6}[ \-]\d{13}")
 #: A text without a match of this has no entity.
@@ -71,7 +74,7 @@ def kind_of(raw: Column) -> Column:
         whole = raw.rlike(rf"^(?:{pattern})$") if kind != "secret" else raw.rlike(r"^[A-Za-z0-9_+/\-]{16,}$")
         if kind == "card":
             whole = whole & (_luhn_sum(_digits(raw)) % 10 == 0)
-        out = F.when(whole, F.lit(kind)).otherwise(out)
+        out = F.when(whole, F.lit("phone" if kind == "national" else kind)).otherwise(out)
     # a run of digits can be a card or, after its key word, a secret; without a valid check digit it is left alone
     return F.when(raw.rlike(r"^[\d \-]{13,}$") & (out == "secret"), F.lit(None)).otherwise(out)
 
@@ -105,7 +108,7 @@ def core_of(kind: Column, raw: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(raw))
         .when(kind.isin("phone", "card", "ssn"), _digits(raw))
-        .when(kind == "name", F.concat_ws("|", gender, script, F.size(F.split(_name_of(raw), " ")).cast("string"), F.lower(_name_of(raw))))
+        .when(kind == "name", F.concat_ws("|", gender, script, F.size(F.split(_name_of(raw), " ")).cast("string"), F.translate(F.lower(_name_of(raw)), "’", "'")))
         .otherwise(raw)
     )
 

@@ -63,6 +63,16 @@ def test_card_beside_other_numbers(spark):
     assert re.sub(r"\D", "", got[6]) == new == re.sub(r"\D", "", got[4])[4:20]
 
 
+def test_phones_and_names_of_other_forms(spark):
+    phones = ("743-555-3824", "+33 1 42 68 53 00", "+49 30 1234567", "01 42 68 53 00", "030 1234567")
+    got = replaced(spark, *(f"in 2024 call {p}, now" for p in phones), "Mr McDonald, Mr McGregor, Mrs O'Brien; Mr McDonald's and Frau Meier-Schulz.", "4994 2260 2090 0891 and 2024-01-02 10.12.2024 1.234.567")
+    for old, new in zip(phones, got):
+        assert old not in new and re.sub(r"\d", "#", new) == re.sub(r"\d", "#", f"in 2024 call {old}, now") and new.startswith("in 2024 call "), new
+    names = re.fullmatch(r"Mr ([A-Z][a-z]+), Mr ([A-Z][a-z]+), Mrs ([A-Z][a-z]+); Mr ([A-Z][a-z]+)'s and Frau ([A-Z][a-z]+)\.", got[5])
+    assert names and names[1] == names[4] != names[2] and not re.search("Donald|Gregor|Brien|Meier|Schulz", got[5])
+    assert got[6].endswith(" and 2024-01-02 10.12.2024 1.234.567")
+
+
 def test_key_decides(spark):
     (a,), (b,), (c,) = (replaced(spark, "ip 227.5.221.1", key=k) for k in ("k", "k", "other"))
     assert a == b != c
