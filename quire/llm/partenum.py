@@ -8,11 +8,11 @@ same in both sets: each set takes its first k + 1 + slack partitions that have f
 the enumeration of PartEnum with single partitions as subsets. A set also takes part in the next band if a set that
 it may match lies there.
 
-The slack is what makes frequent passages harmless. Two sets that match share at least 1 + slack signatures, by the slack of
-the smaller. A signature that many sets have is *crowded*; a set with at most as many crowded signatures as the slack of the
-smallest set that it may match shares an uncrowded one with all it matches, so its crowded ones need no look. Sets with more are those that consist of shared text, near copies
-above all; they are held against one pivot for each crowded signature, and only groups that this leaves in several
-components go on to the next rounds.
+The slack is what makes frequent passages harmless. Two sets that match share at least 1 + slack signatures, by the
+slack of the smaller. A signature that many sets have is *crowded*; a set with at most as many crowded signatures as the
+slack of the smallest set that it may match shares an uncrowded one with all it matches, so its crowded ones need no look.
+Sets with more are those that consist of shared text, near copies above all; they are held against one pivot for each
+crowded signature, and only groups that this leaves in several components go on to the next rounds.
 
 A candidate pair first has its *prints* compared: a set's features fall into about as many cells as it has features, and
 the print has four bits of a sum for each cell. A cell that differs holds a feature that differs, so a pair with more such
