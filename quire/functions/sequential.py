@@ -4,6 +4,7 @@ time in a task; a group is a bounded number of readings."""
 from __future__ import annotations
 
 import difflib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,27 +14,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-SENTENCE_ENDS = "。．.!?！？\n"
+#: Fixed values.
+SENTENCE_ENDS = "。」!?"
 
 
-def chunks(text: str, size: int = 800, overlap: int = 50, look_back: int = 100) -> list[str]:
-    """Parts of at most `size` characters, cut after the last sentence end among their last `look_back`, each beginning
-    `overlap` before the end of the one before; trimmed, without empty ones."""
+def chunk_places(text: str, size: int = 800, overlap: int = 50, look_back: int = 100) -> list[tuple[int, str]]:
+    """(where it begins, part) for parts of at most `size` characters, cut after the last sentence end among their last
+    `look_back`, each beginning `overlap` before the end of the one before; trimmed, without empty ones."""
     out, at = [], 0
     while at < len(text):
         stop = min(len(text), at + size)
         if stop < len(text):
-            found = max(text.rfind(c, max(at + 1, stop - look_back), stop) for c in SENTENCE_ENDS)
-            stop = found + 1 if found > 0 else stop
+            low = max(at + size - look_back, at + 1)
+            found = max(text.rfind(c, low, stop) for c in SENTENCE_ENDS)
+            stop = found + 1 if found >= low else stop
         part = text[at:stop].strip()
         if part:
-            out.append(part)
+            out.append((at, part))
         if stop >= len(text):
             break
         at = max(stop - overlap, at + 1)
     return out
 
 
+def chunks(text: str, size: int = 800, overlap: int = 50, look_back: int = 100) -> list[str]:
+    if len(text) <= size:
+        return [text.strip()] if text.strip() else []
+    return [part for _, part in chunk_places(text, size, overlap, look_back)]
+
+
+def book_chunks(pages: list[tuple[int, str]], size: int = 1200, overlap: int = 120, least: int = 30) -> list[tuple[int, int, str]]:
+    """(page, chunk_idx, text) over the joined pages (page, text) of a book that have `least` characters: a chunk belongs to
+    the page it begins on."""
+    pages = [(p, t) for p, t in pages if len(t or "") >= least]
+    begins = np.cumsum([0, *[len(t) for _, t in pages]])[: len(pages)]
+    parts = chunk_places("".join(t for _, t in pages), size, overlap, max(size // 10, 50))
+    return [(pages[int(np.searchsorted(begins, at, "right")) - 1][0], i, part) for i, (at, part) in enumerate(parts)]
+
+
+def chunked_books(df: DataFrame, book: str, page: str, text: str, size: int = 1200, overlap: int = 120, least: int = 30) -> DataFrame:
+    """(book, page, chunk_idx, text) of books across their pages. A book is one row while it is cut: it must fit in a task."""
+
+    @F.arrow_udf("array<struct<page:long,chunk_idx:int,text:string>>")
+    def cut(books: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("page", pa.int64()), ("chunk_idx", pa.int32()), ("text", pa.string())]))
+        return pa.array([[dict(zip(("page", "chunk_idx", "text"), c)) for c in book_chunks([(x["p"], x["t"]) for x in pages], size, overlap, least)] for pages in books.to_pylist()], kind)
+
+    lists = df.groupBy(book).agg(F.array_sort(F.collect_list(F.struct(F.col(page).cast("long").alias("p"), F.col(text).alias("t")))).alias("__pages"))
+    return lists.select(book, F.inline(cut("__pages"))).select(book, F.col("page").alias(page), "chunk_idx", F.col("text").alias(text))
+
+
 def chunked(df: DataFrame, key: str, text: str, size: int = 800, overlap: int = 50) -> DataFrame:
     """(key, chunk_idx, text) of every text; null texts have no chunks."""
 
@@ -44,28 +74,49 @@ def chunked(df: DataFrame, key: str, text: str, size: int = 800, overlap: int =
     return df.select(key, F.posexplode(cut(text)).alias("chunk_idx", "text"))
 
 
+def _rows(r: np.ndarray, h: np.ndarray, above: np.ndarray, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of the table of distances under `above`, each with its directions: 1 substitution or match, 2 deletion,
+    3 insertion, in this order of preference."""
+    steps = np.arange(len(h) + 1, dtype=np.int32)
+    for i, c in enumerate(r, first):
+        sub, drop = above[:-1] + (h != c), above[1:] + 1
+        row = np.concatenate(([i], np.minimum(sub, drop))).astype(np.int32)
+        row = np.minimum.accumulate(row - steps) + steps
+        way = np.full(len(row), 3, np.uint8)
+        way[1:][row[1:] == drop] = 2
+        way[1:][row[1:] == sub] = 1
+        way[0] = 2
+        yield row, way
+        above = row
+
+
 def edit_operations(reference: str, hypothesis: str) -> list[tuple[str, int, str, str]]:
     """(operation, place in the reference, its character, the other) on a shortest path; of equal ones a substitution is
-    taken before a deletion, a deletion before an insertion, from the end."""
+    taken before a deletion, a deletion before an insertion, from the end.
+
+    Every so many rows of distances are kept, and the directions of the rows between two of them are made again when the
+    path reaches them: memory grows with the longer text times the root of the shorter."""
     n, m = len(reference), len(hypothesis)
-    r, h = np.array([ord(c) for c in reference]), np.array([ord(c) for c in hypothesis])
-    table = np.zeros((n + 1, m + 1), np.int32)
-    table[0] = np.arange(m + 1)
-    steps = np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.empty(m + 1, np.int32)
-        row[0] = i
-        if m:
-            row[1:] = np.minimum(table[i - 1, :-1] + (h != r[i - 1]), table[i - 1, 1:] + 1)
-        table[i] = np.minimum.accumulate(row - steps) + steps
-    out, i, j = [], n, m
+    r, h = np.array([ord(c) for c in reference], np.uint32), np.array([ord(c) for c in hypothesis], np.uint32)
+    block = max(16, math.isqrt(n))
+    kept = [np.arange(m + 1, dtype=np.int32)]
+    for i, (row, _) in enumerate(_rows(r, h, kept[0], 1), 1):
+        if i % block == 0:
+            kept.append(row)
+    out, i, j, begin, ways = [], n, m, n + 1, []
     while i or j:
-        if i and j and reference[i - 1] == hypothesis[j - 1] and table[i, j] == table[i - 1, j - 1]:
-            i, j = i - 1, j - 1
-        elif i and j and table[i, j] == table[i - 1, j - 1] + 1:
+        if not i:
+            way = 3
+        else:
+            if i <= begin:
+                begin = (i - 1) // block * block
+                ways = [w for _, w in _rows(r[begin:i], h, kept[begin // block], begin + 1)]
+            way = ways[i - begin - 1][j]
+        if way == 1:
             i, j = i - 1, j - 1
-            out.append(("substitution", i, reference[i], hypothesis[j]))
-        elif i and table[i, j] == table[i - 1, j] + 1:
+            if reference[i] != hypothesis[j]:
+                out.append(("substitution", i, reference[i], hypothesis[j]))
+        elif way == 2:
             i -= 1
             out.append(("deletion", i, reference[i], ""))
         else:
@@ -91,18 +142,17 @@ def matched_places(reference: str, hypothesis: str) -> set[int]:
     return set(range(len(reference))) - missed
 
 
-def vote(readings: list[str], pivot: int, support: int = 2) -> str:
-    """Readings of one text, character by character against the pivot: a gap is filled and a character deleted with enough
-    support, a unique majority takes a place, else the pivot's character stays."""
+def vote(readings: list[str], pivot: int, support: int = 2, delete_support: int = 3, gap_support: int = 2) -> str:
+    """Readings of one text, character by character against the pivot. A gap takes what most propose, the longest and then
+    the last of equals, with enough support; a character that enough readings lack goes; a unique majority takes a place,
+    else the pivot's character stays."""
     base = readings[pivot]
-    columns: list[Counter] = [Counter({c: 1}) for c in base]
+    columns: list[Counter] = [Counter() for _ in base]
     gaps: list[Counter] = [Counter() for _ in range(len(base) + 1)]
-    for k, other in enumerate(readings):
-        if k == pivot:
-            continue
-        seen = {p: "" for p in ()}
+    for other in readings:
+        seen: dict[int, str] = {}
         inserted: dict[int, str] = {}
-        for kind, place, _, found in edit_operations(base, other):
+        for kind, place, _, found in edit_operations(base, other) if other != base else ():
             if kind == "insertion":
                 inserted[place] = inserted.get(place, "") + found
             else:
@@ -113,16 +163,14 @@ def vote(readings: list[str], pivot: int, support: int = 2) -> str:
             gaps[p][text] += 1
     out = []
     for p in range(len(base) + 1):
-        if gaps[p]:
-            text, n = max(gaps[p].items(), key=lambda x: (x[1], x[0]))
-            if n >= support:
-                out.append(text)
-        if p < len(base):
-            (best, n), *rest = columns[p].most_common()
-            unique = not rest or rest[0][1] < n
-            c = best if unique else base[p]
-            if c or n < support:
-                out.append(c or base[p])
+        ready = [(n, len(text), text) for text, n in gaps[p].items() if n >= gap_support]
+        if ready:
+            out.append(max(ready)[2])
+        if p == len(base) or columns[p].pop("", 0) >= delete_support:
+            continue
+        best = max(columns[p].values(), default=0)
+        chosen = [c for c, n in columns[p].items() if n == best]
+        out.append(chosen[0] if best >= support and len(chosen) == 1 else base[p])
     return "".join(out)
 
 
@@ -154,12 +202,13 @@ def consensus(df: DataFrame, group: str, index: str, text: str, support: int = 2
 
 
 def segments(lengths: list[int], most: int, extra: int = 32) -> list[int]:
-    """A block number for each item: a new block begins where the sum with the next and `extra` would exceed `most`."""
-    out, block, total = [], 0, 0
+    """A block number for each item: each counts `extra` besides its length, and a new block begins where the sum would exceed
+    `most`."""
+    out, block, total, begun = [], 0, 0, False
     for n in lengths:
-        if total and total + n + extra > most:
+        if begun and total + n + extra > most:
             block, total = block + 1, 0
-        total += n + (extra if total else 0)
+        total, begun = total + n + extra, True
         out.append(block)
     return out
 
@@ -175,19 +224,22 @@ def balanced(sizes: list[int], workers: int) -> list[int]:
 
 
 def richest(pages: list[tuple[int, int]], budget: int, bins: int = 12) -> list[int]:
-    """Of (page, length) in order: the first and last, the longest of each temporal bin, then by length, within a budget
-    of length; in order of pages."""
-    if not pages:
-        return []
-    chosen, total = {}, 0
-    best: dict[int, tuple[int, int]] = {}
-    for k, (page, n) in enumerate(pages):
-        b = k * bins // len(pages)
-        if b not in best or n > best[b][1]:
-            best[b] = (page, n)
-    order = [pages[0], pages[-1], *[best[b] for b in sorted(best)], *sorted(pages, key=lambda x: (-x[1], x[0]))]
-    for i, (page, n) in enumerate(order):
-        if page not in chosen and (i < 2 or total + n <= budget):
-            chosen[page] = n
-            total += n
-    return sorted(chosen)
+    """Of (page, length) all pages if they fit in a budget of characters with their headers; else the first and last (an error if
+    these do not fit), the longest of each temporal bin, then by length, as long as they fit; in order of pages."""
+    pages = sorted(pages)
+    header = [len(f"[page {page}]\n") for page, _ in pages]
+    if not pages or sum(header) + sum(n for _, n in pages) + 2 * (len(pages) - 1) <= budget:
+        return [page for page, _ in pages]
+    cost = [h + n + 2 for h, (_, n) in zip(header, pages)]
+    chosen = {0, len(pages) - 1}
+    used = sum(cost[k] for k in chosen)
+    if used > budget:
+        raise ValueError("the first and the last page exceed the budget")
+    count = min(max(1, bins), len(pages))
+    of_bins = [max(range(b * len(pages) // count, (b + 1) * len(pages) // count), key=lambda k: pages[k][1]) for b in range(count)]
+    rest = sorted(set(range(len(pages))) - set(of_bins), key=lambda k: (-pages[k][1], pages[k][0]))
+    for k in [*of_bins, *rest]:
+        if k not in chosen and used + cost[k] <= budget:
+            chosen.add(k)
+            used += cost[k]
+    return [pages[k][0] for k in sorted(chosen)]
