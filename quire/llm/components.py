@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.workspace import materialize
+from quire.llm.workspace import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        rows = materialize(small, "edges")
+        old, rows = rows, materialize(small, "edges")
+        discard(old)
     roots = rows.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return rows.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 

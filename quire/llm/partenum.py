@@ -11,8 +11,11 @@ it may match lies there.
 The slack is what makes frequent passages harmless. Two sets that match share at least 1 + slack signatures, by the
 slack of the smaller. A signature that many sets have is *crowded*; a set with at most as many crowded signatures as the
 slack of the smallest set that it may match shares an uncrowded one with all it matches, so its crowded ones need no look.
-Sets with more are those that consist of shared text, near copies above all; they are held against one pivot for each
-crowded signature, and only groups that this leaves in several components go on to the next rounds.
+Sets with more are those that consist of shared text, near copies above all. They are held against one pivot for each
+crowded signature; the crowds that this leaves in several components are signed anew by single shingles, without those
+that many of the crowds' sets have. What shares no rare shingle and can link all the same has few rare ones: such sets
+are held against pivots until each was one, and only pairs whose numbers of rare and frequent shingles and sketches (the
+parity of 512 cells) allow a link leave the join.
 
 A candidate pair first has its *prints* compared: a set's features fall into about as many cells as it has features, and
 the print has four bits of a sum for each cell. A cell that differs holds a feature that differs, so a pair with more such
@@ -31,14 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.workspace import lookup, materialize, schema_with, slices, small_enough, with_columns
+from quire.llm.workspace import discard, lookup, materialize, schema_with, slices, small_enough, with_columns
 
 WORDS = 5
 PERCENT = 80
 #: Sets that share an uncrowded signature at most.
 CROWD = 8
 #: Words and sets that a worker remembers; then it forgets all.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
+#: Of sets in divided crowds, those that share a rare shingle at most.
+RARE = 16
+SKETCH = [f"s{i}" for i in range(8)]
 HOT_SHARE = 1000
 #: Sets that one task compares with a pivot, about.
 MEMBERS = 500
@@ -90,6 +96,13 @@ def print_of(features: np.ndarray) -> bytes:
     return ((cells[::2] & 15) | (cells[1::2] & 15) << 4).astype(np.uint8).tobytes()
 
 
+def sketch_of(features: np.ndarray) -> np.ndarray:
+    """Eight 64-bit integers: whether each of 512 cells has an odd number of features. Cells that differ hold a feature
+    that differs."""
+    odd = np.bincount(((features >> _U(20)) & _U(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def cells_apart(x: bytes, y: bytes) -> int:
     """Cells in which two prints differ, after the longer one is folded to the length of the other."""
     a, b = (np.frombuffer(p, np.uint8) for p in ((x, y) if len(x) <= len(y) else (y, x)))
@@ -169,7 +182,7 @@ def _sets(n: int, make):
 
 
 def document_classes(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """Rows (id, place, text) to (id, place, class, n_shingles, print); class and print are null for an empty set."""
+    """Rows (id, place, text) to (id, place, class, n_shingles, print, s0 ... s7); class and print are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -181,9 +194,11 @@ def document_classes(docs: DataFrame, n: int = WORDS) -> DataFrame:
                     "n_shingles": pa.array([len(x) for x in found], pa.int64()),
                     "print": pa.array([print_of(x) if len(x) else None for x in found], pa.binary()),
                 }
+                sketches = np.array([sketch_of(x) for x in found])
+                new |= {s: pa.array(np.ascontiguousarray(sketches[:, i])) for i, s in enumerate(SKETCH)}
                 yield with_columns(batch.drop_columns(["text"]), new)
 
-    return docs.mapInArrow(run, schema_with(docs.drop("text"), {"class": "long", "n_shingles": "long", "print": "binary"}))
+    return docs.mapInArrow(run, schema_with(docs.drop("text"), {"class": "long", "n_shingles": "long", "print": "binary"} | dict.fromkeys(SKETCH, "long")))
 
 
 def signature_rows(rows: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -306,8 +321,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("place"), F.col(text_col).alias("text"))
     rows = materialize(document_classes(docs, n), "classes")
     one = F.min(F.struct("place", "id"))  # the row whose text stands for the class
-    groups = rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("least"), one.alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("print").alias("print"), F.count("*").alias("members"))
-    classes = materialize(groups.select("class", "least", "one.id", "one.place", "n_shingles", "print", "members"), "class_groups")
+    groups = rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("least"), one.alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("print").alias("print"), *[F.first(s).alias(s) for s in SKETCH], F.count("*").alias("members"))
+    classes = materialize(groups.select("class", "least", "one.id", "one.place", "n_shingles", "print", *SKETCH, "members"), "class_groups")
     rows = rows.select("id", "class", "n_shingles")
 
     dealt = signature_rows(docs.select("id", "text"), n, percent).repartition("sig").sortWithinPartitions("sig", "class")
@@ -328,25 +343,31 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = _verify(docs, classes, materialize(first.select("a", "b"), "first"), n, percent)
     labels = materialize(components(links), "labels")
 
-    # then pairs of different components, all uncrowded ones at once; a crowd that is still in several components is
-    # held against some of its members as pivots, which then leave it, and against more of them each time
-    rest, count = _apart(pairs, labels), 4
-    while True:
-        open_rows = materialize(_divided(open_rows, labels), "crowded")
-        chosen = materialize(_pivots(open_rows, count), "pivots")
-        edges = open_rows.join(chosen, "sig").filter("a <> class and a_label <> label").select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b"))
-        edges = _plausible(edges.distinct(), classes, percent)
-        edges = edges if rest is None else materialize(edges.unionByName(rest).distinct(), "pairs")
-        rest = None
-        if not edges.isEmpty():
-            more = _verify(docs, classes, edges, n, percent)
-            if not more.isEmpty():
-                links = materialize(links.unionByName(more), "links")
-                labels = materialize(components(links), "labels")
+    # second: all other pairs that share an uncrowded signature, or a rare shingle in crowds that are not yet one component
+    open_rows = _renew(_divided(open_rows, labels), "crowded", open_rows)
+    rest = _apart(pairs, labels)
+    if not open_rows.isEmpty():
+        alike, rare = _by_rare_shingles(docs, classes, open_rows, n, percent)
+        rest = rest.unionByName(_plausible(alike, classes, percent)).distinct()
+        info = classes.select("class", "n_shingles", *SKETCH).join(rare, "class")
+        open_rows = _renew(open_rows.select("sig", "class").join(info.filter(f"{percent} * rare <= {100 - percent} * (n_shingles - rare)"), "class"), "crowded", open_rows)
+    labels = _contracted(docs, classes, rest, labels, n, percent)
+
+    # then what is made of frequent shingles: a crowd that is still in several components is held against some of its
+    # members as pivots, which then leave it, and against many more of them each time
+    count = 16
+    while not open_rows.isEmpty():
+        open_rows = _renew(_divided(open_rows, labels), "crowded", open_rows)
+        chosen = materialize(_pivots(open_rows, count, percent), "pivots")
         if chosen.isEmpty():
             break
-        open_rows = open_rows.join(chosen.select("sig", F.col("a").alias("class")), ["sig", "class"], "left_anti").select("sig", "class")
-        count *= 4
+        near = open_rows.join(F.broadcast(chosen) if small_enough(chosen) else chosen, "sig").filter(_near_by_shape(percent))
+        edges = near.select(F.least("a.class", "class").alias("a"), F.greatest("a.class", "class").alias("b")).distinct()
+        labels = _contracted(docs, classes, _plausible(edges, classes, percent), labels, n, percent)
+        left = open_rows.join(chosen.select("sig", F.col("a.class").alias("class")), ["sig", "class"], "left_anti").drop("label")
+        open_rows = _renew(left, "crowded", open_rows)
+        discard(chosen)
+        count *= 64
 
     classes = classes.select("class", "least", "members")
     small = classes.join(labels, classes["class"] == labels["node"]).select("class", "least", "label")
@@ -359,25 +380,101 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return joined.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
+def _renew(df: DataFrame, name: str, old: DataFrame) -> DataFrame:
+    """df as a table, which takes the place of the one that it was made of."""
+    new = materialize(df, name)
+    discard(old)
+    return new
+
+
 def _divided(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of rows (sig, class) those whose signature still has several components, with their labels."""
+    """The rows (sig, class, ...) whose signature still has several components, with their labels."""
     labelled = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     mixed = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     return labelled.join(mixed.select("sig"), "sig", "left_semi")
 
 
-def _pivots(rows: DataFrame, count: int) -> DataFrame:
-    """`count` members of each signature: the smallest by hash in each of as many slices."""
-    best = rows.groupBy("sig", F.pmod(F.xxhash64("class"), F.lit(count)).alias("slice")).agg(F.min(F.struct("class", "label")).alias("p"))
-    return best.select("sig", F.col("p.class").alias("a"), F.col("p.label").alias("a_label"))
+def _by_rare_shingles(docs: DataFrame, classes: DataFrame, open_rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The finest partition, without the shingles that over RARE of the open sets have: pairs (a, b) of different
+    components that share a rare shingle and may link, and rows (class, rare) with the number of a set's rare ones.
+
+    Of two sets with r and q rare ones, c of them in both, and f and g others, r + q - 2c + |f - g| features differ at
+    least. Two sets without a common rare shingle (c = 0) are left to the frequent ones."""
+    members = materialize(open_rows.select("class", "label").distinct().join(classes.select("class", "id", "place", "n_shingles"), "class"), "open")
+    few = lambda df: F.broadcast(df) if small_enough(df) else df
+    found = materialize(_texts_of(docs, members).mapInArrow(_features(n), "class long, feature long"), "features")
+    common = found.groupBy("feature").agg(F.count("*").alias("sets")).filter(f"sets <= {RARE}").select("feature")
+    mine = found.join(common, "feature").join(few(members.select("class", "label", "n_shingles")), "class")
+    mine = _renew(mine, "rare", found)
+    rare = members.select("class").join(mine.groupBy("class").agg(F.count("*").alias("rare")), "class", "left").select("class", F.coalesce("rare", F.lit(0)).alias("rare"))
+    rare = materialize(rare, "rare_counts")
+    x, y = (mine.select("feature", F.col("class").alias(c), F.col("label").alias(f"l_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
+    met = x.join(y, "feature").filter(f"a < b and l_a <> l_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    met = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"))
+    for c in "ab":
+        met = met.join(few(rare.select(F.col("class").alias(c), F.col("rare").alias(f"r_{c}"))), c)
+    differ = "r_a + r_b - 2 * c + abs(n_a - r_a - n_b + r_b)"
+    return met.filter(f"({differ}) * {100 + percent} <= (n_a + n_b) * {100 - percent}").select("a", "b"), rare
+
+
+def _features(n: int):
+    """A function for mapInArrow: rows (class, text) to one (class, feature) for each shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        with np.errstate(over="ignore"):
+            for batch in slices(batches, "text", 1 << 18):
+                found = [shingles(t, words, n) for t in batch.column("text").to_pylist()]
+                classes = np.repeat(batch.column("class").to_numpy(), [len(x) for x in found])
+                yield _pair_batch(classes, np.concatenate(found).view(np.int64), "class", "feature")
+
+    return run
+
+
+def _pivots(rows: DataFrame, count: int, percent: int) -> DataFrame:
+    """`count` members of each signature, the smallest in each of as many slices, of those that can be the one with the
+    fewer rare shingles of a pair (an eighth of its own at 80 per cent)."""
+    light = rows.filter(f"2 * {percent} * rare <= {100 - percent} * n_shingles")
+    best = light.groupBy("sig", F.pmod(F.xxhash64("class"), F.lit(count)).alias("slice")).agg(F.min(F.struct("class", "label", "n_shingles", "rare", *SKETCH)).alias("a"))
+    return best.select("sig", "a")
+
+
+def _near_by_shape(percent: int) -> str:
+    """Whether a set and pivot `a` of different components can link, by rare and other shingles and by their sketches."""
+    apart = " + ".join(f"bit_count({s} ^ a.{s})" for s in SKETCH)
+    differ = "rare + a.rare + abs(n_shingles - rare - a.n_shingles + a.rare)"
+    return f"a.label <> label and a.class <> class and greatest({differ}, {apart}) * {100 + percent} <= (n_shingles + a.n_shingles) * {100 - percent}"
+
+
+def _contracted(docs: DataFrame, classes: DataFrame, pairs: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame:
+    """Labels after those of the pairs that link. Only components that a link joins are looked at again."""
+    pairs = materialize(pairs, "pairs")
+    if pairs.isEmpty():
+        return labels
+    links = _verify(docs, classes, pairs, n, percent)
+    discard(pairs)
+    joined = materialize(_labelled(links, labels).filter("l_a <> l_b").select(F.col("l_a").alias("a"), F.col("l_b").alias("b")).distinct(), "joined")
+    if joined.isEmpty():
+        return labels
+    new = components(joined)
+    moved = labels.join(F.broadcast(new) if small_enough(new) else new, labels["label"] == new["node"], "left").select(labels["node"], F.coalesce(new["label"], labels["label"]).alias("label"))
+    return _renew(moved.unionByName(new.join(labels.select("node"), "node", "left_anti")), "labels", labels)
+
+
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) with l_a and l_b, the components of both; a class without a label is one by itself."""
+    for c in "ab":
+        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}")), c, "left").withColumn(f"l_{c}", F.coalesce(f"l_{c}", c))
+    return pairs
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and prints allow a link."""
-    sizes = classes.select("class", "n_shingles")
-    left, right = (sizes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
-    near = pairs.join(left, "a").join(right, "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    near = materialize(near.select("a", "b", "n_a", "n_b"), "near")
+    """The pairs whose sizes, sketches and prints allow a link."""
+    shapes = classes.select("class", "n_shingles", *SKETCH)
+    left, right = (shapes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n_{c}"), *[F.col(s).alias(f"{s}_{c}") for s in SKETCH]) for c in "ab")
+    apart = " + ".join(f"bit_count({s}_a ^ {s}_b)" for s in SKETCH)
+    sized = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and ({apart}) * {100 + percent} <= (n_a + n_b) * {100 - percent}"
+    near = materialize(pairs.join(left, "a").join(right, "b").filter(sized).select("a", "b", "n_a", "n_b"), "near")
     few = F.broadcast(near) if small_enough(near) else near
     prints = classes.select(F.col("class").alias("c"), "print")
     x = few.join(prints, F.col("a") == F.col("c")).select("a", "b", "n_a", "n_b", F.col("print").alias("x"))
@@ -394,9 +491,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs of different components. Those that were compared and did not link are among them, again."""
-    left, right = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}")) for c in "ab")
-    joined = pairs.join(left, "a", "left").join(right, "b", "left")
-    return joined.filter(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b")
+    return _labelled(pairs, labels).filter("l_a <> l_b").select("a", "b")
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
