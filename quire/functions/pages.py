@@ -5,8 +5,13 @@ The patterns and limits below are fixed values of the rules.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 TOC = r"目\s*次|もくじ"
 SECTION = r"(?:序章|終章|プロローグ|エピローグ|あとがき|第[0-9一二三四五六七八九十百]+[章話節])"
@@ -16,7 +21,6 @@ SAMPLE = r"(?:電子(?:特別)?お試し版|電子(?:特別)?試し読み版|お
 AFTERWORD = r"(?:あとがき|後書き|奥付|発行所|発行者|発行日|ISBN|Copyright|©)"
 LATER_SECTION = r"(?:序章|終章|プロローグ|エピローグ|第[0-9一二三四五六七八九十百]+[章話節])"
 CONTENT = r"[\p{L}\p{N}_぀-ヿ㐀-鿿]"
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 NON_TEXT = ("picture", "image", "figure", "diagram")
 STRUCTURED = ("table", "table-of-contents", "formula", "handwriting")
 HONORIFIC_NAME = r"([㐀-鿿々〆ヵヶ]{2,8})(?:さん|様|殿|君|くん|ちゃん)"
@@ -77,25 +81,27 @@ def layout_type(html: Column, text: Column, chars: Column, kind: Column) -> Colu
     )
 
 
-def _repeats(values: Column, times: int, of=None) -> Column:
-    """Whether some value (that meets a condition) is there `times` times: then it is at two places of the sorted values."""
-    s = F.array_sort(values)
-    last = F.size(s) - times
-    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.exists(places, lambda i: (F.get(s, i) == F.get(s, i + times - 1)) & (of(F.get(s, i)) if of else F.lit(True)))
+_NO_CONTENT = regex.compile("[^" + CONTENT[1:])
+_SPACES = regex.compile(r"\s+")
 
 
-def has_repetition(text: Column) -> Column:
+def repeats(text: str) -> bool:
     """Whether a line of ten content characters comes three times, one of forty twice, two neighbouring lines of forty
     together twice, or some twelve content characters eight times."""
-    t = F.coalesce(text, F.lit(""))
-    count = lambda x: F.length(F.regexp_replace(x, "[^" + CONTENT[1:], ""))
-    lines = F.filter(F.transform(F.split(t, LINE_END), lambda x: F.regexp_replace(x, r"(?U)\s+", "")), lambda x: count(x) >= 10)
-    two = F.filter(F.zip_with(lines, F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda a, b: F.concat(a, b)), lambda x: x.isNotNull() & (count(x) >= 40))
-    content = F.regexp_replace(t, "[^" + CONTENT[1:], "")
-    n = F.length(content) - 12
-    grams = F.transform(F.when(n >= 0, F.sequence(F.lit(1), n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(content, i, F.lit(12)))
-    return _repeats(lines, 3) | _repeats(lines, 2, lambda x: count(x) >= 40) | _repeats(two, 2) | _repeats(grams, 8)
+    size = lambda x: len(_NO_CONTENT.sub("", x))
+    lines = [x for x in (_SPACES.sub("", line) for line in text.splitlines()) if size(x) >= 10]
+    if any(n >= 3 or n == 2 and size(x) >= 40 for x, n in Counter(lines).items() if n > 1):
+        return True
+    if any(n > 1 for n in Counter(x for x in map("".join, zip(lines, lines[1:])) if size(x) >= 40).values()):
+        return True
+    content = _NO_CONTENT.sub("", text)
+    return max(Counter(content[i : i + 12] for i in range(len(content) - 11)).values(), default=0) >= 8
+
+
+@F.arrow_udf(BooleanType())
+def has_repetition(texts: pa.Array) -> pa.Array:
+    """`repeats` of each text; false for null. Counting grams of long texts has no cheap form in columns."""
+    return pa.array([repeats(t or "") for t in texts.to_pylist()], pa.bool_())
 
 
 def more_complete(primary: Column, external: Column) -> Column:

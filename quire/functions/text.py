@@ -235,6 +235,15 @@ def escaped(x: Column) -> Column:
     return F.regexp_replace(out, r"&lt;(/?)mark&gt;", "<$1mark>")
 
 
+def without_marks(x: Column) -> Column:
+    return F.regexp_replace(x, "</?mark>", "")
+
+
+def image_name(name: Column, page: Column) -> Column:
+    """An image's name by its book's, percent-encoded, and page."""
+    return F.concat(percent_encoded(name), F.lit("_p"), F.lpad(page.cast("string"), 3, "0"), F.lit(".png"))
+
+
 def preview(x: Column, n: int = 120) -> Column:
     return F.when(F.length(x) > n, F.concat(F.substring(x, 1, n), F.lit("…"))).otherwise(x)
 

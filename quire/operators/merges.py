@@ -60,3 +60,52 @@ def prune_tail(df: DataFrame, index: str, count: int) -> DataFrame:
 def not_imported(files: DataFrame, ledger: DataFrame, key: tuple[str, ...] = ("kind", "name", "sha256")) -> DataFrame:
     """Discovered files that the ledger lacks."""
     return files.join(ledger.select(*key), list(key), "left_anti")
+
+
+def replaced(target: DataFrame, batch: DataFrame) -> DataFrame:
+    """The batch in place of a whole table, with its columns and types."""
+    return batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.schema])
+
+
+def replaced_rows(target: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
+    """The table with the batch's rows in place of all of its own with their keys, however many a key has."""
+    return target.join(batch.select(*key).distinct(), key, "left_anti").unionByName(batch.select(*target.columns))
+
+
+def compensated(old: DataFrame, new: DataFrame, failed: DataFrame, key: list[str]) -> DataFrame:
+    """A rebuild with the old rows back for the keys that failed."""
+    return new.join(failed.select(*key), key, "left_anti").unionByName(old.join(failed.select(*key).distinct(), key, "left_semi"))
+
+
+def snapshot_once(history: DataFrame, canonical: DataFrame, key: str, run: str) -> DataFrame:
+    """A history with a run of the canonical rows of keys that have none yet, taken before these are replaced."""
+    first = canonical.join(history.select(key).distinct(), key, "left_anti").withColumn("run", F.lit(run))
+    return history.unionByName(first.select(*history.columns))
+
+
+def lifecycle(events: DataFrame, run: str, order: str, event: str, counters: list[str]) -> DataFrame:
+    """Runs from their events: `running` until one `succeeded` or `failed` (the first of these counts), with summed counters."""
+    end = F.min_by(F.when(F.col(event).isin("succeeded", "failed"), F.col(event)), F.when(F.col(event).isin("succeeded", "failed"), F.col(order)))
+    return events.groupBy(run).agg(F.coalesce(end, F.lit("running")).alias("status"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters])
+
+
+def reusable(checkpoints: DataFrame, blocks: DataFrame, key: list[str], same: list[str]) -> DataFrame:
+    """Blocks with whether a checkpoint can stand for them: its key and all of the `same` columns agree."""
+    known = checkpoints.select(*key, *same).distinct().withColumn("reused", F.lit(True))
+    return blocks.join(known, [*key, *same], "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
+
+
+def retained(generations: DataFrame, now: Column, days: int, at: str, valid: str) -> DataFrame:
+    """Generations with whether retention removes them: older than so many days, with a valid manifest, and not the newest."""
+    newest = generations.agg(F.max(at).alias("__n"))
+    return generations.crossJoin(F.broadcast(newest)).withColumn("purged", (F.col(at) < now - F.make_dt_interval(F.lit(days))) & F.col(valid) & (F.col(at) < F.col("__n"))).drop("__n")
+
+
+def split_for_training(df: DataFrame, run: str, train: list, validation: list, forbidden: list) -> DataFrame:
+    """Rows of the runs named for training and validation, with their side. A run that is forbidden or on both sides is an
+    error at once; one that is absent, or an empty side, is an error of the job."""
+    if set(train) & set(validation) or (set(train) | set(validation)) & set(forbidden) or not train or not validation:
+        raise ValueError("runs must be on one side each, allowed, and both sides must have some")
+    named = df.sparkSession.createDataFrame([(r, "train") for r in train] + [(r, "validation") for r in validation], f"{run} {df.schema[run].dataType.simpleString()}, side string")
+    both = F.broadcast(named).join(df.withColumn("__there", F.lit(True)), run, "left")
+    return both.filter(F.when(F.col("__there"), F.lit(True)).otherwise(F.raise_error(F.lit("a named run is absent")).cast("boolean"))).drop("__there")

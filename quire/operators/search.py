@@ -106,3 +106,10 @@ def hybrid(pages: DataFrame, vectors: DataFrame, query: str, query_vector: list[
     hits = pages.join(F.broadcast(merged), key)  # at most two lists of max(5 * top, 50) rows
     best = windows.capped(hits, group, per_group, top, F.desc("score"), F.col("first"))
     return best.select(key, group, "page_no", "score", snippet(F.col("full_text"), query_terms(query)).alias("snippet"))
+
+
+def verified(hits: DataFrame, canonical: DataFrame, key: str, text: str) -> DataFrame:
+    """Hits with the whole text of their canonical row, which must be there exactly once."""
+    rows = canonical.groupBy(key).agg(F.count("*").alias("__n"), F.first(text).alias(text))
+    j = hits.join(rows, key, "left")
+    return j.filter(F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a hit has no single canonical row: "), F.col(key).cast("string"))).cast("boolean"))).drop("__n")

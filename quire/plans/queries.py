@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quire.functions import text as text_functions
 from quire.operators import aggregates, filters, joins, merges, search, sets, windows
 from quire.plans.adapters import ITEMS_SQL, OBSERVATIONS_SQL, PAGES_SQL, items, observations, pages
+from quire.plans.registry import ORACLE_SQL, QUERIES, query
 from quire.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 WITH_PAGES = f"WITH pages_ AS ({PAGES_SQL})"
 WITH_OBSERVATIONS = f"WITH obs AS ({OBSERVATIONS_SQL})"
@@ -276,15 +264,19 @@ def multi_table_counts(spark, d):
     return one("documents").unionByName(one("labels")).unionByName(one("pages")).unionByName(one("benchmark"))
 
 
-CER_SQL = r"""
+#: The letters beyond ASCII that the tables have. DuckDB's edit distance counts bytes, so the SQL puts an unused byte for each.
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü…"
+ONE_BYTE = "".join(map(chr, range(1, 9))) + "".join(map(chr, range(14, 14 + len(LETTERS) - 8)))
+READING_SQL = f"translate(regexp_replace(replace(text, '...', '…'), '\\s+', '', 'g'), '{LETTERS}', '{ONE_BYTE}')"
+CER_SQL = f"""
     SELECT a.conv_id, a.role, CAST(a.turn AS VARCHAR) AS turn, levenshtein(a.x, b.x) AS distance, length(a.x) AS chars
-    FROM (SELECT *, regexp_replace(text, '[^\x20-\x7e]', '', 'g') AS x FROM conversations) a JOIN (SELECT *, regexp_replace(text, '[^\x20-\x7e]', '', 'g') AS x FROM conversations) b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+    FROM (SELECT *, {READING_SQL} AS x FROM conversations) a JOIN (SELECT *, {READING_SQL} AS x FROM conversations) b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
 """
 
 
 def _errors(spark, d):
-    """Each turn of a conversation as a reference, the next one as a reading of it, in printable ASCII."""
-    a = table(spark, d, "conversations").select("conv_id", "turn", "role", F.regexp_replace("text", r"[^\x20-\x7e]", "").alias("x"))
+    """Each turn of a conversation as a reference, the next one as a reading of it, both normalised."""
+    a = table(spark, d, "conversations").select("conv_id", "turn", "role", text_functions.metric_text(F.col("text")).alias("x"))
     b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y"))
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "role", F.col("turn").cast("string").alias("turn"), F.levenshtein("x", "y").alias("distance"), F.length("x").alias("chars"))
 
@@ -362,15 +354,15 @@ def quality_gate(spark, d):
     return e.select("role", aggregates.gate({"n": F.col("n") >= 10, "cer": F.col("cer") <= 0.9}, {"worst": F.col("worst") > 0.99}).alias("gate"))
 
 
-MEDOID_SQL = r"""
-    WITH r AS (SELECT conv_id AS g, turn AS i, regexp_replace(text, '[^\x20-\x7e]', '', 'g') AS x FROM conversations), s AS (SELECT a.g, a.i, coalesce(sum(levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x))), 0) AS t
+MEDOID_SQL = f"""
+    WITH r AS (SELECT conv_id AS g, turn AS i, {READING_SQL} AS x FROM conversations), s AS (SELECT a.g, a.i, coalesce(sum(levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x))), 0) AS t
     FROM r a LEFT JOIN r b ON a.g = b.g AND a.i <> b.i GROUP BY 1, 2) SELECT g, i, round(t, 6) AS total FROM s QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(t, 9), i) = 1
 """
 
 
 @query(MEDOID_SQL)
 def medoid_candidate(spark, d):
-    r = table(spark, d, "conversations").select(F.col("conv_id").alias("g"), F.col("turn").alias("i"), F.regexp_replace("text", r"[^\x20-\x7e]", "").alias("reading"))
+    r = table(spark, d, "conversations").select(F.col("conv_id").alias("g"), F.col("turn").alias("i"), text_functions.metric_text(F.col("text")).alias("reading"))
     return aggregates.medoid(r, "g", "i", "reading")
 
 

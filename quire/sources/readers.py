@@ -71,14 +71,39 @@ def numbered_pages(found: DataFrame) -> DataFrame:
     return pages.select("folder", "page_no", "sha256")
 
 
-LOG = r"^(\S+ \S+).*?hash=(\w+) fts=(\d+) icu=(\d+) overlap=(\d+)(?: fts_ms=([\d.]+))?(?: icu_ms=([\d.]+))?"
-
-
-def search_log(lines: DataFrame, column: str = "value", pattern: str = LOG) -> DataFrame:
-    """Lines of a log of two searches run side by side: ts, hash, counts and times, and the kind of line."""
-    g = lambda i: F.nullif(F.regexp_extract(column, pattern, i), F.lit(""))
-    kind = F.when(F.col(column).rlike(pattern), "success").when(F.col(column).rlike("(?i)unavailable"), "unavailable").when(F.col(column).rlike("(?i)fallback"), "fallback").when(F.col(column).rlike("hash="), "malformed").otherwise("ignore")
-    return lines.select(F.try_to_timestamp(g(1)).alias("ts"), g(2).alias("hash"), *[g(i).cast("int").alias(n) for i, n in ((3, "fts"), (4, "icu"), (5, "overlap"))], g(6).cast("double").alias("fts_ms"), g(7).cast("double").alias("icu_ms"), kind.alias("kind"))
+# Lines of the log of two searches that run side by side. Fixed values.
+LOG_MARKS = ("lexical shadow", "lexical ICU fallback")
+LOG_SUCCESS = r"lexical shadow: query_hash=([0-9a-f]{12}) fts_count=(\d+) icu_count=(\d+) overlap=(\d+) fts_ms=(\d+(?:\.\d+)?) icu_ms=(\d+(?:\.\d+)?)"
+LOG_UNAVAILABLE = r"lexical shadow unavailable: query_hash=([0-9a-f]{12}) fts_count=(\d+) fts_ms=(\d+(?:\.\d+)?) icu_ms=(\d+(?:\.\d+)?) error_type=(\w+)"
+LOG_FALLBACK = r"lexical ICU fallback: query_hash=([0-9a-f]{12}) error_type=(\w+)"
+LOG_TIME = r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})"
+
+
+def search_log(lines: DataFrame, column: str = "value", since: Column | None = None, until: Column | None = None) -> DataFrame:
+    """Lines with their kind, time, hash, counts and times. A line without a mark is ignored; with a bound, one without a time or
+    out of the range is filtered; one that fits no pattern is malformed."""
+    line = F.col(column)
+    g = lambda p, i: F.nullif(F.regexp_extract(line, p, i), F.lit(""))
+    ts = F.try_to_timestamp(F.replace(g(LOG_TIME, 1), F.lit("T"), F.lit(" ")))
+    outside = F.lit(False)
+    if since is not None:
+        outside = outside | ~F.coalesce(ts >= since, F.lit(False))
+    if until is not None:
+        outside = outside | ~F.coalesce(ts < until, F.lit(False))
+    marked = F.contains(line, F.lit(LOG_MARKS[0])) | F.contains(line, F.lit(LOG_MARKS[1]))
+    kind = (
+        F.when(~F.coalesce(marked, F.lit(False)), "ignore")
+        .when(outside, "filtered")
+        .when(line.rlike(LOG_SUCCESS), "success")
+        .when(line.rlike(LOG_UNAVAILABLE), "unavailable")
+        .when(line.rlike(LOG_FALLBACK), "fallback")
+        .otherwise("malformed")
+    )
+    counts = [g(LOG_SUCCESS, i).cast("int").alias(n) for i, n in ((3, "icu"), (4, "overlap"))]
+    times = [F.coalesce(g(LOG_SUCCESS, i), g(LOG_UNAVAILABLE, j)).cast("double").alias(n) for i, j, n in ((5, 3, "fts_ms"), (6, 4, "icu_ms"))]
+    hash_ = F.coalesce(g(LOG_SUCCESS, 1), g(LOG_UNAVAILABLE, 1), g(LOG_FALLBACK, 1))
+    fts = F.coalesce(g(LOG_SUCCESS, 2), g(LOG_UNAVAILABLE, 2)).cast("int")
+    return lines.select(ts.alias("ts"), hash_.alias("hash"), fts.alias("fts"), *counts, *times, kind.alias("kind"))
 
 
 class _Blocks(HTMLParser):

@@ -98,3 +98,9 @@ def entries(df: DataFrame, key: list[str], flags: list[str] = ()) -> DataFrame:
     """Rows as JSON documents without null fields; a flag is there only where it is true: (key, entry)."""
     values = [F.when(F.col(c), F.lit(True)).alias(c) if c in flags else F.col(c) for c in df.columns if c not in key]
     return df.select(*key, F.to_json(F.struct(*values)).alias("entry"))
+
+
+def rows(df: DataFrame, key: str, entry: str, schema: str) -> DataFrame:
+    """JSON documents as rows: fields by a schema, arrays as JSON text."""
+    got = df.select(key, F.from_json(entry, schema, {"mode": "FAILFAST"}).alias("__e")).select(key, "__e.*")
+    return got.select(*[F.to_json(c).alias(c) if t.startswith("array") else F.col(c) for c, t in got.dtypes])

@@ -62,3 +62,25 @@ def idempotent_messages(messages: DataFrame, batch: DataFrame, order: str = "ord
     j = batch.join(first, ["sender", "key"])
     what = F.when(F.col("__at") == F.col(order), "new").when(F.col("body").eqNullSafe(F.col("__first")), "same").otherwise("conflict")
     return j.withColumn("result", what).drop("__first", "__at")
+
+
+def acknowledge(messages: DataFrame, topics: DataFrame, topic: str, who: Column) -> DataFrame:
+    """Each message with the result of an acknowledgement: `repeated` if it had one, else only its recipient's counts, in a
+    topic that is open."""
+    j = messages.join(topics.select(topic, F.col("closed").alias("__closed")), topic, "left")
+    fine = (F.col("recipient") == who) & ~F.coalesce("__closed", F.lit(True))
+    return j.withColumn("result", F.when(F.col("acknowledged"), "repeated").when(fine, "acknowledged").otherwise("rejected")).drop("__closed")
+
+
+def ordered_ledger(events: DataFrame, key: str, order: str, event: str, after: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Per key the number of steps, and whether each came right after one that may precede it."""
+    before = F.coalesce(F.lag(event).over(Window.partitionBy(key).orderBy(order)), F.lit(""))
+    ok = F.lit(True)
+    for step, allowed in after.items():
+        ok = ok & ((F.col(event) != step) | before.isin(*allowed))
+    return events.withColumn("__ok", ok).groupBy(key).agg(F.count("*").alias("steps"), F.bool_and("__ok").alias("in_order"))
+
+
+def run_status(added: Column, errors: Column) -> Column:
+    """ok without errors, partial if something was added all the same, else failed."""
+    return F.when(errors == 0, "ok").when(added > 0, "partial").otherwise("failed")

@@ -77,6 +77,12 @@ def windowed(events: DataFrame, late: str = "10 minutes", width: str = "1 hour")
     return by.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def windowed_rest(events: DataFrame, done: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Counts of the windows that a stream holds back until its watermark passes them, from a table of the same events."""
+    got = events.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    return got.join(done.select("start", "event_type"), ["start", "event_type"], "left_anti")
+
+
 class Outbox:
     """At-least-once delivery: events are added once for each (id, kind), and are pending until they are marked.
 

@@ -17,6 +17,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.codegen.wholeStage", "false")  # tables are tiny here: compiling takes longer than running
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

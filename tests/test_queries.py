@@ -1,7 +1,7 @@
 import pytest
 from compare import SMALL, assert_same
 
-from quire.plans.queries import ORACLE_SQL, QUERIES
+from quire.plans.all import ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -19,6 +19,85 @@ def test_hybrid_search(spark):
     assert max(per_book.values()) <= 3
 
 
+def rows(spark, name):
+    return [tuple(r) for r in QUERIES[name](spark, SMALL).collect()]
+
+
+def test_page_chunks_are_those_of_a_plain_cutter(spark):
+    def cut(text, size=800, overlap=50):
+        if len(text) <= size:
+            return [text.strip()] if text.strip() else []
+        out, start = [], 0
+        while True:
+            end = min(start + size, len(text))
+            if end < len(text):
+                end = next((j for j in range(end, max(start + size - 100, start + 1), -1) if text[j - 1] in "。」!?"), end)
+            if text[start:end].strip():
+                out.append(text[start:end].strip())
+            if end >= len(text):
+                return out
+            start = max(end - overlap, start + 1)
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = {}
+    for doc, i, part in sorted(rows(spark, "page_chunks")):
+        got.setdefault(doc, []).append(part)
+    assert got == {k: c for k, t in docs.items() if (c := cut(t))}
+
+
+def test_book_chunks_begin_on_their_page(spark):
+    turns = {}
+    for r in spark.read.parquet(f"{SMALL}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        if len(r.text or "") >= 30:
+            turns.setdefault(r.conv_id, []).append((r.turn, r.text))
+    for book, page, i, part in rows(spark, "book_chunks"):
+        whole, begins = "", {}
+        for t, x in turns[book]:
+            begins[t] = len(whole)
+            whole += x
+        at = [k for k in range(len(whole)) if whole.startswith(part, k)]
+        assert len(part) <= 300 and any(max(t for t, b in begins.items() if b <= k) == page or whole[k - 1 : k].isspace() for k in at)
+
+
+def test_edit_histogram_counts_every_difference(spark):
+    counted = {(r[0], r[3], r[4]): r[5] for r in rows(spark, "edit_histogram")}
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    assert counted == {("insertion", "", "x"): len(texts), ("deletion", "h", ""): sum(t.count("th") for t in texts)}
+
+
+def test_budgeted_evidence_by_a_plain_selection(spark):
+    used = {(r.event_id % 97 * 13 % 400 + 100, r.user_id % 5, r.event_id % 20, r.event_id % 97) for r in spark.read.parquet(f"{SMALL}/events.parquet").collect()}
+    want = set()
+    for book in {u[1] for u in used}:
+        claims, chars = {}, {}
+        for n, b, claim, page in used:
+            if b == book:
+                claims.setdefault(claim, set()).add(page)
+                chars[page] = n
+        chosen = {p for pages in claims.values() for p in sorted(pages)[:2]}
+        total = sum(chars[p] for p in chosen)
+        for p in sorted(set(chars) - chosen, key=lambda p: (-sum(p in c for c in claims.values()), p)):
+            if len(chosen) < 12 and total + chars[p] <= 3000:
+                chosen.add(p)
+                total += chars[p]
+        want |= {(book, p) for p in chosen}
+    assert set(rows(spark, "budgeted_evidence")) == want
+
+
+def test_cells_find_nine_of_ten_neighbours(spark):
+    from quire.operators import ann, search
+
+    e = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    found = ann.centroids(e, "vec_id", "embedding", 16)
+    cells = ann.assigned(e, "embedding", found).cache()
+    assert cells.count() == e.count()
+    both = n = 0
+    for r in e.filter("vec_id % 50 = 0").collect():
+        want = {x.vec_id for x in search.knn(e, r.embedding, 10, "vec_id").collect()}
+        both, n = both + len(want & {x.vec_id for x in ann.search(cells, found, r.embedding, 10, "vec_id", probes=12).collect()}), n + 10
+    assert both >= 0.9 * n
+
+
 def test_entry_and_keys(spark):
     import __spark_entry__
 

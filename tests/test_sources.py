@@ -42,8 +42,18 @@ def test_html_blocks_and_log(spark):
     html = '<div data-label="Text" data-bbox="0 1 20 30"><p>a<b>b</b></p></div><p>no</p><div data-label="Title" data-bbox="1,2,3,4">c<br>d</div>'
     got = readers.html_blocks(spark.createDataFrame([(1, html), (2, None)], "k long, h string"), "k", "h").orderBy("place").collect()
     assert [(r.label, r.box, r.text) for r in got] == [("Text", [0.0, 1.0, 20.0, 30.0], "ab"), ("Title", [1.0, 2.0, 3.0, 4.0], "cd")]
-    lines = spark.createDataFrame([("2024-01-02 03:04:05 shadow hash=ab12 fts=3 icu=4 overlap=2 fts_ms=1.5 icu_ms=2",), ("icu unavailable",), ("hash=?",)], "value string")
-    assert [r.kind for r in readers.search_log(lines).collect()] == ["success", "unavailable", "malformed"]
+    h, at = "query_hash=0123456789ab", "2024-01-02 03:04:05"
+    lines = [
+        f"{at} INFO lexical shadow: {h} fts_count=3 icu_count=4 overlap=2 fts_ms=1.5 icu_ms=2",
+        f"{at} lexical shadow unavailable: {h} fts_count=3 fts_ms=1.5 icu_ms=2 error_type=X",
+        f"2024-01-02T03:04:05 lexical ICU fallback: {h} error_type=X",
+        "lexical shadow: query_hash=?",
+        "something else",
+    ]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert [r.kind for r in readers.search_log(df).collect()] == ["success", "unavailable", "fallback", "malformed", "ignore"]
+    since = F.lit("2024-01-02 03:04:06").cast("timestamp")
+    assert [r.kind for r in readers.search_log(df, since=since).collect()] == ["filtered"] * 4 + ["ignore"]
 
 
 def test_versions(spark, tmp_path):
