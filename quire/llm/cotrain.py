@@ -261,7 +261,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label).cast("double").alias("label"))
     rows = df.select(id_col, F.col(text).alias("__text"), *metadata, F.xxhash64(F.col(id_col), F.lit("quality")).alias("__order"))
     chosen = _sample(known.withColumn("__order", F.xxhash64(F.col(id_col), F.lit("quality"))), F.col("__order"), MAX_LABELLED).select(id_col, "label")
-    labelled = rows.join(F.broadcast(chosen), id_col).orderBy("__order").select("__text", *metadata, "label")
+    labelled = rows.join(F.broadcast(chosen), id_col).select("__text", *metadata, "label")
     got = materialize(_features(labelled, text, metadata, "label double"), "labelled").collect()
     y = np.array([r.label for r in got])
     if not len(y) or y.min() == y.max():

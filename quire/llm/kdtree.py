@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from quire.llm.workspace import lookup, materialize
 
-#: Intervals of a node in one round; so many numbers for each node of a level reach the driver.
+#: Intervals of a node in one round, at most.
 INTERVALS = 4096
+#: Numbers that reach the driver in one round, about.
+DRIVER_ROWS = 100_000
 #: A split may miss its target by this part of a leaf.
 TOLERANCE = 0.001
 #: A group of equal texts with more than this part of a leaf's bytes is dealt in parts, as no balance is possible otherwise.
@@ -66,8 +68,7 @@ def split_by_kdtree(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     items = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     items = items.withColumn("weight", F.col("weight") / F.col("parts")).withColumn("tie", F.xxhash64("group", "part").bitwiseAND(0xFFFFFFFF))
     items = materialize(items, "items")
-    node = _grow(items, dims, leaves, leaf)
-    placed = materialize(items.select("group", "part", "parts", node.alias("shard")), "placed")
+    placed = materialize(_grow(items, dims, leaves, leaf).select("group", "part", "parts", F.col("node").alias("shard")), "placed")
 
     # every row takes its group's shard
     parts = placed.select("group", "parts").filter("parts > 1").distinct()
@@ -82,13 +83,18 @@ def _key(dim: str) -> Column:
     return F.col(dim) * F.lit(1 << 32) + F.col("tie")
 
 
-def _grow(items: DataFrame, dims: list[str], leaves: int, leaf: float) -> Column:
-    """The leaf of each item, as an expression over its dimensions."""
+def _table(items: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of one row for each node, which is broadcast: a tree has at most as many nodes as leaves."""
+    return F.broadcast(items.sparkSession.createDataFrame(rows, schema))
+
+
+def _grow(items: DataFrame, dims: list[str], leaves: int, leaf: float) -> DataFrame:
+    """The items with their leaf, `node`. The tree is a table of nodes that is joined level by level."""
     nodes = {0: (0, leaves)}  # node -> first leaf, number of leaves
-    place: Column = F.lit(0)
+    items = items.withColumn("node", F.lit(0))
     root: dict[str, int] = {}
     while any(n > 1 for _, n in nodes.values()):
-        extent = items.withColumn("node", place).groupBy("node").agg(F.sum("weight").alias("weight"), *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("low", F.min), ("high", F.max))])
+        extent = items.groupBy("node").agg(F.sum("weight").alias("weight"), *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("low", F.min), ("high", F.max))])
         extent = {r.node: r for r in extent.collect()}
         root = root or {d: max(1, extent[0][f"high_{d}"] - extent[0][f"low_{d}"]) if extent else 1 for d in dims}
         open_nodes = {}
@@ -100,52 +106,58 @@ def _grow(items: DataFrame, dims: list[str], leaves: int, leaf: float) -> Column
         cuts: dict[int, tuple[float, str, int]] = {}
         for i in range(len(dims)):
             rest = {k: by[i] for k, by in open_nodes.items() if k not in cuts or cuts[k][0] > leaf * MISS}
-            for k, (miss, cut) in _medians(items, place, rest, leaf * TOLERANCE).items():
+            for k, (miss, cut) in _medians(items, dims, rest, leaf * TOLERANCE).items():
                 cuts[k] = min(cuts.get(k, (math.inf, "", 0)), (miss, rest[k][0], cut), key=lambda x: x[0])
         grown: dict[int, tuple[int, int]] = {}
-        step = place
+        steps = []
         for k, (first, n) in nodes.items():
             if n == 1 or k not in cuts:
                 grown[first] = (first, 1)
                 continue
             grown[first], grown[first + n // 2] = (first, n // 2), (first + n // 2, n - n // 2)
-            step = F.when((place == k) & (_key(cuts[k][1]) >= cuts[k][2]), F.lit(first + n // 2)).otherwise(step)
-        place, nodes = step, grown
-    return place
+            steps.append((k, dims.index(cuts[k][1]), cuts[k][2], first + n // 2))
+        nodes = grown
+        if steps:
+            joined = items.join(_table(items, steps, "node int, dim int, cut long, above int"), "node", "left")
+            items = materialize(joined.withColumn("node", F.when(_of_dim(dims) >= F.col("cut"), F.col("above")).otherwise(F.col("node"))).select(*items.columns), "nodes")
+    return items
+
+
+def _of_dim(dims: list[str]) -> Column:
+    """The key of the dimension whose number is in `dim`."""
+    return F.get(F.array(*map(_key, dims)), F.col("dim"))
 
 
-def _medians(items: DataFrame, place: Column, open_nodes: dict[int, tuple], tolerance: float) -> dict[int, tuple[float, int]]:
-    """For each open node (dimension, low, high, target) by how much the target is missed, and the key below which it has that many bytes."""
+def _medians(items: DataFrame, dims: list[str], open_nodes: dict[int, tuple], tolerance: float) -> dict[int, tuple[float, int]]:
+    """For each open node (dimension, low, high, target) by how much the target is missed, and the key below which it has that
+    many bytes. The more nodes, the fewer intervals of each come to the driver, and the more rounds are made."""
     cuts: dict[int, tuple[float, int]] = {}
     search = {k: [low, high, target] for k, (_, low, high, target) in open_nodes.items()}
     while search:
-        key = low = width = F.lit(None).cast("long")
-        for k, (lo, hi, _) in search.items():
-            here = F.col("node") == k
-            key = F.when(here, _key(open_nodes[k][0])).otherwise(key)
-            low = F.when(here, F.lit(lo)).otherwise(low)
-            width = F.when(here, F.lit(max(1, -(-(hi - lo) // INTERVALS)))).otherwise(width)
-        spread = items.withColumn("node", place).filter(F.col("node").isin(list(search))).select("node", "weight", key.alias("key"), low.alias("low"), width.alias("width"))
-        spread = spread.filter("key >= low").withColumn("interval", F.expr("(key - low) div width")).filter(F.col("interval") < INTERVALS)
+        intervals = max(8, min(INTERVALS, DRIVER_ROWS // len(search)))
+        wide = lambda lo, hi: max(1, -(-(hi - lo) // intervals))  # noqa: B023, E731
+        asked = _table(items, [(k, dims.index(open_nodes[k][0]), lo, wide(lo, hi)) for k, (lo, hi, _) in search.items()], "node int, dim int, low long, width long")
+        spread = items.join(asked, "node").select("node", "weight", _of_dim(dims).alias("key"), "low", "width")
+        spread = spread.filter("key >= low").withColumn("interval", F.expr("(key - low) div width")).filter(F.col("interval") < intervals)
         sums: dict[int, dict[int, float]] = {k: {} for k in search}
         for r in spread.groupBy("node", "interval").agg(F.sum("weight").alias("weight")).collect():
             sums[r.node][r.interval] = r.weight
         for k, (lo, hi, target) in list(search.items()):
-            width_k = max(1, -(-(hi - lo) // INTERVALS))
+            width = wide(lo, hi)
             below, at, inside = 0.0, lo, 0.0
             for i in sorted(sums[k]):
                 if below + sums[k][i] >= target:
-                    at, inside = lo + i * width_k, sums[k][i]
+                    at, inside = lo + i * width, sums[k][i]
                     break
                 below += sums[k][i]
             else:
                 at = hi
-            if inside <= tolerance or width_k == 1 or at >= hi:
+            if inside <= tolerance or width == 1 or at >= hi:
                 low_side, high_side = target - below, below + inside - target
-                cuts[k] = (low_side, at) if low_side <= high_side else (high_side, at + width_k)
+                cuts[k] = (low_side, at) if low_side <= high_side else (high_side, at + width)
                 del search[k]
             else:
-                search[k] = [at, min(hi, at + width_k), target - below]
+                search[k] = [at, min(hi, at + width), target - below]
     return cuts
 
 

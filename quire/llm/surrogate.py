@@ -10,8 +10,6 @@ the same entity has the same surrogate everywhere.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +46,7 @@ PATTERNS = {
 BEFORE_CARDS, AFTER_CARDS = ("|".join(f"(?:{PATTERNS[k]})" for k in kinds) for kinds in (("email", "ip", "ssn", "phone"), ("national", "secret", "name")))
 #: Groupings of digits that cards are written in, the usual ones first; a year in front belongs to none of them.
 CARD_GROUPS = (r"\d{13,19}", r"\d{4}(?:[ \-]\d{4}){3}", r"\d{4}[ \-]\d{6}[ \-]\d{4,5}", r"\d{4}(?:[ \-]\d{4}){3}[ \-]\d{1,3}", r"\d{4}(?:[ \-]\d{3}){3}", r"\d{6}[ \-]\d{13}")
+TITLED = rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}"
 #: A text without a match of this has no entity.
 HINT = rf"[0-9@]|(?i:token|secret|passw|key)|(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}"
 
@@ -75,8 +74,8 @@ def kind_of(raw: Column) -> Column:
         if kind == "card":
             whole = whole & (_luhn_sum(_digits(raw)) % 10 == 0)
         out = F.when(whole, F.lit("phone" if kind == "national" else kind)).otherwise(out)
-    # a run of digits can be a card or, after its key word, a secret; without a valid check digit it is left alone
-    return F.when(raw.rlike(r"^[\d \-]{13,}$") & (out == "secret"), F.lit(None)).otherwise(out)
+    # what no other pattern has is a bare mention of a name that the text has with a title
+    return F.when(raw.rlike(rf"^{_PART}(?: {_PART})?$") & (F.length(raw) < 16), F.lit("name")).otherwise(out)
 
 
 def cards_of(text: Column) -> Column:
@@ -90,27 +89,35 @@ def cards_of(text: Column) -> Column:
     return F.when(text.rlike(r"\d(?:[ \-]?\d){12}"), valid).otherwise(F.array().cast("array<string>"))
 
 
+def name_parts(raw: Column) -> Column:
+    """The parts of a name, without its title."""
+    return F.split(_name_of(raw), " ")
+
+
 def pattern_of(text: Column) -> Column:
-    """The pattern of a text's entities: that of every type, and of cards those that the text has."""
+    """The pattern of a text's entities: that of every type, of cards those that the text has, and of names without a title
+    those parts that the text has with one."""
     cards = F.array_join(cards_of(text), "|")
+    titled = F.when(text.rlike(TITLED), F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    parts = F.array_join(F.array_distinct(F.flatten(F.transform(titled, name_parts))), "|")
+    one = F.concat(F.lit("(?:"), parts, F.lit(")"))
+    bare = F.when(parts != "", F.concat(F.lit(r"|(?<![\p{L}\p{M}'’\-])"), one, F.lit("(?: "), one, F.lit(r")?(?![\p{L}\p{M}]|['’]\p{Lu}|-\p{L})"))).otherwise("")
     some = F.concat(F.lit(rf"{BEFORE_CARDS}|(?<!\d)(?<!\d\.)(?=\d(?:[ \-]?\d){{12}})(?:"), cards, F.lit(rf")(?!\d)|{AFTER_CARDS}"))
-    return F.when(cards != "", some).otherwise(f"{BEFORE_CARDS}|{AFTER_CARDS}")
+    return F.concat(F.when(cards != "", some).otherwise(f"{BEFORE_CARDS}|{AFTER_CARDS}"), bare)
 
 
 def _name_of(raw: Column) -> Column:
     return F.regexp_replace(raw, rf"^(?:{_TITLE})\.? ", "")
 
 
+def gender_of(raw: Column) -> Column:
+    """By the title; null for a neutral one or none."""
+    return F.when(raw.rlike(rf"^(?:{'|'.join(FEMALE)})\b"), "f").when(raw.rlike(rf"^(?:{'|'.join(MALE)})\b"), "m")
+
+
 def core_of(kind: Column, raw: Column) -> Column:
-    """What makes two entities the same, whatever their format."""
-    gender = F.when(raw.rlike(rf"^(?:{'|'.join(FEMALE)})\b"), "f").when(raw.rlike(rf"^(?:{'|'.join(MALE)})\b"), "m").otherwise("n")
-    script = F.when(_name_of(raw).rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    return (
-        F.when(kind == "email", F.lower(raw))
-        .when(kind.isin("phone", "card", "ssn"), _digits(raw))
-        .when(kind == "name", F.concat_ws("|", gender, script, F.size(F.split(_name_of(raw), " ")).cast("string"), F.translate(F.lower(_name_of(raw)), "’", "'")))
-        .otherwise(raw)
-    )
+    """What makes two entities the same, whatever their format; of names, one part at a time."""
+    return F.when(kind == "email", F.lower(raw)).when(kind.isin("phone", "card", "ssn"), _digits(raw)).when(kind == "name", F.translate(F.lower(raw), "’", "'")).otherwise(raw)
 
 
 def _byte(h: Column, i: Column | int) -> Column:
@@ -130,26 +137,21 @@ def _shaped(core: Column, h: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.length(core) - 1), drawn), "")
 
 
-def _name(core: Column, h: Column, attempt: Column) -> Column:
-    """A name of the parts, gender and script that a core tells; later attempts draw from longer names, so names suffice."""
-    parts = F.split(core, r"\|")
+def _name(core: Column, gender: Column, h: Column, attempt: Column) -> Column:
+    """A part of a name of a gender in the script of a core; later attempts draw from longer ones, so they suffice."""
     out = F.lit(None).cast("string")
     for script, (middle, female, male, neutral) in SYLLABLES.items():
         pool = F.array(*[F.lit(s) for s in middle.split()])
         ends = {g: F.array(*[F.lit(s) for s in e.split()]) for g, e in (("f", female), ("m", male), ("n", neutral))}
-
-        def made(word: int, script_pool=pool, script_ends=ends) -> Column:
-            pick = lambda a, i: F.element_at(a, _byte(h, word * 16 + i) % F.size(a) + 1)
-            end = reduce(lambda rest, g: F.when(parts[0] == g, pick(script_ends[g], 9)).otherwise(rest), ("f", "m"), pick(script_ends["n"], 9))
-            more = F.when(attempt >= 10, F.concat(pick(script_pool, 3), pick(script_pool, 4))).when(attempt >= 5, pick(script_pool, 3)).otherwise("")
-            return F.initcap(F.concat(pick(script_pool, 0), pick(script_pool, 1), pick(script_pool, 2), more, end))
-
-        full = F.when(parts[2] == "2", F.concat_ws(" ", made(0), made(1))).otherwise(made(0))
-        out = F.when(parts[1] == script, full).otherwise(out)
+        pick = lambda a, i: F.element_at(a, _byte(h, i) % F.size(a) + 1)
+        end = F.when(gender == "f", pick(ends["f"], 9)).when(gender == "m", pick(ends["m"], 9)).otherwise(pick(ends["n"], 9))
+        more = F.when(attempt >= 10, F.concat(pick(pool, 3), pick(pool, 4))).when(attempt >= 5, pick(pool, 3)).otherwise("")
+        made = F.initcap(F.concat(pick(pool, 0), pick(pool, 1), pick(pool, 2), more, end))
+        out = F.when(core.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else ~core.rlike(r"\p{IsCyrillic}"), made).otherwise(out)
     return out
 
 
-def surrogate_core(kind: Column, core: Column, key: str, attempt: Column) -> Column:
+def surrogate_core(kind: Column, core: Column, gender: Column, key: str, attempt: Column) -> Column:
     """The surrogate of a core, drawn by a keyed hash."""
     h = F.sha2(F.concat_ws("|", F.lit(key), kind, core, attempt.cast("string")), 512)
     shaped = _shaped(core, h)
@@ -159,14 +161,16 @@ def surrogate_core(kind: Column, core: Column, key: str, attempt: Column) -> Col
     check = (10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
     phone = F.concat(F.substr(core, F.lit(1), F.lit(1)), (F.substr(shaped, F.lit(2), F.lit(1)).cast("int") % 8 + 2).cast("string"), F.substr(shaped, F.lit(3), F.length(core)))
     hexed = F.substr(F.concat(h, F.repeat(h, 8)), F.lit(1), F.length(core))
-    email = F.concat(F.substr(shaped, F.lit(1), F.length(core) - F.length(tail)), tail)
+    # a short address has few of its shape: later attempts put letters before it
+    longer = F.when(attempt >= 3, F.translate(F.substr(h, F.lit(100), F.floor(attempt / 3).cast("int")), "0123456789", "ghijklmnop")).otherwise("")
+    email = F.concat(longer, F.substr(shaped, F.lit(1), F.length(core) - F.length(tail)), tail)
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", F.concat_ws(".", octet(0), octet(1), octet(2), octet(3)))
         .when(kind == "card", F.concat(body, check.cast("string")))
         .when(kind == "phone", phone)
-        .when(kind == "name", _name(core, h, attempt))
-        .when((kind == "secret") & core.rlike("^[0-9a-f]+$") & (F.length(core) <= 1024), hexed)
+        .when(kind == "name", _name(core, gender, h, attempt))
+        .when((kind == "secret") & core.rlike("^[0-9a-f]*[a-f][0-9a-f]*$") & (F.length(core) <= 1024), hexed)
         .otherwise(shaped)
     )
 
@@ -179,19 +183,18 @@ def rendered(kind: Column, raw: Column, surrogate: Column) -> Column:
         return F.when(c.rlike("[0-9]"), F.substr(surrogate, F.length(_digits(F.substr(raw, F.lit(1), i + 1))), F.lit(1))).otherwise(c)
 
     in_place = F.array_join(F.transform(F.sequence(F.lit(0), F.length(raw) - 1), digit), "")
-    title = F.regexp_extract(raw, rf"^(?:{_TITLE})\.? ", 0)
     email = F.when(raw == F.upper(raw), F.upper(surrogate)).otherwise(surrogate)
-    return F.when(kind.isin("phone", "card", "ssn"), in_place).when(kind == "name", F.concat(title, surrogate)).when(kind == "email", email).otherwise(surrogate)
+    return F.when(kind.isin("phone", "card", "ssn"), in_place).when(kind == "email", email).otherwise(surrogate)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
-    """Distinct (kind, core) to (kind, core, surrogate), with no two surrogates of a kind alike and none that is itself
+    """Distinct (kind, core, gender) to (kind, core, surrogate), with no two surrogates of a kind alike and none that is itself
     an entity. Of entities that drew the same surrogate the first in order keeps it, the others draw again."""
-    waiting = materialize(entities.select("kind", "core").distinct(), "entities")
-    taken = waiting.select("kind", F.col("core").alias("surrogate"))
+    waiting = materialize(entities.groupBy("kind", "core").agg(F.min("gender").alias("gender")).repartition("core"), "entities")
+    taken = waiting.select("kind", F.when(F.col("kind") == "name", F.initcap("core")).otherwise(F.col("core")).alias("surrogate"))
     done = None
     for attempt in range(ATTEMPTS):
-        drawn = waiting.withColumn("surrogate", surrogate_core(F.col("kind"), F.col("core"), key, F.lit(attempt)))
+        drawn = waiting.withColumn("surrogate", surrogate_core(F.col("kind"), F.col("core"), F.col("gender"), key, F.lit(attempt)))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("core").alias("core"))
         won = materialize(first.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "core", "surrogate"), "assigned")
         done = won if done is None else done.unionByName(won)
@@ -206,34 +209,43 @@ def replace_entities(df: DataFrame, key: str, id_col: str = "doc_id", text: str
     """df with surrogates in its text, and n_entities, the number of places replaced (in place of a column of that name).
 
     Everything else in a text stays as it is. A null text stays null, with 0 entities; rows that repeat are treated
-    alike; an empty table gives no rows. A different key gives different surrogates; the same key the same ones, for a
-    corpus in which the same surrogates are free. Digits without a valid check digit are no card.
+    alike; an empty table gives no rows; texts of any length are matched whole. Columns of df keep their names, whatever they
+    are. A different key gives different surrogates; the same key the same ones, for a corpus in which the same surrogates
+    are free. Digits without a valid check digit are no card. A name that a text has with a title is replaced there
+    wherever it or a part of it stands; each part has one surrogate in the corpus, whatever the title, with the gender of
+    the titles before first names where they agree.
     """
     kept = [c for c in df.columns if c not in ("n_entities", text)]
     hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
-    rows = df.select(*kept, F.col(text).alias("__text"), F.when(hinted, pattern_of(F.col(text))).alias("__any"))
-    rows = rows.withColumn("__raw", F.regexp_extract_all(F.col("__text"), F.col("__any"), F.lit(0)))
-    rows = rows.withColumn("__raw", F.filter("__raw", lambda x: kind_of(x).isNotNull()))
-    some = F.coalesce(F.size("__raw"), F.lit(0)) > 0
-    place = [F.col(id_col).alias("__id"), F.xxhash64("__text").alias("__hash")]
-
-    spots = rows.filter(some).select(*place, F.explode(F.array_distinct("__raw")).alias("raw")).distinct()
-    spots = spots.withColumn("kind", kind_of(F.col("raw"))).withColumn("core", core_of(F.col("kind"), F.col("raw")))
-    spots = materialize(spots.withColumn("entity", F.concat_ws("|", "kind", "core")), "occurrences")
-    counts = spots.groupBy("entity", "kind", "core").agg(F.count("*").alias("n"))
+    body = F.col(text)
+    rows = df.select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.col(id_col).alias("id"), body.alias("text"), F.xxhash64(body).alias("hash"), F.when(hinted, pattern_of(body)).alias("pattern"))
+    rows = rows.withColumn("matches", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
+    rows = rows.withColumn("raws", F.filter("matches", lambda x: kind_of(x).isNotNull()))
+    # texts are matched once: what follows reads this table
+    rows = materialize(rows.withColumn("pattern", F.when(F.size("raws") > 0, F.col("pattern"))), "matched")
+    some = F.coalesce(F.size("raws"), F.lit(0)) > 0
+
+    spots = rows.filter(some).select("id", "hash", F.explode(F.array_distinct("raws")).alias("raw")).distinct().withColumn("kind", kind_of(F.col("raw")))
+    parts = F.when(F.col("kind") == "name", name_parts(F.col("raw"))).otherwise(F.array("raw"))
+    spots = spots.withColumn("two", F.size(parts) == 2).select("id", "hash", "raw", "kind", "two", F.posexplode(parts).alias("pos", "part"))
+    gender = F.when(F.col("two") & (F.col("pos") == 0), gender_of(F.col("raw")))
+    spots = spots.withColumns({"core": core_of(F.col("kind"), F.col("part")), "gender": gender})
+    spots = materialize(spots.withColumn("entity", F.concat_ws("|", "kind", "core")).drop("two"), "occurrences")
+    agreed = F.when(F.min("gender") == F.max("gender"), F.min("gender"))
+    counts = materialize(spots.groupBy("entity", "kind", "core").agg(F.count("*").alias("n"), agreed.alias("gender")), "counts")
     total = spots.count()
     assigned = assign(counts, key).withColumn("entity", F.concat_ws("|", "kind", "core")).select("entity", "surrogate")
     assigned = materialize(assigned.join(counts.select("entity", "n"), "entity"), "surrogates")
     spots = lookup(spots, assigned.drop("n"), "entity", hot=assigned.filter(F.col("n") * HOT_SHARE > total).drop("n"))
-    spots = spots.withColumn("new", rendered(F.col("kind"), F.col("raw"), F.col("surrogate")))
-    by_text = spots.groupBy("__id", "__hash").agg(F.map_from_entries(F.collect_set(F.struct("raw", "new"))).alias("__new"))
-
-    changed = rows.filter(some).withColumns({"__i": place[0], "__h": place[1]})
-    changed = changed.join(by_text, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")))
-    pieces = F.split("__text", F.col("__any"), -1)
-    matches = F.regexp_extract_all(F.col("__text"), F.col("__any"), F.lit(0))
-    new = F.transform(matches, lambda x: F.coalesce(F.element_at("__new", x), x))
-    whole = F.array_join(F.zip_with(pieces, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    order = [*kept, whole.alias(text), F.size("__raw").cast("long").alias("n_entities")]
-    untouched = rows.filter(~some).select(*kept, F.col("__text").alias(text), F.lit(0).cast("long").alias("n_entities"))
-    return changed.select(*order).unionByName(untouched)
+    new = rendered(F.col("kind"), F.col("part"), F.col("surrogate"))
+    whole = spots.groupBy("id", "hash", "raw").agg(F.array_sort(F.collect_list(F.struct("pos", new.alias("new")))).alias("l"), F.first("kind").alias("kind"))
+    title = F.when(F.col("kind") == "name", F.regexp_extract("raw", rf"^(?:{_TITLE})\.? ", 0)).otherwise("")
+    whole = whole.select("id", "hash", "raw", F.concat(title, F.array_join(F.transform("l", lambda x: x["new"]), " ")).alias("new"))
+    by_text = whole.groupBy("id", "hash").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("news")).withColumnRenamed("id", "at").withColumnRenamed("hash", "of")
+
+    changed = rows.filter(some).join(by_text, F.col("id").eqNullSafe(F.col("at")) & (F.col("hash") == F.col("of")))
+    pieces = F.split("text", F.col("pattern"), -1)
+    put = F.transform("matches", lambda x: F.coalesce(F.element_at("news", x), x))
+    joined = F.array_join(F.zip_with(pieces, F.concat(put, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    order = lambda body, n: [F.col(f"row.`{c}`").alias(c) for c in kept] + [body.alias(text), n.cast("long").alias("n_entities")]
+    return changed.select(*order(joined, F.size("raws"))).unionByName(rows.filter(~some).select(*order(F.col("text"), F.lit(0))))

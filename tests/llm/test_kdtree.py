@@ -3,6 +3,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from quire.llm import kdtree
 from quire.llm.kdtree import split_by_kdtree
 from quire.llm.queries import op4_kdtree_shards
 
@@ -67,3 +68,18 @@ def test_query(spark):
     got = op4_kdtree_shards(spark, folder).collect()
     check(got, rows, 8, 0.5)
     assert {(r.law, r.grown_shard) for r in got} == {("bytes", None)}
+
+
+def test_many_leaves_by_few_intervals(spark, monkeypatch):
+    """Medians by few intervals a round give shards of the sizes that sorting by the key would give."""
+    monkeypatch.setattr(kdtree, "DRIVER_ROWS", 512)
+    rows = [(i, "x" * (20 + i * 7919 % 400), f"s{i % 5}", "en") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    got = kdtree.split_by_kdtree(df, shards=8).collect()
+    size = {}
+    for r in got:
+        size[r.shard] = size.get(r.shard, 0) + r.size
+    mean = sum(size.values()) / 8
+    assert len(got) == 2000 and set(size) == set(range(8)) and all(abs(v - mean) < 0.1 * mean + 421 for v in size.values())
+    for shard in size:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
