@@ -1,5 +1,5 @@
 """Text functions whose steps depend on each other: chunking, alignment, consensus. They run in Arrow batches, a row at a
-time in a task; a group is a bounded number of readings."""
+time in a task."""
 
 from __future__ import annotations
 
@@ -184,8 +184,8 @@ def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else similarity_ratio(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
-def consensus(df: DataFrame, group: str, index: str, text: str, support: int = 2, most: int = 16) -> DataFrame:
-    """(group, text): the vote of each group's readings on its medoid; a group has at most `most` readings."""
+def consensus(df: DataFrame, group: str, index: str, text: str, support: int = 2) -> DataFrame:
+    """(group, text): the vote of each group's readings on its medoid. A group's readings are one row while they vote."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +195,7 @@ def consensus(df: DataFrame, group: str, index: str, text: str, support: int = 2
     from quire.operators.aggregates import medoid
 
     kind = df.schema[group].dataType.simpleString()
-    pivots = medoid(df, group, index, text, most).select(group, F.col(index).alias("__p"))
+    pivots = medoid(df, group, index, text).select(group, F.col(index).alias("__p"))
     lists = df.join(pivots, group).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(text).alias("t")))).alias("l"), F.first("__p").alias("p"))
     ready = lists.select(group, F.transform("l", lambda x: F.coalesce(x["t"], F.lit(""))).alias("readings"), (F.array_position(F.transform("l", lambda x: x["i"]), F.col("p")) - 1).cast("int").alias("pivot"))
     return ready.mapInArrow(run, f"{group} {kind}, {text} string")

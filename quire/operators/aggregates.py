@@ -54,13 +54,16 @@ def modal(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
 def pairs(df: DataFrame, container: str, item: str, most: int = 1000) -> DataFrame:
     """How often two items are in one container: (a, b, n) with a < b.
 
-    A container's items are distinct; one with more than `most` of them raises an error, as its pairs would be no
-    longer in proportion to its rows.
+    A container's items are distinct. Up to `most` of them are paired within one row; larger containers are paired by a join,
+    which spills and whose skew Spark splits: all of their pairs are made, however long that takes.
     """
-    sets = df.groupBy(container).agg(F.array_sort(F.collect_set(item)).alias("s"))
-    sets = sets.filter(F.when(F.size("s") <= most, F.lit(True)).otherwise(F.raise_error(F.lit("a container has too many items for pairs")).cast("boolean")))
+    items = df.select(container, item).filter(F.col(item).isNotNull()).distinct()
+    large = items.groupBy(container).agg(F.count("*").alias("__n")).filter(F.col("__n") > most).select(container)
+    sets = items.join(large, container, "left_anti").groupBy(container).agg(F.array_sort(F.collect_set(item)).alias("s"))
     ab = sets.select(F.posexplode("s").alias("i", "a"), "s").select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
-    return ab.groupBy("a", "b").agg(F.count("*").alias("n"))
+    rest = items.join(large, container, "left_semi")
+    both = rest.withColumnRenamed(item, "a").join(rest.withColumnRenamed(item, "b"), container).filter("a < b").select("a", "b")
+    return ab.unionByName(both).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def histogram(df: DataFrame, groups: list[str], value: str, width: int, bins: int) -> DataFrame:
@@ -95,11 +98,10 @@ def gate(checks: dict[str, Column], pending: dict[str, Column]) -> Column:
     return F.when(~ok, "failed").when(wait, "pending").otherwise("passed")
 
 
-def medoid(df: DataFrame, group: str, index: str, text: str, most: int = 16) -> DataFrame:
-    """Of each group's few readings the one with the least sum of normalised edit distances to the others; of equals the
-    first. A group has at most `most` readings, else an error is raised."""
-    a = df.select(group, F.col(index).alias("i"), F.col(text).alias("x"), F.count("*").over(Window.partitionBy(group)).alias("n"))
-    a = a.filter(F.when(F.col("n") <= most, F.lit(True)).otherwise(F.raise_error(F.lit("a group has too many readings")).cast("boolean")))
+def medoid(df: DataFrame, group: str, index: str, text: str) -> DataFrame:
+    """Of each group's readings the one with the least sum of normalised edit distances to the others; of equals the first. All
+    pairs of a group's readings are compared, by a join."""
+    a = df.select(group, F.col(index).alias("i"), F.col(text).alias("x"))
     b = a.select(F.col(group).alias("__g"), F.col("i").alias("j"), F.col("x").alias("y"))
     d = F.try_divide(F.levenshtein("x", "y").cast("double"), F.greatest(F.length("x"), F.length("y")).cast("double"))
     sums = a.join(b, (F.col(group) == F.col("__g")) & (F.col("i") != F.col("j")), "left").groupBy(group, "i").agg(F.coalesce(F.sum(F.coalesce(d, F.lit(0.0))), F.lit(0.0)).alias("total"))

@@ -40,8 +40,11 @@ def related(items: DataFrame, chosen: DataFrame, key: str, series: str, authors:
     same = me.join(items, (F.col("__s") == F.col(series)) & (F.col(key) != F.col("of")))
     rank = F.row_number().over(Window.partitionBy("of").orderBy(F.col(index).asc_nulls_last(), key))
     by_series = same.select("of", key, F.lit("series").alias("why"), rank.alias("rank")).filter(F.col("rank") <= per_series)
+    # of an author and a series only the first items can be among the first of any chosen item
+    rows = items.select(key, series, F.explode(authors).alias("__author"))
+    k = F.row_number().over(Window.partitionBy("__author", series).orderBy(key))
+    right = rows.withColumn("__k", k).filter(F.col("__k") <= per_author + 1).drop("__k")
     left = me.select("of", "__s", F.explode("__a").alias("__author"))
-    right = items.select(key, series, F.explode(authors).alias("__author"))
     shared = left.join(right, "__author").filter((F.col(key) != F.col("of")) & ~F.coalesce(F.col("__s") == F.col(series), F.lit(False))).select("of", key).distinct()
     rank = F.row_number().over(Window.partitionBy("of").orderBy(key))
     by_author = shared.select("of", key, F.lit("author").alias("why"), rank.alias("rank")).filter(F.col("rank") <= per_author)

@@ -103,9 +103,11 @@ def hybrid(pages: DataFrame, vectors: DataFrame, query: str, query_vector: list[
     lexical = bm25(pages, "full_text", query_terms(query), max(5 * top, 50), key)
     dense = knn(vectors, query_vector, max(5 * top, 50), key)
     merged = windows.fused([lexical, dense], [key], k=k).withColumn("score", F.round("score", 9))
-    hits = pages.join(F.broadcast(merged), key)  # at most two lists of max(5 * top, 50) rows
+    # at most two lists of max(5 * top, 50) rows; texts are fetched for the hits that are left
+    hits = pages.select(key, group, "page_no").join(F.broadcast(merged), key)
     best = windows.capped(hits, group, per_group, top, F.desc("score"), F.col("first"))
-    return best.select(key, group, "page_no", "score", snippet(F.col("full_text"), query_terms(query)).alias("snippet"))
+    whole = pages.select(F.col(key).alias("__key"), "full_text").join(F.broadcast(best), F.col("__key") == F.col(key))
+    return whole.orderBy(F.desc("score"), "first").select(key, group, "page_no", "score", snippet(F.col("full_text"), query_terms(query)).alias("snippet"))
 
 
 def verified(hits: DataFrame, canonical: DataFrame, key: str, text: str) -> DataFrame:

@@ -533,7 +533,16 @@ def ranking_metrics(spark, d):
     return windows.ranking_metrics(ranked, relevant, "q", "i", "rank", "g")
 
 
-@query()
+@query(
+    f"""{WITH_PAGES}, e AS (SELECT * FROM pages_ WHERE eligible), c AS (SELECT page_id, greatest(length(full_text) - 2, 1) AS len, (length(full_text) - length(replace(lower(full_text), 'license', ''))) // 7 AS a, (length(full_text) - length(replace(lower(full_text), 'version', ''))) // 7 AS b FROM e),
+    s AS (SELECT count(*) AS n, avg(len) AS av, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c),
+    x AS (SELECT page_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / av)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / av)), 6) AS score FROM c, s WHERE a > 0 OR b > 0 ORDER BY score DESC, page_id LIMIT 50),
+    q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = {QUERY_VECTOR}), y AS (SELECT vec_id AS page_id, round(list_sum(list_transform(list_zip(embedding, q), lambda v: (CAST(v[1] AS DOUBLE) - v[2]) * (CAST(v[1] AS DOUBLE) - v[2]))), 6) AS d FROM embeddings, q ORDER BY d, vec_id LIMIT 50),
+    r AS (SELECT 0 AS l, page_id, row_number() OVER (ORDER BY score DESC, page_id) AS k FROM x UNION ALL SELECT 1, page_id, row_number() OVER (ORDER BY d, page_id) FROM y), m AS (SELECT page_id, round(sum(CAST(1 AS DOUBLE) / (60 + k)), 9) AS score, min(l * 1000 + k) AS seen FROM r GROUP BY 1),
+    h AS (SELECT e.*, score, seen FROM m JOIN e USING (page_id)), t AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY book ORDER BY score DESC, seen) <= 3 ORDER BY score DESC, seen LIMIT 10),
+    z AS (SELECT *, CASE WHEN contains(lower(full_text), 'version') THEN strpos(lower(full_text), 'version') ELSE strpos(lower(full_text), 'license') END AS place FROM t), w AS (SELECT *, greatest(1, place - 100) AS start FROM z)
+    SELECT page_id, book, page_no, score, CASE WHEN start > 1 THEN '…' ELSE '' END || substr(full_text, start, 200) || CASE WHEN start + 200 <= length(full_text) THEN '…' ELSE '' END AS snippet FROM w"""
+)
 def hybrid_search(spark, d):
     p = pages(spark, d).filter("eligible")
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding")

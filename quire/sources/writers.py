@@ -25,7 +25,9 @@ class Versioned:
     """A table at a path: `generation-*` folders, and `manifest` rows (revision, generation, digest, rows, status).
 
     A generation is written whole and checked before the manifest names it, so a reader sees the old one or the new one.
-    Manifest rows are only added; the one with the highest revision holds.
+    Manifest rows are only added; the one with the highest revision holds. A revision is claimed by creating a file that must
+    not exist, so of two writers that saw the same revision one fails. A writer that dies between its claim and its row
+    leaves a claim to be deleted by hand.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -81,10 +83,22 @@ class Versioned:
         self._add(now.revision, row.generation, row.digest, row.rows, "active")
         return now.revision + 1
 
+    def _claim(self, revision: int) -> None:
+        """Create the file that only one writer of a revision can create."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims/{revision}")
+        files = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        try:
+            files.create(path, False).close()
+        except Exception as e:
+            if "exist" in str(e).lower():
+                raise Conflict(f"revision {revision} is being written by another") from e
+            raise
+
     def _add(self, revision: int, generation: str | None, digest: str | None, rows: int, status: str) -> None:
         now = self.current()
         if (now.revision if now else 0) != revision:
             raise Conflict(f"revision {now.revision if now else 0} holds, not {revision}")
+        self._claim(revision + 1)
         row = [(revision + 1, generation, digest, rows, status)]
         self.spark.createDataFrame(row, "revision long, generation string, digest string, rows long, status string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
