@@ -318,12 +318,39 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     as its one feature; one without words, or null, has none and links with nothing. Equal sets are linked and
     are handled as one. Rows that repeat are equal sets; a null id counts as larger than any other. Sets are held by 64-bit hashes.
     """
+    found = _components_of_rows(df, id_col, text_col, n, percent)
+    return found.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("lowest", "id").alias("component_id"))
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of df without near copies: of each component one row stays, that of the smallest id; where several rows
+    of it have that id, one of the text with the smallest hash, once.
+
+    A row is told by id and text, so of two rows with one id and different texts each has its own fate. A null id comes
+    after all others. Rows without words, or with null text, are near nothing and all stay. Other columns, of any name, are
+    kept; an empty table gives no rows.
+    """
+    found = _components_of_rows(df, id_col, text_col, n, percent).groupBy("label", "id", "place").agg(F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "place", "copies")).alias("one")
+    kept = found.filter("label is not null").groupBy("label").agg(first).select("one.id", "one.place", "one.copies")
+    kept = kept.unionByName(found.filter("label is null").select("id", "place", F.lit(1).cast("long").alias("copies")))
+    kept = materialize(kept.select(F.col("id").alias("__id"), F.col("place").alias("__place"), F.col("copies").alias("__copies")), "kept")
+    placed = df.withColumn("__at", F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__place"))
+    once = placed.join(kept.filter("__copies = 1"), same, "left_semi")
+    repeated = placed.join(kept.filter("__copies > 1"), same, "left_semi").dropDuplicates([id_col, "__at"])
+    return once.unionByName(repeated).drop("__at")
+
+
+def _components_of_rows(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """For every row: id, place (a hash of its text), n_shingles, label (one number for a component, null for a row
+    without words) and lowest (the component's smallest id, null if it has none)."""
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("place"), F.col(text_col).alias("text"))
     rows = materialize(document_classes(docs, n), "classes")
     one = F.min(F.struct("place", "id"))  # the row whose text stands for the class
     groups = rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("least"), one.alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("print").alias("print"), *[F.first(s).alias(s) for s in SKETCH], F.count("*").alias("members"))
     classes = materialize(groups.select("class", "least", "one.id", "one.place", "n_shingles", "print", *SKETCH, "members"), "class_groups")
-    rows = rows.select("id", "class", "n_shingles")
+    rows = rows.select("id", "place", "class", "n_shingles")
 
     dealt = signature_rows(docs.select("id", "text"), n, percent).repartition("sig").sortWithinPartitions("sig", "class")
     met = materialize(dealt.mapInArrow(_meet, "crowded boolean, x long, y long"), "candidates")
@@ -372,12 +399,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = classes.select("class", "least", "members")
     small = classes.join(labels, classes["class"] == labels["node"]).select("class", "least", "label")
     lowest = small.groupBy("label").agg(F.min("least").alias("lowest"))
-    small = small.join(lowest, "label").select("class", "lowest")
-    table = classes.join(small, "class", "left").select("class", F.coalesce("lowest", "least").alias("component_id"), "members")
+    small = small.join(lowest, "label").select("class", "label", "lowest")
+    table = classes.join(small, "class", "left").select("class", F.coalesce("label", "class").alias("label"), F.coalesce("lowest", "least").alias("lowest"), "members")
     total = classes.agg(F.sum("members")).first()[0] or 0
     hot = table.filter(F.col("members") * HOT_SHARE > total)
-    joined = lookup(rows, table.drop("members"), "class", hot=hot.drop("members"))
-    return joined.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return lookup(rows, table.drop("members"), "class", hot=hot.drop("members")).select("id", "place", "n_shingles", "label", "lowest")
 
 
 def _renew(df: DataFrame, name: str, old: DataFrame) -> DataFrame:

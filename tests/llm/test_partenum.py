@@ -164,3 +164,16 @@ def test_crowded_pair_across_a_step_of_the_slack(spark):
     want = brute(rows)
     assert want[0] == (30, 0) and want[1] == (24, 0)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.jaccard_components(df).collect()} == want
+
+
+def test_near_copies_go_by_id_and_text(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    near = a + " more"
+    rows = [(5, a), (3, near), (5, b), (5, b), (None, a.upper()), (7, None), (7, ""), (7, ""), (8, "c d"), (8, "C  D"), (None, "e f"), (None, "g h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as class", "2 as place", "3 as copies").repartition(3)
+    got = partenum.drop_near_copies(df)
+    assert got.columns == df.columns
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert [x for x in left if x[0] != 8] == sorted([(3, near), (5, b), (7, None), (7, ""), (7, ""), (None, "e f"), (None, "g h")], key=str)
+    assert [x for x in left if x[0] == 8] in ([(8, "c d")], [(8, "C  D")])
+    assert partenum.drop_near_copies(df.limit(0)).collect() == []
