@@ -11,14 +11,16 @@ from quire.llm.workspace import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier accepts."""
+    """Documents whose language the classifier accepts. A null or empty text, or one without a letter, is `und`, which
+    is rejected; rows that repeat have one fate; an empty table gives none."""
     learned = docs.select("doc_id", "text", "lang").filter(~language.held_out("doc_id"))
     model = language.fit(learned, "text", "lang", ["doc_id"])
     return language.identify(docs, model).filter("not rejected").select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text the one with the smallest id, once."""
+    """Of documents with equal text the one with the smallest id, once. A null text is empty; a null id stays only where
+    all ids of its text are null; rows of one id and different texts are different documents."""
     verdicts = cuckoo.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__id"), "text_sha256")
     keyed = docs.withColumn("__digest", cuckoo.text_digest("text"))
     kept = keyed.join(verdicts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("text_sha256")), "left_semi")
@@ -26,19 +28,19 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of five-word Jaccard similarity 0.8 connect the one with the smallest id."""
-    found = partenum.jaccard_components(docs).select(F.col("doc_id").alias("__id"), "component_id")
-    kept = found.filter(F.col("__id").eqNullSafe(F.col("component_id"))).select("__id")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """Of documents that links of five-word Jaccard similarity 0.8 connect the one with the smallest id. Rows of one id
+    and different texts are different documents; rows without words all stay."""
+    return partenum.drop_near_copies(docs).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of small sources more often, at most twice."""
+    """Every document at least once, those of small sources more often, at most twice. A null source is a source of its
+    own; a null or empty text counts as one token."""
     return mixing.temperature_mix(docs, max_repeats=2.0).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text, with their number and that of the bytes they decode to."""
+    """The ids of each whole text, with their number and that of the bytes they decode to; a null text has none."""
     codec = bpe.ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     both = codec.round_trip(docs)
     return both.select("doc_id", "source", bpe.n_tokens("token_ids").alias("n_tokens"), "token_ids", F.octet_length("decoded").cast("long").alias("n_bytes"))
