@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.sources.shared import new_folder
+
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir; of its own only where that is unset, as in tests."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def stream(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
