@@ -6,13 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import ann, filters, postings, reports, search, vector_index, windows
+from quire.operators import ann, filters, postings, reports, search, text_index, vector_index, windows
 from quire.plans.adapters import PAGES_SQL, pages
 from quire.plans.queries import QUERY_VECTOR
 from quire.plans.registry import query
 from quire.session import table
 from quire.sources.publications import Publication
-from quire.sources.shared import new_folder
+from quire.sources.shared import new_folder, stored
 
 WITH_PAGES = f"WITH pages_ AS ({PAGES_SQL})"
 WITH_WORDS = r"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\pL\pN]+'), lambda w: length(w) <= 40) AS ws FROM documents), e AS (SELECT doc_id, len(ws) AS length, unnest(ws) AS token FROM w),
@@ -21,7 +21,8 @@ BM25 = "sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 +
 
 
 def _index(spark, d):
-    return postings.index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", postings.words(F.col("text")))
+    """Postings of all texts, stored: searches read them for hits, frequencies and lengths."""
+    return stored(postings.index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", postings.words(F.col("text"))), "postings")
 
 
 @query(f"{WITH_WORDS} SELECT token, count(*) AS pages, CAST(sum(tf) AS BIGINT) AS total FROM p GROUP BY 1")
@@ -35,11 +36,11 @@ def word_search(spark, d):
 
 
 @query(
-    r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(substr(text, 1, 300)), '[\pL\pN]+'), lambda w: length(w) <= 40)) AS w FROM documents), g AS (SELECT doc_id, unnest([substr(w, i, 2) FOR i IN range(1, length(w))]) AS token FROM w UNION ALL SELECT doc_id, unnest([substr(w, i, 3) FOR i IN range(1, length(w) - 1)]) FROM w)
+    r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\pL\pN]+'), lambda w: length(w) <= 40)) AS w FROM documents), g AS (SELECT doc_id, unnest([substr(w, i, 2) FOR i IN range(1, length(w))]) AS token FROM w UNION ALL SELECT doc_id, unnest([substr(w, i, 3) FOR i IN range(1, length(w) - 1)]) FROM w)
     SELECT token, count(DISTINCT doc_id) AS pages, count(*) AS total FROM g GROUP BY 1"""
 )
 def gram_index(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 300).alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return postings.index(docs, "doc_id", postings.grams(F.col("text"))).groupBy("token").agg(F.count("*").alias("pages"), F.sum("tf").alias("total"))
 
 
@@ -52,6 +53,42 @@ def index_refresh(spark, d):
     return postings.refreshed(_index(spark, d), changed, "doc_id", postings.words(F.col("text"))).groupBy("token").agg(F.count("*").alias("pages"))
 
 
+PLACED = r"""WITH w AS (SELECT doc_id, coalesce(list_filter(regexp_extract_all(lower(text), '[\pL\pN]+'), lambda w: length(w) <= 40), []) AS ws FROM documents), s AS (SELECT count(*) AS n, sum(len(ws)) / count(*) AS mean FROM w)"""
+
+
+def _text_index(spark, d):
+    at = Publication(spark, new_folder(spark, "texts"))
+    text_index.build(at, table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return text_index.Reader(at)
+
+
+@query(
+    f"""{PLACED}, e AS (SELECT doc_id, unnest(ws) AS token, unnest(range(len(ws))) AS place FROM w)
+    SELECT token, count(DISTINCT doc_id) AS pages, count(*) AS total, CAST(sum(place) AS BIGINT) AS places FROM e GROUP BY 1"""
+)
+def text_index_inventory(spark, d):
+    """Every word of the stored index, with its places."""
+    places = F.aggregate(F.flatten("positions"), F.lit(0).cast("long"), lambda s, x: s + x)
+    tf = F.aggregate("tf", F.lit(0).cast("long"), lambda s, x: s + x)
+    return _text_index(spark, d).postings.groupBy("token").agg(F.sum("docs").alias("pages"), F.sum(tf).alias("total"), F.sum(places).alias("places"))
+
+
+@query(
+    f"""{PLACED}, e AS (SELECT doc_id, len(ws) AS length, unnest(ws) AS token FROM w), h AS (SELECT token, doc_id, length, count(*) AS tf FROM e WHERE token IN ('license', 'the', 'version') GROUP BY ALL),
+    f AS (SELECT token, count(*) AS df FROM h GROUP BY 1) SELECT doc_id, round({BM25}, 6) AS score FROM h JOIN f USING (token), s GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 25"""
+)
+def text_index_search(spark, d):
+    return _text_index(spark, d).search(["license", "the", "version"], 25).select(F.col("key").alias("doc_id"), "score")
+
+
+@query(
+    f"""{PLACED}, h AS (SELECT doc_id, len(ws) AS length, len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'rights' AND ws[i + 1] = 'reserved')) AS tf FROM w), p AS (SELECT *, count(*) OVER () AS df FROM h WHERE tf > 0)
+    SELECT doc_id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)), 6) AS score FROM p, s ORDER BY score DESC, doc_id LIMIT 25"""
+)
+def text_index_phrase(spark, d):
+    return _text_index(spark, d).phrase_search(["rights", "reserved"], 25).select(F.col("key").alias("doc_id"), "score")
+
+
 RANKED = "SELECT doc_id FROM (SELECT doc_id, {bm25} AS score FROM h JOIN f USING (token), s GROUP BY doc_id) ORDER BY round(score, 6) DESC, doc_id LIMIT 40"
 
 
