@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.shared import stored
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0 or null."""
@@ -57,7 +59,7 @@ def pairs(df: DataFrame, container: str, item: str, most: int = 1000) -> DataFra
     A container's items are distinct. Up to `most` of them are paired within one row; larger containers are paired by a join,
     which spills and whose skew Spark splits: all of their pairs are made, however long that takes.
     """
-    items = df.select(container, item).filter(F.col(item).isNotNull()).distinct()
+    items = stored(df.select(container, item).filter(F.col(item).isNotNull()).distinct(), "items")  # read thrice below
     large = items.groupBy(container).agg(F.count("*").alias("__n")).filter(F.col("__n") > most).select(container)
     sets = items.join(large, container, "left_anti").groupBy(container).agg(F.array_sort(F.collect_set(item)).alias("s"))
     ab = sets.select(F.posexplode("s").alias("i", "a"), "s").select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
@@ -104,5 +106,7 @@ def medoid(df: DataFrame, group: str, index: str, text: str) -> DataFrame:
     a = df.select(group, F.col(index).alias("i"), F.col(text).alias("x"))
     b = a.select(F.col(group).alias("__g"), F.col("i").alias("j"), F.col("x").alias("y"))
     d = F.try_divide(F.levenshtein("x", "y").cast("double"), F.greatest(F.length("x"), F.length("y")).cast("double"))
-    sums = a.join(b, (F.col(group) == F.col("__g")) & (F.col("i") != F.col("j")), "left").groupBy(group, "i").agg(F.coalesce(F.sum(F.coalesce(d, F.lit(0.0))), F.lit(0.0)).alias("total"))
+    apart = a.join(b, (F.col(group) == F.col("__g")) & (F.col("i") < F.col("j"))).select(group, F.array("i", "j").alias("both"), F.coalesce(d, F.lit(0.0)).alias("d"))
+    each = apart.select(group, F.explode("both").alias("i"), "d").unionByName(a.select(group, "i", F.lit(0.0).alias("d")))
+    sums = each.groupBy(group, "i").agg(F.sum("d").alias("total"))
     return sums.groupBy(group).agg(F.min_by("i", F.struct(F.round("total", 9), "i")).alias(index), F.round(F.min("total"), 6).alias("total"))

@@ -84,15 +84,32 @@ def consistency(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def contained(names: DataFrame, titles: DataFrame, name: str, title: str, order: str, n: int = 3) -> DataFrame:
-    """For each name the first title (in an order) of at least n characters that it contains.
+    """For each name the first title (in an order) of at least n characters that it contains."""
+    long = titles.filter(F.length(title) >= n)
+    distinct = names.select(F.col(name).alias("__key"), name).distinct()
+    hits = containing(distinct, "__key", name, long.select(title).distinct(), title, n).join(long, title)
+    return hits.groupBy(F.col("__key").alias(name)).agg(F.min_by(title, order).alias(title))
 
-    Titles are found by the n-gram that begins them, so only names that have it are compared: an equi-join, not a
-    comparison of everything with everything.
+
+def containing(texts: DataFrame, key: str, text: str, parts: DataFrame, part: str, n: int = 3) -> DataFrame:
+    """(key, part) where a text contains a part of n characters at least. Parts are distinct.
+
+    A part is looked for only in the texts that have its rarest n-gram, so a beginning that many parts or texts share
+    makes no pairs: two equi-joins, not a comparison of everything with everything.
     """
-    grams = names.select(name, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i: F.substr(F.col(name), i, F.lit(n))))).alias("__g"))
-    starts = titles.filter(F.length(title) >= n).withColumn("__g", F.substring(title, 1, n))
-    hits = grams.join(starts, "__g").filter(F.contains(F.col(name), F.col(title)))
-    return hits.groupBy(name).agg(F.min_by(title, order).alias(title))
+
+    def grams(c: str) -> Column:
+        return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(n))))).alias("__g")
+
+    of_parts = parts.filter(F.length(part) >= n).select(part, grams(part))
+    of_texts = texts.select(F.col(key), grams(text)).join(of_parts.select("__g").distinct(), "__g", "left_semi")
+    seen = of_texts.groupBy("__g").agg(F.count("*").alias("__n"))
+    # a gram that no text has comes first: its part is in no text
+    counted = of_parts.join(seen, "__g", "left").groupBy(part).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__g").alias("g"))).alias("__r"))
+    rarest = counted.filter("__r.n > 0").select(part, F.col("__r.g").alias("__g"))
+    near = of_texts.join(rarest, "__g").select(F.col(key).alias("__k"), part)
+    whole = texts.select(F.col(key), F.col(text).alias("__text"))
+    return near.join(whole, F.col("__k") == F.col(key)).filter(F.contains("__text", F.col(part))).select(key, part)
 
 
 def candidate_scores(left: DataFrame, right: DataFrame, block: str, rules: list[tuple[Column, int]], least: int) -> DataFrame:

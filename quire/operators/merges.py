@@ -53,8 +53,9 @@ def publish(history: DataFrame, batch: DataFrame, key: str, at: Column) -> DataF
     return retired.unionByName(fresh.select(*retired.columns))
 
 
-def prune_tail(df: DataFrame, index: str, count: int) -> DataFrame:
-    return df.filter(F.col(index) <= count)
+def prune_tail(df: DataFrame, counts: DataFrame, key: list[str], index: str, count: str) -> DataFrame:
+    """Rows whose index, from 0, is below the count that their key has now; a key without a count keeps nothing."""
+    return df.join(counts.select(*key, F.col(count).alias("__n")), key).filter(F.col(index) < F.col("__n")).drop("__n")
 
 
 def not_imported(files: DataFrame, ledger: DataFrame, key: tuple[str, ...] = ("kind", "name", "sha256")) -> DataFrame:

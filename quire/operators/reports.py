@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import pages as rules
 from quire.functions.text import character_category, stripped
+from quire.operators.joins import containing
 
 
 def approval(df: DataFrame, group: str, rejected: Column, unclassified: Column) -> DataFrame:
@@ -167,11 +168,9 @@ def guarded(report: DataFrame, corpus: DataFrame, key: str, digest: str) -> Data
 
 def evidence(aliases: DataFrame, pages: DataFrame, name: str, alias: str, derived: str, page: str, text: str, n: int = 3) -> DataFrame:
     """(name, first_page, pages) of names with evidence: pages whose text has any alias; a derived alias counts only if two
-    pages have it. Aliases are found through the n characters they begin with, so texts meet only aliases that may be in them."""
-    a = aliases.filter(F.length(alias) >= n).withColumn("__g", F.substring(alias, 1, n))
-    wanted = a.select("__g").distinct()
-    grams = pages.select(page, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(n))))).alias("__g")).join(wanted, "__g", "left_semi")
-    hits = grams.join(a, "__g").join(pages.select(page, text), page).filter(F.contains(F.col(text), F.col(alias))).select(name, alias, derived, page).distinct()
+    pages have it. Texts meet only aliases that may be in them (`joins.containing`)."""
+    a = aliases.filter(F.length(alias) >= n)
+    hits = containing(pages, page, text, a.select(alias).distinct(), alias, n).join(a, alias).select(name, alias, derived, page).distinct()
     enough = hits.groupBy(name, alias, derived).agg(F.collect_set(page).alias("p")).filter(~F.col(derived) | (F.size("p") >= 2))
     return enough.select(name, F.explode("p").alias(page)).groupBy(name).agg(F.min(page).alias("first_page"), F.count_distinct(page).alias("pages"))
 

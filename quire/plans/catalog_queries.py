@@ -158,9 +158,9 @@ def distinct_names(spark, d):
     return table(spark, d, "part").select(F.explode(F.array("p_brand", "p_type", F.upper("p_brand"))).alias("name")).select(F.lower("name").alias("name")).distinct()
 
 
-@query("SELECT n_name, coalesce(n, 0) AS n, n IS NULL AS needed FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) ON c_nationkey = n_nationkey")
+@query("SELECT n_name, coalesce(n, 0) AS n, n IS NULL AS needed FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal < 0 GROUP BY 1) ON c_nationkey = n_nationkey")
 def listing_left_join(spark, d):
-    c = table(spark, d, "customer").filter("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    c = table(spark, d, "customer").filter("c_acctbal < 0").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
     return table(spark, d, "nation").join(c, "n_nationkey", "left").select("n_name", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("needed"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.operators import merges, sets
@@ -36,10 +37,10 @@ def document_rows(spark, d):
 CHUNKS = "SELECT conv_id AS book, turn AS page, text FROM conversations"
 
 
-@query(f"WITH c AS ({CHUNKS}) SELECT book, page, text FROM c WHERE book % 3 <> 0 UNION ALL SELECT book, page, substr(text, 1, 50) FROM c WHERE book % 3 = 0 AND length(text) >= 30")
+@query(f"WITH c AS ({CHUNKS}) SELECT book, page, text FROM c WHERE book % 3 <> 0 UNION ALL SELECT book, page, 'new: ' || text FROM c WHERE book % 3 = 0 AND length(text) >= 30")
 def book_rebuild(spark, d):
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("page"), "text")
-    new = c.filter("book % 3 = 0 and length(text) >= 30").withColumn("text", F.substring("text", 1, 50))
+    new = c.filter("book % 3 = 0 and length(text) >= 30").withColumn("text", F.concat(F.lit("new: "), "text"))
     # a book whose pages are all too short must lose its chunks as well
     return merges.replaced_rows(c.filter("book % 3 <> 0 or length(text) >= 30"), new, ["book"])
 
@@ -86,9 +87,12 @@ def checkpoint_reuse(spark, d):
     return merges.reusable(known, blocks, ["conv_id", "turn"], ["hash", "model"]).select("conv_id", "turn", "hash", "reused")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE turn <= 3")
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS block, count(*) OVER (PARTITION BY conv_id) // 2 AS kept FROM conversations) WHERE block < kept")
 def tail_prune(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn").filter(F.col("turn") <= 3)
+    """Blocks of conversations that were built anew with half as many: the tail of each goes."""
+    c = table(spark, d, "conversations")
+    blocks = c.select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("block"))
+    return merges.prune_tail(blocks, c.groupBy("conv_id").agg(F.floor(F.count("*") / 2).alias("n")), ["conv_id"], "block", "n").select("conv_id", "turn")
 
 
 @query("SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN -1 ELSE label END AS label FROM embeddings UNION ALL SELECT -vec_id, -2 FROM embeddings WHERE vec_id % 100 = 1")
@@ -142,11 +146,9 @@ def ordered_union(spark, d):
     return u.join(first, "id").select("id", "at", (F.col("place.t") == 1).alias("late"))
 
 
-@query("SELECT (SELECT count(*) FROM nation) AS only_left, CAST(0 AS BIGINT) AS only_right, false AS equal FROM region WHERE r_regionkey = 0")
+@query("WITH d AS (SELECT doc_id AS k FROM documents), l AS (SELECT doc_id AS k FROM labels), x AS (SELECT (SELECT count(*) FROM (FROM d EXCEPT FROM l)) AS only_left, (SELECT count(*) FROM (FROM l EXCEPT FROM d)) AS only_right) SELECT *, only_left = 0 AND only_right = 0 AS equal FROM x")
 def coverage_equality(spark, d):
-    n = table(spark, d, "nation").select((F.col("n_nationkey") + 100).alias("k"))
-    none = table(spark, d, "nation").filter("n_nationkey < 0").select(F.col("n_nationkey").alias("k"))
-    return sets.same_keys(n, none, "k")
+    return sets.same_keys(table(spark, d, "documents").select(F.col("doc_id").alias("k")), table(spark, d, "labels").select(F.col("doc_id").alias("k")), "k")
 
 
 @query("SELECT name, bool_or(hit) AS hit FROM (SELECT c_name AS name, true AS hit FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT c_name, false FROM customer WHERE c_nationkey = 3) GROUP BY 1")

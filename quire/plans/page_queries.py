@@ -13,8 +13,8 @@ from quire.session import table
 
 WITH_PAGES = f"WITH pages_ AS ({PAGES_SQL})"
 #: A page's text with markers; the same expression in both SQLs.
-MARKED = """CASE page_no % 7 WHEN 0 THEN 'もくじ ' || substr(full_text, 1, 250) WHEN 1 THEN '第1章 第2章 第3章' || substr(full_text, 1, 40) WHEN 2 THEN '序章 ' || full_text WHEN 3 THEN 'ISBN 奥付 ' || substr(full_text, 1, 100)
-    WHEN 4 THEN substr(full_text, 1, 20) WHEN 5 THEN substr(full_text, 1, 150) || ' ISBN' ELSE substr(full_text, 1, 250) END"""
+MARKED = """CASE page_no % 7 WHEN 0 THEN 'もくじ ' || full_text WHEN 1 THEN '第1章 第2章 第3章' || full_text WHEN 2 THEN '序章 ' || full_text WHEN 3 THEN 'ISBN 奥付 ' || full_text
+    WHEN 4 THEN book WHEN 5 THEN full_text || ' ISBN' ELSE full_text END"""
 COMPACT = "regexp_replace({}, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', '', 'g')"
 KIND = f"""CASE WHEN page_no <= greatest(12, page_count // 8) AND (regexp_matches(t, '{rules.TOC}') OR len(regexp_extract_all(t, '{rules.SECTION}')) >= 3) THEN 'toc' WHEN n >= 300 AND regexp_matches(t, '{rules.NARRATIVE_START}') THEN 'narrative'
     WHEN len(regexp_extract_all(t, '{rules.COLOPHON}')) >= 2 OR (page_no >= greatest(1, page_count - greatest(8, page_count // 10)) AND len(regexp_extract_all(t, '{rules.COLOPHON}')) >= 1 AND n < 1200) THEN 'colophon_or_ad'
@@ -80,14 +80,14 @@ EXTERNAL = "CASE doc_id % 4 WHEN 0 THEN text || text WHEN 1 THEN substr(text, 1,
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS p, coalesce({EXTERNAL}, '') AS e FROM documents WHERE doc_id % 4 <> 0), u AS (SELECT doc_id, p AS x FROM d UNION ALL SELECT -1 - doc_id, e FROM d), {_repetition_sql('u', 'doc_id', 'x')},
+    f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS p, coalesce({EXTERNAL}, '') AS e FROM documents), u AS (SELECT doc_id, p AS x FROM d UNION ALL SELECT -1 - doc_id, e FROM d), {_repetition_sql('u', 'doc_id', 'x')},
     n AS (SELECT doc_id, p, e, length({COMPACT.format('p')}) AS np, length({COMPACT.format('e')}) AS ne, doc_id IN (SELECT k FROM bad) AS rp, -1 - doc_id IN (SELECT k FROM bad) AS re FROM d)
     SELECT doc_id, array_to_string(list_filter([CASE WHEN np < 30 AND greatest(np, ne) >= 300 THEN 'candidate_content_conflict' END, CASE WHEN re THEN 'external_text_repetition' END, CASE WHEN rp THEN 'primary_text_repetition' END, CASE WHEN rp THEN 'selected_text_repetition' END,
         CASE WHEN contains(lower({COMPACT.format('e')}), 'chatgpt') THEN 'ui_overlay_text_detected' END, CASE WHEN np > 0 AND ne > 0 AND {COMPACT.format('p')} <> {COMPACT.format('e')} AND np >= 256 AND ne - np >= 30 AND ne >= np * 1.02 THEN 'unselected_external_candidate_more_complete' END], lambda f: f IS NOT NULL), ',') AS flags,
         rp AND ne >= 256 AND NOT re AS fallback FROM n"""
 )
 def risk_flags(spark, d):
-    p = table(spark, d, "documents").filter("doc_id % 4 <> 0").select("doc_id", "text", F.expr(EXTERNAL).alias("e"))
+    p = table(spark, d, "documents").select("doc_id", "text", F.expr(EXTERNAL).alias("e"))
     flags = rules.risk_flags(F.lit("narrative"), F.col("text"), F.lit(0), F.col("text"), F.col("e"))
     return p.select("doc_id", F.array_join(flags, ",").alias("flags"), rules.repetition_fallback(F.col("text"), F.col("e")).alias("fallback"))
 
@@ -114,11 +114,11 @@ def metric_texts(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT unnest(string_split(substr(text, 1, 400) || 'ぁ、漢カ', '')) AS c FROM benchmark)
+    """WITH c AS (SELECT unnest(string_split(text || 'ぁ、漢カ', '')) AS c FROM benchmark)
     SELECT CASE WHEN c = 'ぁ' THEN 'small_kana' WHEN regexp_matches(c, '^\\pP$') OR c = '~' THEN 'punctuation' WHEN c = '漢' THEN 'kanji' WHEN c = 'カ' THEN 'kana' WHEN regexp_matches(c, '^[A-Za-z0-9]$') THEN 'ascii_or_digit' ELSE 'other' END AS category, count(*) AS n FROM c GROUP BY 1"""
 )
 def character_categories(spark, d):
-    c = table(spark, d, "benchmark").select(F.explode(F.split(F.concat(F.substring("text", 1, 400), F.lit("ぁ、漢カ")), "")).alias("c")).filter("c <> ''")
+    c = table(spark, d, "benchmark").select(F.explode(F.split(F.concat("text", F.lit("ぁ、漢カ")), "")).alias("c")).filter("c <> ''")
     return c.groupBy(text.character_category(F.col("c")).alias("category")).agg(F.count("*").alias("n"))
 
 
@@ -170,7 +170,7 @@ def sample_boundaries(spark, d):
     return reports.sample_boundary(pages(spark, d).select("book", "page_no", "page_count", t.alias("t")), "book", "page_no", "page_count", "t")
 
 
-PROSE = "CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '```' || substr(text, 1, 50) WHEN 2 THEN 'A long enough line. A long enough line.' WHEN 3 THEN 'same' || chr(10) || chr(10) || 'same' ELSE substr(text, 1, 100) END"
+PROSE = "CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '```' || text WHEN 2 THEN 'A long enough line. A long enough line.' WHEN 3 THEN 'same' || chr(10) || chr(10) || 'same' ELSE text END"
 
 
 @query(

@@ -230,7 +230,7 @@ def budgeted_evidence(spark, d):
     return reports.budgeted(e, "book", "claim", "page", "chars", 12, 3000)
 
 
-@query("SELECT vec_id, len(embedding) AS dim, true AS valid FROM embeddings")
+@query("SELECT vec_id, len(embedding) AS dim, len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND list_dot_product(embedding, embedding) > 0 AS valid FROM embeddings")
 def vector_validity(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("dim"), search.valid_vector(F.col("embedding"), 64).alias("valid"))
 

@@ -10,24 +10,24 @@ from quire.streaming import jobs, observations, run
 
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 JOBS_SQL = """SELECT event_id AS id, 'lane' || user_id % 3 AS source, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'claimed' WHEN 'purchase' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'done' END AS status,
-    CASE WHEN event_type IN ('click', 'purchase') THEN 'a' || event_id % 40 END AS agent_id, ts AS requested_at FROM events WHERE event_id < 400"""
+    CASE WHEN event_type IN ('click', 'purchase') THEN 'a' || event_id % 40 END AS agent_id, ts AS requested_at FROM events"""
 
 
 def _jobs(spark, d):
     kind = F.col("event_type")
     status = F.when(kind == "view", "queued").when(kind == "click", "claimed").when(kind == "purchase", "running").when(kind == "error", "failed").otherwise("done")
     active = kind.isin("click", "purchase")
-    e = table(spark, d, "events").filter("event_id < 400")
+    e = table(spark, d, "events")
     ts = F.col("ts").cast("timestamp")
     none = F.lit(None).cast("timestamp")
     return e.select(F.col("event_id").alias("id"), F.concat(F.lit("lane"), F.col("user_id") % 3).alias("source"), status.alias("status"), F.when(active, F.concat(F.lit("a"), F.col("event_id") % 40)).alias("agent_id"), ts.alias("requested_at"), F.when(active, ts).alias("claimed_at"), none.alias("heartbeat_at"), F.lit(None).cast("string").alias("error_code"))
 
 
-AGENTS_SQL = "SELECT 'a' || i AS agent, 'lane' || i % 3 AS source FROM range(60) t(i)"
+AGENTS_SQL = "SELECT DISTINCT 'a' || user_id AS agent, 'lane' || user_id % 3 AS source FROM events"
 
 
-def _agents(spark):
-    return spark.range(60).select(F.concat(F.lit("a"), "id").alias("agent"), F.concat(F.lit("lane"), F.col("id") % 3).alias("source"))
+def _agents(spark, d):
+    return table(spark, d, "events").select(F.concat(F.lit("a"), "user_id").alias("agent"), F.concat(F.lit("lane"), F.col("user_id") % 3).alias("source")).distinct()
 
 
 @query(
@@ -36,7 +36,7 @@ def _agents(spark):
     SELECT j.id, CASE WHEN w.id IS NOT NULL THEN 'claimed' ELSE status END AS status, coalesce(w.agent, agent_id) AS agent_id, w.id IS NOT NULL OR status IN ('claimed', 'running') AS alive FROM j LEFT JOIN w ON w.id = j.id"""
 )
 def job_claims(spark, d):
-    out = jobs.claim(_jobs(spark, d), _agents(spark), F.expr(NOW))
+    out = jobs.claim(_jobs(spark, d), _agents(spark, d), F.expr(NOW))
     return out.select("id", "status", "agent_id", F.col("heartbeat_at").isNotNull().alias("alive"))
 
 
@@ -92,9 +92,9 @@ def ledger_order(spark, d):
     return jobs.ordered_ledger(table(spark, d, "events"), "user_id", "event_id", "event_type", {"purchase": ("click", "view")})
 
 
-@query("SELECT user_id AS artist, count(*) FILTER (event_type = 'view') AS added, count(*) FILTER (event_type = 'click') AS skipped, count(*) FILTER (event_type = 'error') AS errors, CASE WHEN count(*) FILTER (event_type = 'error') = 0 THEN 'ok' WHEN count(*) FILTER (event_type = 'view') > 0 THEN 'partial' ELSE 'failed' END AS status FROM events WHERE event_id < 300 GROUP BY 1")
+@query("SELECT user_id AS artist, count(*) FILTER (event_type = 'view') AS added, count(*) FILTER (event_type = 'click') AS skipped, count(*) FILTER (event_type = 'error') AS errors, CASE WHEN count(*) FILTER (event_type = 'error') = 0 THEN 'ok' WHEN count(*) FILTER (event_type = 'view') > 0 THEN 'partial' ELSE 'failed' END AS status FROM events GROUP BY 1")
 def feed_runs(spark, d):
-    e = table(spark, d, "events").filter("event_id < 300")
+    e = table(spark, d, "events")
     n = lambda kind: F.count_if(F.col("event_type") == kind)
     got = e.groupBy(F.col("user_id").alias("artist")).agg(n("view").alias("added"), n("click").alias("skipped"), n("error").alias("errors"))
     return got.withColumn("status", jobs.run_status(F.col("added"), F.col("errors")))

@@ -103,3 +103,30 @@ def test_entry_and_keys(spark):
 
     assert __spark_entry__.entry(spark).columns == ["page_id", "book", "page_no", "score", "snippet"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_guards_fail_when_they_should(spark):
+    from quire.operators import reports, sets
+
+    a = spark.createDataFrame([(1, "x", "p"), (2, "y", "q")], "id long, digest string, v string")
+    moved = spark.createDataFrame([(1, "x", "p"), (2, "z", "q")], "id long, digest string, v string")
+    lacking = a.filter("id = 1")
+    assert reports.guarded(a, a, "id", "digest").count() == 2
+    for report in (moved, lacking):
+        with pytest.raises(Exception, match="no such input: 2"):
+            reports.guarded(report, a, "id", "digest").collect()
+        with pytest.raises(Exception, match="predictions do not pair: 2"):
+            reports.paired(a, report, "id", "digest", {"v": ("v", "v")}).collect()
+    with pytest.raises(Exception, match="not uniform"):
+        reports.uniform(a, ["digest"]).collect()
+    assert sets.same_keys(a, lacking, "id").first().equal is False and sets.same_keys(a, a, "id").first().equal is True
+
+
+def test_parts_are_looked_for_by_their_rarest_gram(spark):
+    from quire.operators import joins
+
+    texts = [(i, f"common start {i % 10} and {i}") for i in range(60)] + [(100, None), (101, "ab")]
+    parts = ["common start 3", "and 5", "common", "mon", "absent common", "ab"]
+    df = spark.createDataFrame(texts, "id long, t string")
+    got = {(r.id, r.p) for r in joins.containing(df, "id", "t", spark.createDataFrame([(p,) for p in parts], "p string"), "p").collect()}
+    assert got == {(i, p) for i, t in texts for p in parts if t and len(p) >= 3 and p in t}
