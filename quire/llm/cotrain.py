@@ -23,10 +23,13 @@ ROUNDS = 5
 #: Pseudo-labels of each class that a classifier gives in a round, as a part of the labelled rows, and the least confidence.
 SHARE = 0.05
 CONFIDENT = 0.9
+#: Held-out log loss that a round may cost a view.
+TOLERANCE = 1e-3
 #: Documents with a smaller score are not kept.
 KEEP_FROM = 0.5
 #: Buckets for the words of a text, and for values of the metadata.
 WORD_BUCKETS, VALUE_BUCKETS = 256, 32
+NUMBER_STEPS = 48
 TEXT_FEATURES = 12 + WORD_BUCKETS
 _SIGNS = "#*$%&|<>"
 
@@ -69,16 +72,30 @@ def _hashed(values: list, salt: str) -> np.ndarray:
     return out
 
 
-def metadata_features(columns: dict[str, pa.Array]) -> np.ndarray:
-    """Numbers in logarithm, and whether they are missing; all else by hash."""
-    parts = []
+def _stepped(x: np.ndarray) -> np.ndarray:
+    """One column for each half of an octave, so that a view can tell the middle of a range from both ends."""
+    out = np.zeros((len(x), NUMBER_STEPS), np.float32)
+    out[np.arange(len(x)), np.minimum(2 * np.log2(1 + np.abs(x)), NUMBER_STEPS - 1).astype(int)] = 1
+    return out
+
+
+def metadata_features(columns: dict[str, pa.Array], texts: list) -> np.ndarray:
+    """Numbers in steps, and whether they are missing; all else by hash, alone and with the value before it; and of the page's
+    layout, not its words, the steps of its lines for each 10 000 characters, of the mean line and of bytes for 1000 characters."""
+    parts, before = [], None
     for name, column in columns.items():
         values = column.to_pylist()
         if pa.types.is_integer(column.type) or pa.types.is_floating(column.type):
-            x = np.array([0.0 if v is None else float(v) for v in values], np.float32)
-            parts.append(np.stack((np.log1p(np.abs(x)) / 10, [float(v is None) for v in values]), 1))
+            x = np.array([0.0 if v is None else float(v) for v in values])
+            parts += [_stepped(x), np.array([[float(v is None)] for v in values], np.float32)]
         else:
             parts.append(_hashed(values, name))
+            if before is not None:
+                parts.append(_hashed(list(zip(before, values)), f"{name} with"))
+            before = values
+    shape = np.array([(len(t), t.count("\n") + 1, len(t.encode("utf-8", "surrogatepass"))) for t in (t or "" for t in texts)], np.float64).reshape(-1, 3)
+    chars = np.maximum(shape[:, 0], 1)
+    parts += [_stepped(shape[:, 1] / chars * 10_000), _stepped(chars / shape[:, 1]), _stepped(np.maximum(shape[:, 2] / chars - 1, 0) * 1000)]
     return np.concatenate(parts, 1)
 
 
@@ -104,10 +121,12 @@ def _odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class Views:
-    """Weights of both views with their calibration (a factor and a constant each), and the log-odds of the classes."""
+    """Weights of both views with their calibration (a factor and a constant each), and the log-odds of the classes. `rounds`
+    tells of each round how many labels of 0 and 1 each view got from the other, the part of held-out rows that the view that
+    gave them is right about where it is as sure, the held-out loss after it, and whether it was accepted."""
 
-    def __init__(self, text: np.ndarray, metadata: np.ndarray, calibrated: list[tuple[float, float]], prior: float):
-        self.text, self.metadata, self.calibrated, self.prior = text, metadata, calibrated, prior
+    def __init__(self, text: np.ndarray, metadata: np.ndarray, calibrated: list[tuple[float, float]], prior: float, rounds: list[dict] | None = None):
+        self.text, self.metadata, self.calibrated, self.prior, self.rounds = text, metadata, calibrated, prior, rounds or []
 
     def score(self, x: np.ndarray, m: np.ndarray) -> np.ndarray:
         """Columns: the score of both views, of the text, of the metadata."""
@@ -165,18 +184,43 @@ def co_train_by(x: np.ndarray, m: np.ndarray, y: np.ndarray, choose: Choose, rou
         rows, labels = pseudo[view]
         return fit_logistic(np.concatenate((seen[view], rows)), np.concatenate((base, labels)), np.concatenate((np.ones(len(base)), np.full(len(labels), 0.5))))
 
-    weights = {v: fitted(v) for v in seen}
-    for _ in range(rounds):
-        for view, (rows, labels) in choose(weights, most).items():
-            pseudo[view] = np.concatenate((pseudo[view][0], rows)), np.concatenate((pseudo[view][1], labels))
-        weights = {v: fitted(v) for v in seen}
     test = hold if hold.any() else np.ones(len(y), bool)
+    full = {"x": x, "m": m}
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    calibrated = []
-    for view, full in (("x", x), ("m", m)):
-        line = fit_logistic(_odds(full[test], weights[view])[:, None], y[test], np.ones(test.sum()), penalty=1e-2)
-        calibrated.append((max(0.0, float(line[0])), float(line[1])))
-    return Views(weights["x"], weights["m"], calibrated, float(np.log(rate / (1 - rate))))
+    prior = float(np.log(rate / (1 - rate)))
+
+    def calibrated(weights: dict[str, np.ndarray]) -> list[tuple[float, float]]:
+        lines = [fit_logistic(_odds(full[v][test], weights[v])[:, None], y[test], np.ones(test.sum()), penalty=1e-2) for v in ("x", "m")]
+        return [(max(0.0, float(line[0])), float(line[1])) for line in lines]
+
+    weights, report = {v: fitted(v) for v in seen}, []
+    best = _losses(weights, full, y, test)
+    for _ in range(rounds):
+        before = pseudo
+        got = choose(weights, most)
+        pseudo = {v: (np.concatenate((pseudo[v][0], got[v][0])), np.concatenate((pseudo[v][1], got[v][1]))) if v in got else pseudo[v] for v in pseudo}
+        new = {v: fitted(v) for v in seen}
+        loss = _losses(new, full, y, test)
+        # a view keeps what it was given unless that makes it worse on rows that nothing was fitted on
+        kept = {v: v in got and loss[v] <= best[v] + TOLERANCE for v in seen}
+        right = {v: _right(_sureness(full[v][test], weights[v]), y[test]) for v in seen}
+        report.append({v: {"given": [int((got[v][1] == c).sum()) if v in got else 0 for c in (0, 1)], "giver_right": right[_OTHER[v]], "loss": loss[v], "accepted": kept[v]} for v in seen})
+        pseudo = {v: pseudo[v] if kept[v] else before[v] for v in pseudo}
+        weights = {v: new[v] if kept[v] else weights[v] for v in seen}
+        best = {v: min(best[v], loss[v]) if kept[v] else best[v] for v in seen}
+    return Views(weights["x"], weights["m"], calibrated(weights), prior, report)
+
+
+def _losses(weights: dict[str, np.ndarray], full: dict[str, np.ndarray], y: np.ndarray, test: np.ndarray) -> dict[str, float]:
+    """The mean log loss of each view on the rows of `test`."""
+    odds = {v: np.clip(_odds(full[v][test], w), -30, 30) for v, w in weights.items()}
+    return {v: float(np.logaddexp(0, np.where(y[test] > 0, -o, o)).mean()) for v, o in odds.items()}
+
+
+def _right(p: np.ndarray, y: np.ndarray) -> float | None:
+    """The part of rows that are told rightly among those that are told with confidence; None without any."""
+    sure = np.maximum(p, 1 - p) >= CONFIDENT
+    return float(((p > 0.5) == (y > 0.5))[sure].mean()) if sure.any() else None
 
 
 def _features(df: DataFrame, text: str, metadata: tuple[str, ...], carried: str) -> DataFrame:
@@ -186,7 +230,7 @@ def _features(df: DataFrame, text: str, metadata: tuple[str, ...], carried: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
             x = [text_features(t).tobytes() for t in batch.column("__text").to_pylist()]
-            m = metadata_features({c: batch.column(c) for c in metadata})
+            m = metadata_features({c: batch.column(c) for c in metadata}, batch.column("__text").to_pylist())
             rest = [batch.column(c) for c in names]
             yield pa.record_batch([*rest, pa.array(x), pa.array([r.astype("<f4").tobytes() for r in m])], names=[*names, "x", "m"])
 
@@ -227,7 +271,7 @@ def choose_by_spark(pool: DataFrame) -> Choose:
     def choose(weights: dict[str, np.ndarray], most: tuple[int, int]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         found = pool.mapInArrow(_best(weights, taken, most), "other string, label int, sure double, key long, row long")
         rank = F.row_number().over(Window.partitionBy("other", "label").orderBy(F.desc("sure"), "key", "row"))
-        found = found.withColumn("__rank", rank).filter(F.col("__rank") <= F.when(F.col("label") == 1, most[1]).otherwise(most[0]))
+        found = found.withColumn("__rank", rank).filter(F.col("__rank") <= max(most)).filter(F.col("__rank") <= F.when(F.col("label") == 1, most[1]).otherwise(most[0]))
         chosen = materialize(found.select("other", "label", "key", "row"), "chosen")
         features = F.when(F.col("other") == "x", F.col("x")).otherwise(F.col("m")).alias("features")
         got = pool.drop("key").join(F.broadcast(chosen), "row").select("other", "label", "key", "row", features).collect()
@@ -257,11 +301,14 @@ def _sample(df: DataFrame, key: Column, most: int) -> DataFrame:
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", text: str = "text", metadata: tuple[str, ...] = ("source", "lang", "n_chars")) -> Views | None:
     """Fit on the rows of df that `labels` (id_col, label of 0 or 1) names, and on all others as the pool. None where there are
-    not both classes. Rows without a label value are no labelled rows; of several labels of an id the smallest counts."""
+    not both classes. Rows without a label value are no labelled rows; of several labels of an id the smallest counts, of
+    several rows of a labelled id the one whose text has the smallest hash, so MAX_LABELLED bounds rows."""
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label).cast("double").alias("label"))
     rows = df.select(id_col, F.col(text).alias("__text"), *metadata, F.xxhash64(F.col(id_col), F.lit("quality")).alias("__order"))
     chosen = _sample(known.withColumn("__order", F.xxhash64(F.col(id_col), F.lit("quality"))), F.col("__order"), MAX_LABELLED).select(id_col, "label")
-    labelled = rows.join(F.broadcast(chosen), id_col).select("__text", *metadata, "label")
+    labelled = rows.join(F.broadcast(chosen), id_col)
+    one = F.min_by(F.struct("__text", *metadata, "label"), F.struct(F.xxhash64("__text"), F.xxhash64(*metadata))).alias("one")
+    labelled = labelled.groupBy(id_col).agg(one).select("one.*")
     got = materialize(_features(labelled, text, metadata, "label double"), "labelled").collect()
     y = np.array([r.label for r in got])
     if not len(y) or y.min() == y.max():
@@ -291,7 +338,7 @@ def score(df: DataFrame, model: Views | None, text: str = "text", metadata: tupl
             out = []
             for part in slices([pa.record_batch(list(given), names=["__text", *metadata])], "__text"):
                 x = np.stack([text_features(t) for t in part.column(0).to_pylist()])
-                m = metadata_features({c: part.column(c) for c in metadata})
+                m = metadata_features({c: part.column(c) for c in metadata}, part.column(0).to_pylist())
                 out.append(shared.value.score(x, m))
             found = np.concatenate(out) if out else np.zeros((0, 3))
             yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in range(3)], list(new[:3]))

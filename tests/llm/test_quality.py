@@ -90,6 +90,48 @@ def test_views_label_for_each_other():
     assert right(both) >= right(alone) - 0.005 and right(both) > 0.93
 
 
+def test_a_round_that_hurts_is_not_kept():
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    y = rnd.integers(0, 2, 400).astype(float)
+    x, m = rnd.normal(size=(400, 3)) + y[:, None] * 2, rnd.normal(size=(400, 3)) + y[:, None]
+    wrong = lambda weights, most: {v: (np.concatenate([{"x": x, "m": m}[v][y == 1]] * 4), np.zeros(4 * int(y.sum()))) for v in "xm"}
+    spoilt, alone = cotrain.co_train_by(x, m, y, wrong, 2), cotrain.co_train(x, m, y, x[:0], m[:0])
+    assert [r[v]["accepted"] for r in spoilt.rounds for v in "xm"] == [False] * 4
+    assert np.allclose(spoilt.text, alone.text) and np.allclose(spoilt.metadata, alone.metadata)
+
+
+def test_metadata_alone_tells_something_and_the_sum_is_best(spark):
+    import numpy as np
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = cotrain.train(docs.filter("doc_id % 4 < 2"), labels.filter("doc_id % 4 = 0"))
+    rows = cotrain.score(docs.filter("doc_id % 4 = 1"), model).join(labels, "doc_id").collect()
+    y = np.array([r.quality for r in rows])
+
+    def loss(name):
+        p = np.clip([r[name] for r in rows], 1e-6, 1 - 1e-6)
+        return -np.log(np.where(y == 1, p, 1 - p)).mean()
+
+    order = np.argsort([r.score_metadata for r in rows])
+    ranks = np.empty(len(y))
+    ranks[order] = np.arange(len(y))
+    area = (ranks[y == 1].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (len(y) - y.sum()))
+    assert area > 0.7 and loss("score") < loss("score_metadata") and loss("score") < loss("score_text") + 0.01
+
+
+def test_rows_that_repeat_a_labelled_id_count_once(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    hot = labels.filter("quality = 1").first().doc_id
+    many = docs.unionByName(docs.filter(F.col("doc_id") == hot).withColumn("text", F.explode(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.concat("text", i.cast("string"))))))
+    seen = []
+    by = cotrain.co_train_by
+    monkeypatch.setattr(cotrain, "co_train_by", lambda x, m, y, *a: seen.append(len(y)) or by(x, m, y, *a))
+    assert cotrain.train(many, labels) is not None
+    assert seen == [labels.filter("quality is not null").select("doc_id").distinct().count()]
+
+
 def test_all_unlabelled_rows_take_part(spark, monkeypatch):
     import numpy as np
 
@@ -100,7 +142,7 @@ def test_all_unlabelled_rows_take_part(spark, monkeypatch):
     of = {r.doc_id: float(r.quality) for r in some.filter("quality is not null").collect()}
     rows = docs.orderBy(F.xxhash64("doc_id", F.lit("quality"))).toArrow()
     x = np.stack([cotrain.text_features(t) for t in rows["text"].to_pylist()])
-    m = cotrain.metadata_features({c: rows[c].combine_chunks() for c in metadata}).astype(np.float32)
+    m = cotrain.metadata_features({c: rows[c].combine_chunks() for c in metadata}, rows["text"].to_pylist()).astype(np.float32)
     y = np.array([of.get(i, np.nan) for i in rows["doc_id"].to_pylist()])
     known = np.flatnonzero(~np.isnan(y))
     known = known[np.argsort([cotrain.xxhash.xxh3_64_intdigest(x[i].tobytes() + m[i].tobytes()) for i in known], kind="stable")]
@@ -108,6 +150,9 @@ def test_all_unlabelled_rows_take_part(spark, monkeypatch):
     assert np.allclose(got.text, want.text, atol=1e-6) and np.allclose(got.metadata, want.metadata, atol=1e-6)
     alone = cotrain.co_train(x[known], m[known], y[known], x[:0], m[:0])
     assert not np.allclose(want.text, alone.text, atol=1e-2)
+    assert len(got.rounds) == len(want.rounds) == cotrain.ROUNDS
+    for a, b in zip(got.rounds, want.rounds):
+        assert all(a[v]["given"] == b[v]["given"] and a[v]["accepted"] == b[v]["accepted"] for v in "xm")
 
 
 def test_no_labels_nulls_and_clashes(spark):
