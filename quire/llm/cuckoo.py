@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.workspace import lookup, materialize
+from quire.llm.workspace import lookup, materialize, small_enough
 
 SLOTS = 4
 #: Displacements tried before the filter is doubled.
@@ -138,15 +138,27 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("digest").sortWithinPartitions(F.substring("digest", 1, 2), F.col("n") < 0)
 
 
-def update_groups(known: DataFrame, inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
-    """Groups after insertion and deletion of rows of (id, digest). A digest whose last row is deleted leaves the
-    index. keep_id is the smallest id a live digest has had; deleting that row does not bring another forward."""
+def update_groups(known: DataFrame, inserted: DataFrame | None = None, deleted: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
+    """Groups after insertion and deletion of rows of (id, digest). A digest whose last row is deleted leaves the index.
+
+    `live` are the rows (id, digest) that are there after the deletion, and must be given with one. They are read for the
+    digests alone whose smallest id was deleted, so that the next one comes forward."""
+    if deleted is not None and live is None:
+        raise ValueError("the rows that stay are needed with a deletion")
     schema = f"digest binary, id {known.schema['keep_id'].dataType.simpleString()}, n long"
     rows = known.select("digest", F.col("keep_id").alias("id"), F.col("group_size").alias("n"))
     for more, n in ((inserted, 1), (deleted, -1)):
         if more is not None:
             rows = rows.unionByName(more.select("digest", F.when(F.lit(n > 0), F.col("id")).alias("id"), F.lit(n).cast("long").alias("n")).mapInArrow(_fold, schema))
-    return _dealt(rows).mapInArrow(_fold, schema).filter("n > 0").select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
+    found = _dealt(rows).mapInArrow(_fold, schema).filter("n > 0").select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
+    if deleted is None:
+        return found
+    gone = deleted.select("digest", F.col("id").alias("keep_id")).distinct()
+    headless = materialize(found.join(gone, ["digest", "keep_id"], "left_semi").select("digest"), "headless")
+    if small_enough(headless):
+        headless = F.broadcast(headless)
+    heads = live.join(headless, "digest", "left_semi").groupBy("digest").agg(F.min("id").alias("__head"), F.lit(True).alias("__moved"))
+    return found.join(heads, "digest", "left").select("digest", F.when(F.col("__moved"), F.col("__head")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

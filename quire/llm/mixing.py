@@ -19,6 +19,8 @@ from quire.llm.workspace import small_enough
 MAX_SOURCES = 100_000
 #: Tokens of a block, about.
 BLOCK_TOKENS = 100_000
+#: Leading digits of a block's place in the permutation that make a cell: 16 ** 3 cells of a source at most.
+CELL_DIGITS = 3
 
 
 def word_tokens(text: str) -> Column:
@@ -86,7 +88,7 @@ def temperature_mix(
     A null source is a source. Every text has one token at least, so null and empty texts take part. Documents are
     put into blocks, and both into order, by a keyed hash of the id; rows that repeat are taken one by one. A part
     of a pass never exceeds its budget. An empty table gives an empty mix. A row of a large source is never moved to
-    one task: what is added up by source are the totals of its blocks.
+    one task: what is added up by source are the totals of its cells, and of the blocks of one of these.
     """
     kept = [c for c in df.columns if c not in ("n_tokens", "pass", "block")]
     rows = df.select(*kept, word_tokens(text).alias("n_tokens"), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")).alias("__key"))
@@ -105,11 +107,23 @@ def temperature_mix(
     number = F.conv(F.substring(digest(F.col(id_col).cast("string")), 1, 15), 16, 10).cast("long")
     rows = rows.join(F.broadcast(sources), "__key").withColumn("block", F.pmod(number, F.col("__blocks")))
 
-    # blocks in permuted order until a source's part of a pass is full
+    # blocks in permuted order until a source's part of a pass is full: first by cells of that order, of which a source has few
+    # thousand, then block by block inside the one cell where the part ends
     blocks = rows.groupBy("__key", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("__part").alias("part"), F.first("__whole").alias("whole"))
-    order = Window.partitionBy("__key").orderBy(digest(F.lit("block"), F.col("__key"), F.col("block").cast("string"), F.col("whole").cast("string")), "block")
-    blocks = blocks.withColumn("before", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens"))
-    blocks = blocks.select("__key", "block", (F.col("before") + F.col("tokens") <= F.col("part")).alias("__all"), (F.col("part") - F.col("before")).alias("__room"))
+    place = digest(F.lit("block"), F.col("__key"), F.col("block").cast("string"), F.col("whole").cast("string"))
+    blocks = blocks.withColumn("place", place).withColumn("cell", F.substring("place", 1, CELL_DIGITS))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = blocks.groupBy("__key", "cell").agg(F.sum("tokens").alias("in_cell"), F.first("part").alias("part"))
+    cells = cells.withColumn("before", F.sum("in_cell").over(upto(Window.partitionBy("__key").orderBy("cell"))) - F.col("in_cell"))
+    edges = cells.filter("before < part and before + in_cell > part").select("__key", "cell", F.col("before").alias("edge"))
+    of_cells = cells.select("__key", "cell", (F.col("before") + F.col("in_cell") <= F.col("part")).alias("__all"))
+    few = lambda df: F.broadcast(df) if small_enough(df) else df
+    edges, of_cells = few(edges), few(of_cells)
+    outside = blocks.join(of_cells, ["__key", "cell"]).join(edges, ["__key", "cell"], "left_anti").select("__key", "block", "__all", F.lit(0).cast("long").alias("__room"))
+    inside_edge = blocks.join(edges, ["__key", "cell"])
+    before = F.col("edge") + F.sum("tokens").over(upto(Window.partitionBy("__key").orderBy("place", "block"))) - F.col("tokens")
+    inside_edge = inside_edge.withColumn("before", before).select("__key", "block", (F.col("before") + F.col("tokens") <= F.col("part")).alias("__all"), (F.col("part") - F.col("before")).alias("__room"))
+    blocks = outside.unionByName(inside_edge)
     rows = rows.join(F.broadcast(blocks) if small_enough(blocks) else blocks, ["__key", "block"])
     inside = Window.partitionBy("__key", "block").orderBy(digest(F.lit("doc"), F.col(id_col).cast("string"), F.col("__whole").cast("string")), "n_tokens")
     edge = ~F.col("__all") & (F.col("__room") > 0)

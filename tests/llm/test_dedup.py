@@ -2,11 +2,13 @@ import hashlib
 import random
 import re
 
+import pytest
 from compare import SMALL, assert_same
 from pyspark.sql import functions as F
 
 from quire.llm import cuckoo
 from quire.llm.queries import ORACLE_SQL, op5_exact_dedup
+from quire.llm.workspace import materialize
 
 
 def key(i):
@@ -68,11 +70,34 @@ def test_small_indexes_and_hot_groups(spark, monkeypatch):
 def test_insertion_and_deletion(spark):
     frame = lambda rows: cuckoo.digests(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
     known = cuckoo.groups(frame([(1, "a"), (2, "a"), (3, "b")]))
-    after = cuckoo.update_groups(known, inserted=frame([(0, "a"), (9, "c")]), deleted=frame([(3, "b"), (2, "a")]))
+    after = cuckoo.update_groups(known, inserted=frame([(0, "a"), (9, "c")]), deleted=frame([(3, "b"), (2, "a")]), live=frame([(0, "a"), (1, "a"), (9, "c")]))
     got = {bytes(r.digest): (r.keep_id, r.group_size) for r in after.collect()}
     sha = lambda t: hashlib.sha256(t.encode()).digest()
     assert got == {sha("a"): (0, 2), sha("c"): (9, 1)}
 
 
+def test_deletion_of_the_smallest_id_brings_the_next_forward(spark):
+    frame = lambda rows: cuckoo.digests(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    rnd = random.Random(9)
+    live = [(i, f"t{rnd.randrange(12)}") for i in range(80)] + [(None, "t1"), (200, "t2"), (200, "t2")]
+    known = cuckoo.groups(frame(live))
+    for step in range(3):
+        gone = rnd.sample(live, 15) + [min((r for r in live if r[1] == "t3" and r[0] is not None), default=live[0])]
+        gone = list(dict.fromkeys(gone))
+        new = [(1000 + 10 * step + k, f"t{rnd.randrange(14)}") for k in range(4)] + [(-step, "t5")]
+        for r in gone:
+            live.remove(r)
+        live += new
+        known = materialize(cuckoo.update_groups(known, inserted=frame(new), deleted=frame(gone), live=frame(live)), "known")
+        want = {}
+        for i, t in live:
+            ids = want.setdefault(hashlib.sha256(t.encode()).digest(), [])
+            ids.append(i)
+        want = {d: (min((i for i in ids if i is not None), default=None), len(ids)) for d, ids in want.items()}
+        assert {bytes(r.digest): (r.keep_id, r.group_size) for r in known.collect()} == want
+    with pytest.raises(ValueError):
+        cuckoo.update_groups(known, deleted=frame(gone))
+
+
 def test_query_gives_the_rows_of_its_sql(spark):
     assert_same(op5_exact_dedup(spark, SMALL), ORACLE_SQL["op5_exact_dedup"])

@@ -52,6 +52,15 @@ def test_mix_is_as_planned(spark):
     assert Counter(map(str, got)) == Counter(map(str, again))
 
 
+def test_cells_of_any_number_give_the_same_mix(spark, monkeypatch):
+    df = frame(spark)
+    mixes = []
+    for digits in (0, 1, 3, 32):
+        monkeypatch.setattr(mixing, "CELL_DIGITS", digits)
+        mixes.append(Counter(map(str, mixing.temperature_mix(df, max_repeats=None, target_entropy=1.2, block_tokens=100).collect())))
+    assert mixes[0] == mixes[1] == mixes[2] == mixes[3]
+
+
 def test_budget_below_one_pass_and_empty_table(spark):
     df = frame(spark)
     got = mixing.temperature_mix(df, max_repeats=1.0, budget=5000, block_tokens=100).collect()
