@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.plans.registry import query
 from quire.session import table
-from quire.streaming import jobs, observations, run
+from quire.streaming import jobs, leases, observations, run
 
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 JOBS_SQL = """SELECT event_id AS id, 'lane' || user_id % 3 AS source, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'claimed' WHEN 'purchase' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'done' END AS status,
@@ -119,3 +119,25 @@ def stream_price_drops(spark, d):
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "partial").otherwise("ok")
     o = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("watch_id"), F.col("value").alias("price"), status.alias("status"))
     return run.available_now(observations.price_events(o)).filter("kind = 'drop'").select("id", "watch_id", "price", "previous")
+
+
+@query(
+    """WITH s AS (SELECT user_id, epoch_us(ts) // 1000 AS moment, event_type = 'purchase' AS done FROM events), n AS (SELECT *, lead(moment) OVER (PARTITION BY user_id ORDER BY moment, done) AS next FROM s)
+    SELECT user_id, moment AS last_sign, moment + 86400000 AS expired_at FROM n WHERE NOT done AND moment + 86400000 <= (SELECT max(moment) - 3600000 FROM s) AND (next IS NULL OR next > moment + 86400000)"""
+)
+def lease_expiries(spark, d):
+    """Users without a sign of life for a day, as a stream with timers over all events; a purchase ends a lease."""
+    e = run.stream(spark, d, "events", table(spark, d, "events").schema)
+    signs = e.select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("done"))
+    found = leases.with_store(spark, lambda: run.available_now(leases.expiries(signs, 86_400_000, "1 hour")))
+    return found.withColumnRenamed("job", "user_id")
+
+
+@query(
+    """WITH s AS (SELECT user_id, epoch_us(ts) // 1000 AS moment, event_type = 'purchase' AS done FROM events), n AS (SELECT *, lead(moment) OVER (PARTITION BY user_id ORDER BY moment, done) AS next FROM s)
+    SELECT user_id, count(*) AS expiries, max(moment) AS last FROM n WHERE NOT done AND moment + 43200000 <= (SELECT max(moment) FROM s) AND (next IS NULL OR next > moment + 43200000) GROUP BY 1"""
+)
+def lease_expiry_counts(spark, d):
+    """How often each user's lease of half a day ran out, from the whole table."""
+    signs = table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("done"))
+    return leases.expiries_of_table(signs, 43_200_000, 0).groupBy(F.col("job").alias("user_id")).agg(F.count("*").alias("expiries"), F.max("last_sign").alias("last"))
