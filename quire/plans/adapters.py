@@ -25,21 +25,23 @@ ITEMS_SQL = """
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages are numbered as ids alone; texts, which make up nearly all of the table, are joined by id afterwards."""
     by = Window.partitionBy("lang", "source")
     labels = table(spark, folder, "labels").select("doc_id", "toxic")
-    return (
-        table(spark, folder, "documents")
+    documents = table(spark, folder, "documents")
+    numbered = (
+        documents.select("doc_id", "lang", "source")
         .join(labels, "doc_id", "left")
         .select(
             F.col("doc_id").alias("page_id"),
             F.concat_ws("_", "lang", "source").alias("book"),
             F.row_number().over(by.orderBy("doc_id")).alias("page_no"),
             F.count("*").over(by).alias("page_count"),
-            F.col("text").alias("full_text"),
-            F.col("n_chars").alias("char_count"),
             (F.coalesce("toxic", F.lit(0)) == 0).alias("eligible"),
         )
     )
+    texts = documents.select(F.col("doc_id").alias("page_id"), F.col("text").alias("full_text"), F.col("n_chars").alias("char_count"))
+    return numbered.join(texts, "page_id").select("page_id", "book", "page_no", "page_count", "full_text", "char_count", "eligible")
 
 
 def observations(spark: SparkSession, folder: str) -> DataFrame:
