@@ -83,3 +83,51 @@ def test_many_leaves_by_few_intervals(spark, monkeypatch):
     assert len(got) == 2000 and set(size) == set(range(8)) and all(abs(v - mean) < 0.1 * mean + 421 for v in size.values())
     for shard in size:
         assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
+def plain_tree(items, dims, leaves, leaf):
+    """The leaf of each item (dims..., weight, tie), by sorting each node's items by the key of the dimension that is split."""
+    root = [max(1, max(x[d] for x in items) - min(x[d] for x in items)) for d in dims]
+    out = {}
+
+    def grow(some, first, n):
+        if n == 1 or not some:
+            out.update({x: first for x in some})
+            return
+        extent = [max(x[d] for x in some) - min(x[d] for x in some) for d in dims]
+        target = sum(x[-2] for x in some) * (n // 2) / n
+        best = None
+        for d in sorted(dims, key=lambda d: -extent[d] / root[d]):
+            below = 0
+            for x in sorted(some, key=lambda x: (x[d] << 32) + x[-1]):
+                key = (x[d] << 32) + x[-1]
+                if below + x[-2] >= target:
+                    break
+                below += x[-2]
+            low, high = target - below, below + x[-2] - target
+            found = (low, d, key) if low <= high else (high, d, key + 1)
+            best = found if best is None or found[0] < best[0] else best
+            if best[0] <= leaf * kdtree.MISS:
+                break
+        _, d, cut = best
+        grow([x for x in some if (x[d] << 32) + x[-1] < cut], first, n // 2)
+        grow([x for x in some if (x[d] << 32) + x[-1] >= cut], first + n // 2, n - n // 2)
+
+    grow(items, 0, leaves)
+    return out
+
+
+def test_tree_as_by_sorting_node_by_node(spark):
+    rnd = random.Random(11)
+    for leaves, weights in ((8, (1,)), (5, (1, 7, 30))):
+        items = list({(rnd.randrange(1 << 20), rnd.choice([5, 900, 70_000]), rnd.randrange(1 << 30), rnd.choice(weights), rnd.randrange(1 << 32)) for _ in range(300)})
+        leaf = sum(x[-2] for x in items) / leaves
+        df = spark.createDataFrame([(*x[:3], float(x[3]), x[4]) for x in items], "d0 long, d1 long, d2 long, weight double, tie long").repartition(3)
+        got = {(r.d0, r.d1, r.d2, int(r.weight), r.tie): r.node for r in kdtree._grow(df, ["d0", "d1", "d2"], leaves, leaf).collect()}
+        assert got == plain_tree(items, range(3), leaves, leaf)
+
+
+def test_shards_of_a_whole_table_are_within_one_per_cent(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    check(op4_kdtree_shards(spark, folder).collect(), rows, 8, 0.01)

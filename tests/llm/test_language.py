@@ -42,3 +42,60 @@ def test_several_centroids_per_language(spark):
     model = language.fit(docs, "text", "lang", ["doc_id"])
     assert model.centroids.shape[0] == language.CENTROIDS * len(model.labels)
     assert abs((model.centroids**2).sum(1) - 1).max() < 1e-3
+
+
+def plain_counts(text):
+    """Buckets of all n-grams, one n-gram at a time."""
+    import regex
+
+    letters = [ord(c) if regex.match(r"[\p{L}\p{M}]", c) else 32 for c in f" {text.lower()} "]
+    c = [x for i, x in enumerate(letters) if x != 32 or not i or letters[i - 1] != 32]
+    out = [0] * language.BUCKETS
+    for n in language.ORDERS:
+        for i in range(len(c) - n + 1):
+            h = 0
+            for x in c[i : i + n]:
+                h = (h + x) * 0x9E3779B97F4A7C15 % (1 << 64)
+                h ^= h >> 31
+            out[(h >> 40) % language.BUCKETS] += 1
+    return out
+
+
+def plain_nearest(text, model):
+    """The label of the centroid with the largest cosine, and that cosine, by sums over buckets."""
+    import math
+
+    x = [math.log1p(n) * w for n, w in zip(plain_counts(text), model.idf)]
+    norm = math.sqrt(sum(v * v for v in x)) or 1.0
+    cosines = [sum(v * w for v, w in zip(x, c) if v) / norm for c in model.centroids.tolist()]
+    best = max(range(len(cosines)), key=lambda i: cosines[i])
+    return model.labels[model.of[best]], cosines[best]
+
+
+def test_predictions_as_by_a_plain_nearest_centroid(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = language.fit(docs, "text", "lang", ["doc_id"])
+    some = docs.filter("length(text) < 700").limit(25).unionByName(docs.limit(1).withColumn("text", F.lit("İé ß  \n12 ÀB Ünï—cödé")))
+    rows = language.identify(some, model).select("text", "lang_pred", "score").collect()
+    assert len(rows) == 26
+    for r in rows:
+        label, cosine = plain_nearest(r.text, model)
+        assert (r.lang_pred, abs(r.score - min(max(cosine, 0), 1)) < 1e-4) == (label, True), r.text
+
+
+def test_counts_of_a_long_text_in_pieces(monkeypatch):
+    text = "Ein längerer Text, in Stücken gezählt. " * 60
+    whole = language.ngram_counts(text)
+    assert whole.tolist() == plain_counts(text)
+    monkeypatch.setattr(language, "PIECE", 500)
+    apart = abs(language.ngram_counts(text) - whole).sum()
+    assert apart <= 12 * (len(text) // 500 + 1)  # only n-grams at the cuts
+
+
+def test_rows_that_repeat_are_alike(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(40)
+    model = language.fit(docs.unionByName(docs.filter("doc_id = 0")), "text", "lang", ["doc_id"])
+    got = {}
+    for r in language.identify(docs.unionByName(docs), model).collect():
+        got.setdefault(r.doc_id, []).append((r.lang_pred, r.score, r.rejected))
+    assert all(len(v) == 2 and v[0] == v[1] for v in got.values())
