@@ -37,6 +37,25 @@ def nearest_rank(df: DataFrame, groups: list[str], value: str, at: list[float])
     return df.groupBy(*groups).agg(*spec)
 
 
+def nearest_rank_by_ranges(df: DataFrame, groups: list[str], value: str, at: list[float]) -> DataFrame:
+    """The same for groups with very many distinct values: (groups, p, value).
+
+    Values are counted, so that one that many rows have is one row, and dealt in ranges of group and value, however large a group
+    is. Ranges are added up first; only the range where a rank falls is gone through value by value."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    ranges = stored(counted.repartitionByRange(*groups, "__v").withColumn("__range", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy(*groups, "__range").agg(F.sum("__n").alias("__in"))
+    of_group = Window.partitionBy(*groups)
+    upto = of_group.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumns({"__upto": F.sum("__in").over(upto), "__all": F.sum("__in").over(of_group)})
+    wanted = sums.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in at]))).withColumn("__rank", F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("__all"))))
+    wanted = wanted.filter("__rank <= __upto and __rank > __upto - __in").select(*groups, "__range", "p", (F.col("__rank") - (F.col("__upto") - F.col("__in"))).alias("__rank"))
+    inside = Window.partitionBy(*groups, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = ranges.join(wanted.select(*groups, "__range").distinct(), [*groups, "__range"], "left_semi").withColumn("__c", F.sum("__n").over(inside))
+    found = hit.join(wanted, [*groups, "__range"]).filter("__c >= __rank and __c - __n < __rank")
+    return found.select(*groups, "p", F.col("__v").alias(value))
+
+
 def distribution(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """samples, interpolated median, nearest-rank p95 and maximum, rounded to 6 places."""
     return df.groupBy(*groups).agg(

@@ -300,6 +300,11 @@ def nearest_rank_percentile(spark, d):
     return aggregates.nearest_rank(table(spark, d, "events"), ["event_type"], "value", [0.5, 0.95])
 
 
+@query("SELECT l_returnflag, unnest([0.5, 0.95, 0.99]) AS p, unnest([quantile_disc(l_extendedprice, 0.5), quantile_disc(l_extendedprice, 0.95), quantile_disc(l_extendedprice, 0.99)]) AS l_extendedprice FROM lineitem GROUP BY 1")
+def percentiles_by_ranges(spark, d):
+    return aggregates.nearest_rank_by_ranges(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.5, 0.95, 0.99])
+
+
 @query("SELECT event_type, count(value) AS samples, round(median(value), 6) AS median, round(quantile_disc(value, 0.95), 6) AS p95, round(max(value), 6) AS max FROM events GROUP BY 1")
 def latency_distribution(spark, d):
     return aggregates.distribution(table(spark, d, "events"), ["event_type"], "value")

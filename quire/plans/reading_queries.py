@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions import text
+from quire.functions import sequential, text
 from quire.operators import readings
 from quire.plans.registry import query
 from quire.session import table
@@ -92,3 +92,12 @@ def fact_records(spark, d):
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"])
     sheets = c.groupBy("conv_id").agg(F.array_join(lines, "\n\n").alias("sheet")).withColumn("allowed", F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))
     return readings.fact_records(sheets, "conv_id", "sheet", "allowed").select("conv_id", "place", "text", F.array_join("pages", ",").alias("pages"), "problem")
+
+
+@query("SELECT conv_id * 1000 + turn AS page, text FROM conversations WHERE length(text) > 0")
+def reading_consensus(spark, d):
+    """Three readings of each page, of which one has letters changed: the vote gives the page back."""
+    c = table(spark, d, "conversations").filter("length(text) > 0").select(F.expr("conv_id * 1000 + turn").alias("page"), "text")
+    wrong = F.regexp_replace("text", "[aeiou]n", "xn")
+    three = c.select("page", F.posexplode(F.array("text", wrong, "text")).alias("engine", "text"))
+    return sequential.consensus(three, "page", "engine", "text")

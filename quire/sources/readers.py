@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 class ContractError(ValueError):
@@ -160,3 +163,97 @@ def vectors(spark: SparkSession, path: str, key: str, vector: str, dim: int) ->
 
     df = spark.read.parquet(path)
     return df.filter(F.when(valid_vector(F.col(vector), dim), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not a vector: "), F.col(key).cast("string"))).cast("boolean")))
+
+
+#: Encodings that a file is tried in as a whole, in this order. Fixed values.
+ENCODINGS = ("utf-8-sig", "cp932", "utf-8")
+
+
+@F.arrow_udf(StringType())
+def decoded(contents: pa.Array) -> pa.Array:
+    """The text of whole files: in the first encoding in which all of it can be read, else with marks for what cannot."""
+
+    def one(data: bytes) -> str:
+        for name in ENCODINGS:
+            try:
+                return data.decode(name)
+            except UnicodeDecodeError:
+                continue
+        return data.decode("utf-8", "replace")
+
+    return pa.array([None if c is None else one(c) for c in contents.to_pylist()], pa.string())
+
+
+def texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """Files as (path, name, sha256, text), whatever their encoding; an empty file has no row."""
+    return files(spark, root, pattern, content=True).select("path", "name", "sha256", decoded("content").alias("text"))
+
+
+def csv_kinds(spark: SparkSession, root: str, kinds: dict[str, tuple[str, str]], ledger: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Files of several kinds, each known by its name: ({kind: rows}, files).
+
+    kinds is {file name: (kind, key column)}. The rows of a kind are maps of its columns as text, with path and key; rows without
+    a key are left out. files has (kind, path, name, sha256, status, records, missing), status being `skipped` for those
+    that the ledger (kind, name, sha256) has, else `success`. A kind without files has no rows."""
+    named = spark.createDataFrame([(n, k, c) for n, (k, c) in kinds.items()], "name string, kind string, key_column string")
+    found = texts(spark, root, "*.csv").join(F.broadcast(named), "name")
+    if ledger is not None:
+        found = found.join(ledger.select("kind", "name", "sha256").distinct().withColumn("__seen", F.lit(True)), ["kind", "name", "sha256"], "left")
+    else:
+        found = found.withColumn("__seen", F.lit(None).cast("boolean"))
+
+    @F.arrow_udf("array<map<string,string>>")
+    def parsed(bodies: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.map_(pa.string(), pa.string()))
+        out = []
+        for body in bodies.to_pylist():
+            rows = csv.DictReader(io.StringIO(body or "", newline=""))
+            out.append([[(k.strip(), v) for k, v in r.items() if k is not None and isinstance(v, str)] for r in rows])
+        return pa.array(out, kind)
+
+    new = found.filter("__seen is null").withColumn("rows", parsed("text"))
+    rows = new.select("kind", "path", "key_column", F.explode("rows").alias("fields"))
+    rows = rows.withColumn("key", F.trim(F.try_element_at("fields", F.col("key_column")))).withColumn("missing", F.coalesce(F.col("key") == "", F.lit(True)))
+    counts = rows.groupBy("kind", "path").agg(F.count_if(~F.col("missing")).alias("records"), F.count_if("missing").alias("missing"))
+    status = F.when(F.col("__seen"), "skipped").otherwise("success")
+    told = found.select("kind", "path", "name", "sha256", status.alias("status")).join(counts, ["kind", "path"], "left").fillna(0, ["records", "missing"])
+    good = rows.filter("not missing").select("kind", "path", "key", "fields")
+    return {k: good.filter(F.col("kind") == k).drop("kind") for k in {k for k, _ in kinds.values()}}, told
+
+
+def head(ids: Column, count: int) -> Column:
+    """The first `count` of an array, also where a source sends more than was asked for."""
+    return F.slice(ids, 1, count)
+
+
+CASES = "id string, query string, source string, scope struct<type:string,book_name:string>, relevant array<struct<book_name:string,page_no:bigint,grade:bigint>>"
+
+
+def evaluation_cases(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """The cases of an evaluation document: (id, query, scope_book, source, relevant). What is wrong with any of them, by case, is
+    one error: no or a repeated id, an empty query, a scope that is none, no relevant pages, a page without a book, below 0 or
+    there twice, a grade that is not 1, 2 or 3."""
+    document = spark.read.schema(f"schema_version string, cases array<struct<{CASES.replace(' string', ':string').replace(' struct', ':struct').replace(' array', ':array')}>>").json(path, multiLine=True, mode="FAILFAST")
+    first = document.first()
+    if first is None or first.schema_version != version or not first.cases:
+        raise ContractError(f"{path} has no cases of {version}")
+    cases = document.select(F.posexplode("cases").alias("place", "c")).select("place", "c.*")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    bad = lambda c: F.coalesce(c, F.lit(True))
+    pages = F.transform("relevant", lambda r: F.struct(r["book_name"], r["page_no"]))
+    problem = (
+        F.when(blank(F.col("id")), "no id")
+        .when(F.row_number().over(Window.partitionBy("id").orderBy("place")) > 1, "repeated id")
+        .when(blank(F.col("query")), "empty query")
+        .when(F.col("scope").isNotNull() & bad(~F.col("scope.type").isin("all", "book")), "scope")
+        .when((F.col("scope.type") == "book") & blank(F.col("scope.book_name")), "scope without a book")
+        .when(F.coalesce(F.size("relevant"), F.lit(0)) < 1, "no relevant pages")
+        .when(F.exists("relevant", lambda r: blank(r["book_name"]) | bad(r["page_no"] < 0)), "relevant page")
+        .when(F.exists("relevant", lambda r: bad(~r["grade"].between(1, 3))), "grade")
+        .when(F.size(F.array_distinct(pages)) < F.size(pages), "relevant page twice")
+    )
+    checked = cases.withColumn("problem", problem)
+    wrong = checked.filter("problem is not null").select("place", "id", "problem").orderBy("place").limit(20).collect()
+    if wrong:
+        raise ContractError(f"{path}: " + "; ".join(f"case {r.place + 1} ({r.id}): {r.problem}" for r in wrong))
+    return checked.select("id", F.trim("query").alias("query"), F.when(F.col("scope.type") == "book", F.col("scope.book_name")).alias("scope_book"), F.coalesce("source", F.lit("")).alias("source"), "relevant")
