@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.validation import strict_object
+from quire.sources.shared import stored
 
 #: Marks of a fact sheet, and what says that there is none. Fixed values.
 BOOK = r"(?s)\[BOOK_FACTS\](.*?)(?=\[CHARACTER_FACT:|$)"
@@ -100,7 +101,8 @@ def claim_judgements(df: DataFrame, key: str, response: str, claims: str, pages:
         .when((F.col("verdict") == "supported") & (F.size("cited") == 0), "no evidence page")
         .when(F.col("reason") == "", "no reason")
     )
-    one = one.withColumn("problem", problem)
+    one = stored(one.withColumn("problem", problem).drop("__place"), "judgements")  # JSON is parsed for these two tables alone
+    v = stored(v.select(key, "__n", "__p"), "replies")
     given = one.filter("problem is null").select(key, "id")
     asked = v.filter("__p is null and __n > 0").select(key, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n").cast("bigint"))).alias("id"))
     omitted = asked.join(given, [key, "id"], "left_anti").join(one.filter("problem is not null").select(key).distinct(), key, "left_anti").withColumn("problem", F.lit("omitted"))

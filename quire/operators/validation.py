@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.shared import stored
+
 #: What a fact may say. Fixed values.
 TEMPORALITIES = ("past", "current", "future", "conditional", "unknown")
 CERTAINTIES = ("fact", "inference", "unknown")
@@ -74,6 +76,7 @@ def quote_answers(answers: DataFrame, sources: DataFrame, key: str, raw: str, so
     items = v.filter("__p is null").select(key, F.posexplode("__e").alias("place", "__i"))
     id_, quote = F.try_variant_get("__i", "$.source_id", "variant"), F.try_variant_get("__i", "$.quote", "variant")
     items = items.withColumns({"__id": F.when(_kind(id_) == "BIGINT", F.try_variant_get("__i", "$.source_id", "bigint")), "__q": F.when(_kind(quote) == "STRING", F.try_variant_get("__i", "$.quote", "string")), "__fine": _has_keys(F.col("__i"), "source_id", "quote")}).drop("__i")
+    items, heads = stored(items, "items"), stored(v.filter("__p is not null").select(key, "__p"), "answers")  # JSON is parsed for these alone
     j = items.join(sources.select(F.col(source).cast("bigint").alias("__id"), F.col(text).alias("__t")), "__id", "left")
     needle, hay = F.regexp_replace("__q", SPACES, ""), F.regexp_replace("__t", SPACES, "")
     j = j.withColumns({"__n": needle, "__h": hay}).withColumn("__at", F.expr("locate(__n, __h)"))
@@ -88,7 +91,7 @@ def quote_answers(answers: DataFrame, sources: DataFrame, key: str, raw: str, so
     j = j.withColumn("__p", problem)
     same = F.row_number().over(Window.partitionBy(key, "__id", "__n").orderBy("place"))
     j = j.withColumn("__p", F.when(F.col("__p").isNull() & (same > 1), "duplicate quote").otherwise(F.col("__p")))
-    problems = v.filter("__p is not null").select(key, F.lit(None).cast("int").alias("place"), F.col("__p").alias("problem")).unionByName(j.filter("__p is not null").select(key, "place", F.col("__p").alias("problem")))
+    problems = heads.select(key, F.lit(None).cast("int").alias("place"), F.col("__p").alias("problem")).unionByName(j.filter("__p is not null").select(key, "place", F.col("__p").alias("problem")))
     chars = F.split("__t", "")
     solid = F.filter(F.sequence(F.lit(1), F.length("__t")), lambda i: ~F.get(F.col("__c"), i - 1).rlike(r"(?U)^\s$"))
     spans = j.filter("__p is null").withColumn("__c", chars).withColumn("__w", solid)
@@ -125,12 +128,13 @@ def fact_graphs(graphs: DataFrame, pages: DataFrame, key: str, raw: str, page: s
         "link to itself": holds(F.array_contains(F.array_compact("__links"), F.col("__id"))),
     }
     found = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]))
-    own = f.withColumn("__p", found).select(key, "fact", F.explode("__p").alias("problem"))
+    item = lambda name, kind: (lambda q: F.try_variant_get(q, f"$.{name}", kind))
+    quote = lambda q: F.struct(F.when(_kind(item("page_no", "variant")(q)) == "BIGINT", item("page_no", "bigint")(q)).alias("page"), F.when(_kind(item("quote", "variant")(q)) == "STRING", item("quote", "string")(q)).alias("quote"))
+    f = stored(f.select(key, "fact", "__id", "__links", F.transform("__evidence", quote).alias("__quotes"), found.alias("__p")), "facts")  # JSON is parsed for this alone
+    own = f.select(key, "fact", F.explode("__p").alias("problem"))
     ids = f.select(key, F.col("__id").alias("__link")).distinct()
     unknown = f.select(key, "fact", F.explode(F.array_compact("__links")).alias("__link")).join(ids, [key, "__link"], "left_anti").select(key, "fact").distinct().withColumn("problem", F.lit("unknown link"))
-    item = lambda name, kind: F.try_variant_get("__q", f"$.{name}", kind)
-    quotes = f.select(key, "fact", F.explode("__evidence").alias("__q"))
-    quotes = quotes.select(key, "fact", F.when(_kind(item("page_no", "variant")) == "BIGINT", item("page_no", "bigint")).alias("__page"), F.when(_kind(item("quote", "variant")) == "STRING", item("quote", "string")).alias("__quote"))
+    quotes = f.select(key, "fact", F.explode("__quotes").alias("__q")).select(key, "fact", F.col("__q.page").alias("__page"), F.col("__q.quote").alias("__quote"))
     j = quotes.join(pages.select(key, F.col(page).cast("bigint").alias("__page"), F.col(text).alias("__t")), [key, "__page"], "left")
     wrong = _first((F.col("__t").isNull(), "page"), (F.col("__quote").isNull() | ~F.length("__quote").between(shortest, longest), "quote length"), (~F.contains("__t", F.col("__quote")), "quote is not in its page"))
     bad = j.withColumn("problem", wrong).filter("problem is not null").select(key, "fact", "problem").distinct()

@@ -8,8 +8,6 @@ from quire.operators import replies
 from quire.plans.registry import query
 from quire.session import table
 
-PAIRS = """SELECT l_orderkey AS book, l_linenumber AS place, 's' || least(l_suppkey, l_partkey % 10 + 1) AS a, 's' || greatest(l_suppkey, l_partkey % 10 + 1) AS b, 'kind ' || l_returnflag AS relation FROM lineitem WHERE l_suppkey <> l_partkey % 10 + 1"""
-
 
 def _replies(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("book"), "l_linenumber", "l_partkey", F.struct(F.concat(F.lit(" s"), "l_suppkey").alias("char_a"), F.concat(F.lit("s"), F.col("l_partkey") % 10 + 1).alias("char_b"), F.concat(F.lit("kind "), "l_returnflag").alias("relation")).alias("x"))
@@ -23,14 +21,14 @@ def relation_pairs(spark, d):
 
 
 @query(
-    """WITH l AS (SELECT l_orderkey AS book, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS place, 's' || l_suppkey AS x, 's' || l_partkey % 10 + 1 AS y, 'kind ' || l_returnflag AS relation FROM lineitem),
+    """WITH l AS (SELECT l_orderkey AS book, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, 's' || l_suppkey, l_returnflag) AS place, 's' || l_suppkey AS x, 's' || l_partkey % 10 + 1 AS y, 'kind ' || l_returnflag AS relation FROM lineitem),
     n AS (SELECT book, least(x, y) AS a, greatest(x, y) AS b, arg_max(relation, place) AS relation FROM l WHERE x <> y GROUP BY ALL), c AS (SELECT book, a, b, count(*) AS n FROM (SELECT book, least(x, y) AS a, greatest(x, y) AS b, relation FROM l WHERE x <> y) WHERE relation <> 'kind R' GROUP BY ALL)
-    SELECT book, a, b, relation, CAST(coalesce(n, 0) AS DOUBLE) AS weight FROM n LEFT JOIN c USING (book, a, b) UNION ALL SELECT -o_orderkey, 'old', 'pair', NULL, 1.0 FROM orders WHERE o_orderstatus = 'P'"""
+    SELECT book, a, b, relation, CAST(coalesce(n, 0) AS DOUBLE) AS weight FROM n LEFT JOIN c USING (book, a, b) UNION ALL SELECT -1 - o_orderkey, 'old', 'pair', NULL, 1.0 FROM orders WHERE o_orderstatus = 'P'"""
 )
 def rewritten_relations(spark, d):
     labels = replies.relation_pairs(_replies(spark, d), "book", "reply")
     counts = labels.filter("relation <> 'kind R'").groupBy("book", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
-    old = table(spark, d, "orders").filter("o_orderstatus = 'P'").select((-F.col("o_orderkey")).alias("book"), F.lit("old").alias("a"), F.lit("pair").alias("b"), F.lit(None).cast("string").alias("relation"), F.lit(1.0).alias("weight"))
+    old = table(spark, d, "orders").filter("o_orderstatus = 'P'").select((-1 - F.col("o_orderkey")).alias("book"), F.lit("old").alias("a"), F.lit("pair").alias("b"), F.lit(None).cast("string").alias("relation"), F.lit(1.0).alias("weight"))
     again = labels.select("book").distinct().select("book", F.lit("gone").alias("a"), F.lit("too").alias("b"), F.lit("x").alias("relation"), F.lit(5.0).alias("weight"))
     return replies.rewritten_relations(old.unionByName(again), counts, labels, "book")
 
