@@ -43,7 +43,7 @@ PATTERNS = {
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "mac": r"(?<![0-9A-Fa-f:\-])[0-9A-Fa-f]{2}(?:(?::[0-9A-Fa-f]{2}){5}|(?:-[0-9A-Fa-f]{2}){5})(?![0-9A-Fa-f:\-])",
     "ip6": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
-    "key": rf"(?<![A-Za-z0-9_\-])(?:{KEY_PREFIXES})[A-Za-z0-9_\-]{{16,}}",
+    "key": rf"(?<![A-Za-z0-9_\-])(?:{KEY_PREFIXES})(?=[A-Za-z_\-]*\d)[A-Za-z0-9_\-]{{16,}}",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\+\d{10,14}|\+\d{1,3}(?:[ .\-]?\(\d{1,4}\))?(?:[ .\-]?\d){7,12})(?!\d)",
     "card": r"(?<!\d)(?<!\d\.)\d(?:[ \-]?\d){12,18}(?!\d)",
