@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.workspace import small_enough
+from quire.llm.workspace import materialize, small_enough
 
 #: Sources at most; the driver sees one row for each.
 MAX_SOURCES = 100_000
@@ -111,7 +111,8 @@ def temperature_mix(
     # thousand, then block by block inside the one cell where the part ends
     blocks = rows.groupBy("__key", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("__part").alias("part"), F.first("__whole").alias("whole"))
     place = digest(F.lit("block"), F.col("__key"), F.col("block").cast("string"), F.col("whole").cast("string"))
-    blocks = blocks.withColumn("place", place).withColumn("cell", F.substring("place", 1, CELL_DIGITS))
+    # one row to a block; texts are counted for it once, not by each of its uses
+    blocks = materialize(blocks.withColumn("place", place).withColumn("cell", F.substring("place", 1, CELL_DIGITS)), "blocks")
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = blocks.groupBy("__key", "cell").agg(F.sum("tokens").alias("in_cell"), F.first("part").alias("part"))
     cells = cells.withColumn("before", F.sum("in_cell").over(upto(Window.partitionBy("__key").orderBy("cell"))) - F.col("in_cell"))
