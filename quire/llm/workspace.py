@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from quire.sources.shared import new_folder
 
+_libc = ctypes.CDLL(None)
+
 #: Rows of a table of fixed narrow rows (100 bytes at most) that may be broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 100_000
 
@@ -62,6 +65,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20)
         cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    _give_back()
+
+
+def _give_back() -> None:
+    """Free memory goes back to the system: a worker lives on after its task, beside others and the JVM."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
