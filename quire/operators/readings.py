@@ -284,6 +284,7 @@ def adjudicated(df: DataFrame, primary: str, external: str, primary_ok: Column,
     could = both & (2 * F.least(a, b) >= similar * (a + b))
     ratio = F.when(could, sequential.similarity(F.when(could, F.col(primary)), F.when(could, F.col(external))))
     j = df.withColumn("__r", F.coalesce(ratio, F.lit(0.0)))
+    # the names of flags are fixed values
     flag = (
         F.when(~external_ok & primary_ok, "external_crosscheck_unavailable")
         .when(~external_ok, "no_reading")
