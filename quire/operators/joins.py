@@ -91,25 +91,41 @@ def contained(names: DataFrame, titles: DataFrame, name: str, title: str, order:
     return hits.groupBy(F.col("__key").alias(name)).agg(F.min_by(title, order).alias(title))
 
 
+#: Grams by which parts are looked for have at most so many characters.
+LONGEST_GRAM = 32
+
+
 def containing(texts: DataFrame, key: str, text: str, parts: DataFrame, part: str, n: int = 3) -> DataFrame:
     """(key, part) where a text contains a part of n characters at least. Parts are distinct.
 
-    A part is looked for only in the texts that have its rarest n-gram, so a beginning that many parts or texts share
-    makes no pairs: two equi-joins, not a comparison of everything with everything.
+    A part is looked for only in the texts that have its rarest gram, so a beginning that many parts or texts share
+    makes no pairs: two equi-joins, not a comparison of everything with everything. A part's grams have the greatest power
+    of two of characters that it has, n at least and LONGEST_GRAM at most: grams of three would be in ever more texts as
+    tables grow. Which sizes there are is all that is collected. Grams are known by a hash; what meets is then compared.
+    They are many more than the files' size lets expect, so the joins are hinted to be by merging: none of their sides is
+    sent to the driver and all tasks.
     """
 
-    def grams(c: str) -> Column:
-        return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(n))))).alias("__g")
-
-    of_parts = parts.filter(F.length(part) >= n).select(part, grams(part))
-    of_texts = texts.select(F.col(key), grams(text)).join(of_parts.select("__g").distinct(), "__g", "left_semi")
+    def grams(c: str, size: Column) -> Column:
+        places = F.sequence(F.lit(1), F.length(c) - size + 1)
+        return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substr(F.col(c), i, size))))
+
+    power = F.lit(n)
+    for size in (2**i for i in range(LONGEST_GRAM.bit_length())):
+        power = F.when(F.length(part) >= size, F.lit(max(n, size))).otherwise(power) if size > n else power
+    long = parts.filter(F.length(part) >= n)
+    sizes = sorted(r[0] for r in long.select(power).distinct().collect())
+    of_parts = long.select(part, F.explode(grams(part, power)).alias("__g"))
+    each = [F.when(F.length(text) >= k, grams(text, F.lit(k))).otherwise(F.array().cast("array<bigint>")) for k in sizes]
+    all_grams = F.array_distinct(F.concat(*each)) if each else F.array().cast("array<bigint>")
+    of_texts = texts.select(F.col(key), F.explode(all_grams).alias("__g")).join(of_parts.select("__g").distinct().hint("merge"), "__g", "left_semi")
     seen = of_texts.groupBy("__g").agg(F.count("*").alias("__n"))
     # a gram that no text has comes first: its part is in no text
-    counted = of_parts.join(seen, "__g", "left").groupBy(part).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__g").alias("g"))).alias("__r"))
+    counted = of_parts.join(seen.hint("merge"), "__g", "left").groupBy(part).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__g").alias("g"))).alias("__r"))
     rarest = counted.filter("__r.n > 0").select(part, F.col("__r.g").alias("__g"))
-    near = of_texts.join(rarest, "__g").select(F.col(key).alias("__k"), part)
+    near = of_texts.join(rarest.hint("merge"), "__g").select(F.col(key).alias("__k"), part)
     whole = texts.select(F.col(key), F.col(text).alias("__text"))
-    return near.join(whole, F.col("__k") == F.col(key)).filter(F.contains("__text", F.col(part))).select(key, part)
+    return near.join(whole.hint("merge"), F.col("__k") == F.col(key)).filter(F.contains("__text", F.col(part))).select(key, part)
 
 
 def candidate_scores(left: DataFrame, right: DataFrame, block: str, rules: list[tuple[Column, int]], least: int) -> DataFrame:

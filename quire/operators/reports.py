@@ -170,7 +170,7 @@ def evidence(aliases: DataFrame, pages: DataFrame, name: str, alias: str, derive
     """(name, first_page, pages) of names with evidence: pages whose text has any alias; a derived alias counts only if two
     pages have it. Texts meet only aliases that may be in them (`joins.containing`)."""
     a = aliases.filter(F.length(alias) >= n)
-    hits = containing(pages, page, text, a.select(alias).distinct(), alias, n).join(a, alias).select(name, alias, derived, page).distinct()
+    hits = containing(pages, page, text, a.select(alias).distinct(), alias, n).join(a.hint("merge"), alias).select(name, alias, derived, page).distinct()
     enough = hits.groupBy(name, alias, derived).agg(F.collect_set(page).alias("p")).filter(~F.col(derived) | (F.size("p") >= 2))
     return enough.select(name, F.explode("p").alias(page)).groupBy(name).agg(F.min(page).alias("first_page"), F.count_distinct(page).alias("pages"))
 

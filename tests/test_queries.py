@@ -130,3 +130,15 @@ def test_parts_are_looked_for_by_their_rarest_gram(spark):
     df = spark.createDataFrame(texts, "id long, t string")
     got = {(r.id, r.p) for r in joins.containing(df, "id", "t", spark.createDataFrame([(p,) for p in parts], "p string"), "p").collect()}
     assert got == {(i, p) for i, t in texts for p in parts if t and len(p) >= 3 and p in t}
+
+
+def test_numbers_that_share_their_digits_are_found_by_longer_grams(spark):
+    """Names that differ in some digits alone: what is compared must not grow with the square of their number."""
+    from quire.operators import joins
+
+    names = spark.range(4000).selectExpr("id", "'Name#' || lpad(id * 7919 % 1000000, 9, '0') as p")
+    found = joins.containing(names, "id", "p", names.select("p"), "p")
+    compared = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=merge)" in compared
+    assert found.count() == 4000
+    assert joins.containing(names, "id", "p", names.selectExpr("substr(p, 2) as p"), "p").count() == 4000
