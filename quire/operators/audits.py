@@ -48,8 +48,8 @@ def term_gate(results: DataFrame, problems: DataFrame, least_terms: int, least_e
 def unexplained_deletions(published: DataFrame, prepared: DataFrame, aliases: DataFrame, pages: DataFrame, name: str, alias: str, derived: str, page: str, text: str) -> DataFrame:
     """(name, pages): published names that are not prepared again though pages have them, or two pages an alias of theirs. If there
     is a row the old content must stay."""
-    lost = published.select(name).distinct().join(prepared.select(name), name, "left_anti")
-    theirs = aliases.join(lost, name, "left_semi")
+    lost = published.select(name).distinct().join(prepared.select(name).hint("merge"), name, "left_anti")
+    theirs = aliases.join(lost.hint("merge"), name, "left_semi")
     return evidence(theirs, pages, name, alias, derived, page, text).select(name, "pages")
 
 
