@@ -189,3 +189,28 @@ def test_fact_lines(spark):
     assert got["plain"] == [(0, "one fact goes on", [3, 4, 5], None), (1, "two", [3, 9], "invented page"), (2, "three", [], "no page")]
     assert got["head"] == [(0, "no bullet and more", [1], None)] and got["bare"] == [(0, "", [2], "no text")]
     assert got["empty"] == got["null"] == [(None, None, None, "no facts")]
+
+
+def test_alignment_by_reach_is_that_of_the_table():
+    from quire.functions import sequential
+
+    made = random.Random(3)
+    for n in range(600):
+        a = "".join(made.choice("abé" if n % 2 else "ab") for _ in range(made.randrange(12)))
+        b = "".join(made.choice("ab☃") if made.random() < 0.2 else c * made.choice((1, 1, 1, 0, 2)) for c in a) if n % 3 else a[::-1]
+        assert sequential._by_reach(a, b, 99) == sequential._by_table(a, b) == sequential.edit_operations(a, b), (a, b)
+    text = "".join(made.choice("abcdefgh ") for _ in range(3000))
+    assert sequential._by_reach(text, text[:1500] + "xy" + text[1501:], 10) == sequential._by_table(text, text[:1500] + "xy" + text[1501:])
+    assert sequential._by_reach("a" * 50, "b" * 50, 10) is None
+
+
+def test_the_medoid_of_a_consensus_is_that_of_the_operator(spark):
+    from quire.functions import sequential
+    from quire.operators.aggregates import medoid
+
+    made = random.Random(5)
+    rows = [(g, i, None if made.random() < 0.1 else "".join(made.choice("abc") for _ in range(made.randrange(7)))) for g in range(80) for i in range(made.randrange(1, 6))]
+    got = {r.g: r.i for r in medoid(spark.createDataFrame(rows, "g int, i int, t string"), "g", "i", "t").collect()}
+    assert got == {g: sequential.medoid_place([t for h, _, t in rows if h == g], {}) for g in range(80)}
+    plan = sequential.consensus(spark.createDataFrame(rows, "g int, i int, t string"), "g", "i", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
