@@ -117,14 +117,22 @@ def series_suggestions(selected: DataFrame, known: DataFrame, least: float = 0.4
     """(selection, series, score): for titles (selection, title, author_key) the series (series, title, author_key) whose title
     begins alike: the mean share of the common prefix in the longer title, 0.2 more if all author keys agree, 1 at most.
 
-    A series is a candidate only if it shares a first character with a title, so the join is by equality."""
-    from quire.functions.text import common_prefix
-
+    A series is a candidate only if it shares a first character with a title. Titles are not held against titles: those of a
+    selection are counted by their prefixes and lengths, and a title of a series meets these counts by its own prefixes. The
+    sum of the lengths of common prefixes is the sum of the counts of all prefixes in common."""
+    prefixes = lambda t: F.explode(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substr(t, F.lit(1), i))).alias("p")
     n = selected.groupBy("selection").agg(F.count("*").alias("n"))
-    a = selected.select("selection", F.col("title").alias("t"), F.col("author_key").alias("k"), F.substring("title", 1, 1).alias("c"))
-    b = known.select("series", F.col("title").alias("s"), F.col("author_key").alias("j"), F.substring("title", 1, 1).alias("c"))
-    share = common_prefix(F.col("t"), F.col("s")) / F.greatest(F.length("t"), F.length("s"))
-    met = a.join(b, "c").groupBy("selection", "series").agg(F.sum(share).alias("total"), F.count("*").alias("met"), F.bool_and(F.col("k").eqNullSafe(F.col("j"))).alias("same")).join(n, "selection")
+    a = selected.filter("length(title) > 0").groupBy("selection", F.col("title").alias("t"), F.col("author_key").alias("k")).agg(F.count("*").alias("times"))
+    b = known.filter("length(title) > 0").groupBy("series", F.col("title").alias("s"), F.col("author_key").alias("j")).agg(F.count("*").alias("of_series"))
+    begins = a.select("selection", F.length("t").alias("lt"), prefixes(F.col("t")), "times").groupBy("p", "selection", "lt").agg(F.sum("times").alias("times"))
+    titles = b.select("s").distinct()
+    common = titles.select("s", prefixes(F.col("s"))).join(begins, "p").groupBy("s", "selection", "lt").agg(F.sum("times").alias("chars"))
+    totals = common.groupBy("s", "selection").agg(F.sum(F.col("chars") / F.greatest(F.length("s"), "lt")).alias("total"))
+    # how many titles of a selection have a first character, and the author key of all of them if there is one
+    keys = a.groupBy("selection", F.substring("t", 1, 1).alias("c")).agg(F.sum("times").alias("met"), F.min("k").alias("k"), (F.min("k") == F.max("k")).alias("one"), F.count_if(F.col("k").isNull()).alias("nulls"))
+    agree = F.when(F.col("j").isNull(), F.col("one").isNull()).otherwise((F.col("nulls") == 0) & F.coalesce("one", F.lit(False)) & F.coalesce(F.col("k") == F.col("j"), F.lit(False)))
+    pairs = b.join(totals, "s").join(keys.withColumnRenamed("selection", "__u"), (F.col("selection") == F.col("__u")) & (F.substring("s", 1, 1) == F.col("c")))
+    met = pairs.groupBy("selection", "series").agg(F.sum(F.col("total") * F.col("of_series")).alias("total"), F.sum(F.col("met") * F.col("of_series")).alias("met"), F.bool_and(agree).alias("same")).join(n, "selection")
     score = F.round(F.least(F.lit(1.0), F.col("total") / F.col("n") + F.when(F.col("same") & (F.col("met") == F.col("n")), 0.2).otherwise(0.0)), 4)
     scored = met.select("selection", "series", score.alias("score")).filter(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("selection").orderBy(F.desc("score"), "series"))
