@@ -32,20 +32,30 @@ def neighbours(hits: DataFrame, pages: DataFrame, book: str = "book", page: str
 
 
 def related(items: DataFrame, chosen: DataFrame, key: str, series: str, authors: str, index: str, per_series: int = 8, per_author: int = 5) -> DataFrame:
-    """Of each chosen item the items of its series by index, and others that share an author: (of, key, why, rank).
+    """Of each chosen item the items of its series by index, and others that share an author: (of, key, why, rank). Keys are
+    unique.
 
-    Both joins are equi-joins, on the series and on single authors. What counts is limited within each chosen item.
+    Both joins are equi-joins, on the series and on single authors. What counts is limited within each chosen item, and what
+    may count before the joins: the first of a series, one more for the item itself, and the first of an author outside a series.
     """
     me = chosen.select(F.col(key).alias("of"), F.col(series).alias("__s"), F.col(authors).alias("__a"))
-    same = me.join(items, (F.col("__s") == F.col(series)) & (F.col(key) != F.col("of")))
-    rank = F.row_number().over(Window.partitionBy("of").orderBy(F.col(index).asc_nulls_last(), key))
+    order = [F.col(index).asc_nulls_last(), F.col(key)]
+    place = F.row_number().over(Window.partitionBy(series).orderBy(*order))
+    first = items.select(key, series, index).filter(F.col(series).isNotNull()).withColumn("__k", place).filter(F.col("__k") <= per_series + 1).drop("__k")
+    same = me.select("of", "__s").join(first, (F.col("__s") == F.col(series)) & (F.col(key) != F.col("of")))
+    rank = F.row_number().over(Window.partitionBy("of").orderBy(*order))
     by_series = same.select("of", key, F.lit("series").alias("why"), rank.alias("rank")).filter(F.col("rank") <= per_series)
     # of an author and a series only the first items can be among the first of any chosen item
     rows = items.select(key, series, F.explode(authors).alias("__author"))
     k = F.row_number().over(Window.partitionBy("__author", series).orderBy(key))
     right = rows.withColumn("__k", k).filter(F.col("__k") <= per_author + 1).drop("__k")
     left = me.select("of", "__s", F.explode("__a").alias("__author"))
-    shared = left.join(right, "__author").filter((F.col(key) != F.col("of")) & ~F.coalesce(F.col("__s") == F.col(series), F.lit(False))).select("of", key).distinct()
+    # what chosen items of a series have from an author is found once for all of them
+    wanted = left.select("__author", "__s").distinct()
+    others = wanted.join(right, "__author").filter(~F.coalesce(F.col("__s") == F.col(series), F.lit(False)))
+    k = F.row_number().over(Window.partitionBy("__author", "__s").orderBy(key))
+    few = others.withColumn("__k", k).filter(F.col("__k") <= per_author + 1).select(F.col("__author").alias("__b"), F.col("__s").alias("__t"), key)
+    shared = left.join(few, (F.col("__author") == F.col("__b")) & F.col("__s").eqNullSafe(F.col("__t")) & (F.col(key) != F.col("of"))).select("of", key).distinct()
     rank = F.row_number().over(Window.partitionBy("of").orderBy(key))
     by_author = shared.select("of", key, F.lit("author").alias("why"), rank.alias("rank")).filter(F.col("rank") <= per_author)
     return by_series.unionByName(by_author)
@@ -128,10 +138,25 @@ def containing(texts: DataFrame, key: str, text: str, parts: DataFrame, part: st
     return near.join(whole.hint("merge"), F.col("__k") == F.col(key)).filter(F.contains("__text", F.col(part))).select(key, part)
 
 
-def candidate_scores(left: DataFrame, right: DataFrame, block: str, rules: list[tuple[Column, int]], least: int) -> DataFrame:
-    """Pairs that share a block, scored by rules, with more than the least score."""
+def candidate_scores(left: DataFrame, right: DataFrame, block: str, rules: list[tuple[Column, int]], least: int, keys: list[tuple[Column, Column, Column]] | None = None, only: Column | None = None) -> DataFrame:
+    """Pairs that share a block, scored by rules, with more than the least score; with `only`, of the pairs that it holds for.
+
+    keys: what a pair with more than the least score has at least one of in common, as (left, right, condition) with arrays
+    of values; the condition is what pairs that meet by such a key hold. Then pairs meet by equality of block and value, and
+    a pair that meets by several counts where none of the conditions before holds; without keys, all pairs of a block meet."""
     score = sum((F.when(c, F.lit(points)).otherwise(F.lit(0)) for c, points in rules), F.lit(0))
-    return left.join(right, block).withColumn("score", score).filter(F.col("score") > least)
+    wanted = (F.lit(True) if only is None else only) & (score > least)
+    if not keys:
+        return left.join(right, block).filter(wanted).withColumn("score", score)
+    out, before = None, F.lit(False)
+    for a, b, condition in keys:
+        met = left.withColumn("__v", F.explode(F.array_distinct(a))).join(right.withColumn("__v", F.explode(F.array_distinct(b))), [block, "__v"])
+        # of several values in common the least one counts
+        once = F.col("__v") == F.array_min(F.array_intersect(a, b))
+        part = met.filter(wanted & once & ~F.coalesce(before, F.lit(False))).withColumn("score", score).drop("__v")
+        out = part if out is None else out.unionByName(part)
+        before = F.coalesce(before, F.lit(False)) | F.coalesce(condition, F.lit(False))
+    return out
 
 
 def range_count(left: DataFrame, right: DataFrame, key: str, position: str, last: int, name: str) -> DataFrame:

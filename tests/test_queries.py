@@ -1,5 +1,6 @@
 import pytest
 from compare import SMALL, assert_same
+from pyspark.sql import functions as F
 
 from quire.plans.all import ORACLE_SQL, QUERIES
 
@@ -142,3 +143,50 @@ def test_numbers_that_share_their_digits_are_found_by_longer_grams(spark):
     assert "rightHint=(strategy=merge)" in compared
     assert found.count() == 4000
     assert joins.containing(names, "id", "p", names.selectExpr("substr(p, 2) as p"), "p").count() == 4000
+
+
+def test_related_items_are_limited_before_the_join(spark):
+    from quire.operators import joins
+
+    rows = [(i, None if i % 11 == 0 else f"s{i % 3}", [i % 7, i % 5 + 10], None if i % 4 == 0 else i % 6) for i in range(120)]
+    items = spark.createDataFrame(rows, "item long, series string, authors array<long>, volume long")
+    found = joins.related(items, items.filter("item % 9 = 2 or item = 22"), "item", "series", "authors", "volume", 3, 4)
+    want = set()
+    for i, s, a, _ in (r for r in rows if r[0] % 9 == 2 or r[0] == 22):
+        same = sorted((r[3] is None, r[3] or 0, r[0]) for r in rows if s is not None and r[1] == s and r[0] != i)[:3]
+        other = sorted(r[0] for r in rows if r[0] != i and (s is None or r[1] is None or r[1] != s) and set(a) & set(r[2]))[:4]
+        want |= {(i, x[2], "series", k) for k, x in enumerate(same, 1)} | {(i, x, "author", k) for k, x in enumerate(other, 1)}
+    assert {(r.of, r.item, r.why, r.rank) for r in found.collect()} == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") >= 5
+
+
+def test_pairs_meet_by_what_they_must_have_in_common(spark):
+    from quire.operators import joins
+
+    rows = [(i, i % 2, f"t{i % 5}", [i % 6, i % 4] if i % 9 else None) for i in range(60)]
+    left, right = (spark.createDataFrame(rows, "i long, block long, t string, a array<long>").select("block", *[F.col(c).alias(f"{c}_{x}") for c in "ita"]) for x in "ab")
+    rules = [(F.col("t_a") == F.col("t_b"), 100), (F.arrays_overlap("a_a", "a_b"), 20)]
+    keys = [(F.array("t_a"), F.array("t_b"), rules[0][0]), (F.col("a_a"), F.col("a_b"), rules[1][0])]
+    of = lambda df: sorted((r.i_a, r.i_b, r.score) for r in df.collect())
+    every = joins.candidate_scores(left, right, "block", rules, 0)
+    assert of(joins.candidate_scores(left, right, "block", rules, 0, keys, F.col("i_a") < F.col("i_b"))) == [x for x in of(every) if x[0] < x[1]]
+
+
+def test_series_are_suggested_by_counts_of_prefixes(spark):
+    from quire.operators import catalog
+
+    a = [(u, t, k) for u, t, k in [("x", "abc", "k"), ("x", "abd", "k"), ("x", "abd", "k"), ("y", "abcdef", None), ("y", "zz", None), ("z", "zzz", None), ("w", "abc", "k"), ("w", "ab", None)]]
+    b = [(1, "abc", "k"), (2, "abcd", "k"), (2, "abx", "j"), (3, "zzz", None), (4, "abc", None), (4, "abc", None), (5, "q", "k")]
+    want = {}
+    for u in {r[0] for r in a}:
+        mine = [r for r in a if r[0] == u]
+        scored = []
+        for s in {r[0] for r in b}:
+            met = [(t, k, v, j) for _, t, k in mine for g, v, j in b if g == s and t[0] == v[0]]
+            share = sum(next((i for i, (x, y) in enumerate(zip(t, v)) if x != y), min(len(t), len(v))) / max(len(t), len(v)) for t, _, v, _ in met)
+            score = round(min(1.0, share / len(mine) + (0.2 if len(met) == len(mine) and all(k == j for _, k, _, j in met) else 0)), 4)
+            scored += [(-score, s)] if met and score >= 0.4 else []
+        want |= {(u, s): (-score, k) for k, (score, s) in enumerate(sorted(scored)[:5], 1)}
+    found = catalog.series_suggestions(spark.createDataFrame(a, "selection string, title string, author_key string"), spark.createDataFrame(b, "series long, title string, author_key string"))
+    assert {(r.selection, r.series): (r.score, r["rank"]) for r in found.collect()} == want
+    assert "p#" in found._jdf.queryExecution().optimizedPlan().toString()
