@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import sequential
+from quire.sources.shared import spread
 
 FAR = 1 << 28
 #: Hashes of terms that tasks are sent at most; eight bytes each.
@@ -184,13 +185,18 @@ def one_letter_variants(texts: DataFrame, key: str, text: str, terms: DataFrame,
     known = spark.sparkContext.broadcast(np.sort(masks)) if 0 < len(masks) <= LISTED else None
 
     def of_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if known is not None:
+            # most hashes are told apart by their last bits
+            table, marked = known.value, np.zeros(1 << 20, bool)
+            marked[table & 0xFFFFF] = True
         for batch in batches:
             for row, t in enumerate(batch.column(1).to_pylist()):
                 for n in lengths:
                     for starts, found in _neighbours(t, n):
                         found = found.view(np.int64)
                         if known is not None:
-                            table = known.value
+                            some = np.flatnonzero(marked[found & 0xFFFFF])
+                            starts, found = starts[some], found[some]
                             hit = table[np.minimum(np.searchsorted(table, found), len(table) - 1)] == found
                             starts, found = starts[hit], found[hit]
                         if len(found):
@@ -198,9 +204,9 @@ def one_letter_variants(texts: DataFrame, key: str, text: str, terms: DataFrame,
                             yield pa.record_batch([same, pa.array(found), pa.array(starts.astype(np.int32))], names=["k", "mask", "start"])
 
     kind = texts.schema[key].dataType.simpleString()
-    of_texts = texts.filter(F.col(text).isNotNull()).select(key, text).mapInArrow(of_text, f"k {kind}, mask long, start int")
-    met = of_texts.join(of_terms, "mask").select("k", "start", "term").distinct()
-    whole = met.join(texts.select(F.col(key).alias("k"), F.col(text).alias("t")), "k").withColumn("variant", F.substr("t", F.col("start") + 1, F.length("term")))
+    of_texts = spread(texts.filter(F.col(text).isNotNull()).select(key, text), key).mapInArrow(of_text, f"k {kind}, mask long, start int")
+    met = of_texts.join(of_terms.hint("merge"), "mask").select("k", "start", "term").distinct()
+    whole = met.join(texts.select(F.col(key).alias("k"), F.col(text).alias("t")).hint("merge"), "k").withColumn("variant", F.substr("t", F.col("start") + 1, F.length("term")))
     apart = F.size(F.filter(F.zip_with(F.split("variant", ""), F.split("term", ""), lambda a, b: a != b), lambda d: d))
     return whole.filter(apart == 1).select(F.col("k").alias(key), "start", "variant", "term")
 
@@ -250,17 +256,17 @@ def supported_corrections(pages: DataFrame, key: str, consensus: str, readings:
             out.append(rows)
         return pa.array(out, kind)
 
-    rows = pages.join(grouped, key).select(key, F.inline(support(consensus, readings, "__f")))
-    backed = rows.filter("exact > 0").withColumn("end", F.col("start") + F.length("term"))
+    rows = spread(pages.select(key, consensus, readings), key).join(grouped.hint("merge"), key).select(key, F.inline(support(consensus, readings, "__f")))
     order = [F.col("start"), F.col("term")]
-    by = Window.partitionBy(key)
+    # supported ones are held against each other alone; all in one pass, so that pages are aligned once
+    ends = rows.withColumns({"end": F.col("start") + F.length("term"), "__b": F.col("exact") > 0})
+    by = Window.partitionBy(key, "__b")
     before = F.max("end").over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     after = F.min("start").over(by.orderBy(*order).rowsBetween(1, Window.unboundedFollowing))
     clash = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
-    backed = backed.withColumn("result", F.when(clash, "overlapping").otherwise("applied")).drop("end")
-    weak = rows.filter("exact = 0").withColumn("result", F.when(F.col("seen") & (F.col("same") >= 2), "unsupported").otherwise("dropped"))
-    proposals = backed.unionByName(weak).drop("seen")
-    taken = backed.filter("result = 'applied'").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "term"))).alias("__a"))
+    result = F.when(F.col("__b") & clash, "overlapping").when(F.col("__b"), "applied").when(F.col("seen") & (F.col("same") >= 2), "unsupported").otherwise("dropped")
+    proposals = ends.withColumn("result", result).drop("end", "__b", "seen")
+    taken = proposals.filter("result = 'applied'").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "term"))).alias("__a"))
     t = F.col(consensus)
     put = F.aggregate("__a", t, lambda s, a: F.concat(F.substr(s, F.lit(1), a["start"]), a["term"], F.substr(s, a["start"] + F.length(a["term"]) + 1, F.length(s))))
     return proposals, pages.join(taken, key, "left").select(key, F.coalesce(put, t).alias("corrected"))

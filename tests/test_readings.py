@@ -214,3 +214,9 @@ def test_the_medoid_of_a_consensus_is_that_of_the_operator(spark):
     assert got == {g: sequential.medoid_place([t for h, _, t in rows if h == g], {}) for g in range(80)}
     plan = sequential.consensus(spark.createDataFrame(rows, "g int, i int, t string"), "g", "i", "t")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_pages_are_aligned_once(spark):
+    pages, terms = reading_queries.corrected_pages(spark, SMALL)
+    proposals, _ = readings.supported_corrections(pages, "page", "consensus", "readings", terms, "term")
+    assert proposals._jdf.queryExecution().optimizedPlan().toString().count("support(") == 1
