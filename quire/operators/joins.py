@@ -138,25 +138,22 @@ def containing(texts: DataFrame, key: str, text: str, parts: DataFrame, part: st
     return near.join(whole.hint("merge"), F.col("__k") == F.col(key)).filter(F.contains("__text", F.col(part))).select(key, part)
 
 
-def candidate_scores(left: DataFrame, right: DataFrame, block: str, rules: list[tuple[Column, int]], least: int, keys: list[tuple[Column, Column, Column]] | None = None, only: Column | None = None) -> DataFrame:
-    """Pairs that share a block, scored by rules, with more than the least score; with `only`, of the pairs that it holds for.
+def candidate_scores(left: DataFrame, right: DataFrame, block: str, rules: list[tuple[Column, int]], least: int, keys: list[tuple[Column, Column]] | None = None, ids: tuple[str, str] = ("", ""), only: Column | None = None) -> DataFrame:
+    """Pairs that share a block, scored by rules, with more than the least score; with `only`, of the pairs of ids that it holds for.
 
-    keys: what a pair with more than the least score has at least one of in common, as (left, right, condition) with arrays
-    of values; the condition is what pairs that meet by such a key hold. Then pairs meet by equality of block and value, and
-    a pair that meets by several counts where none of the conditions before holds; without keys, all pairs of a block meet."""
+    keys: arrays of values of a left and a right row, of which a pair with more than the least score has some value in common.
+    Then ids, which are unique, meet by equality of block and value, each pair once, and their rows are joined afterwards;
+    without keys, all pairs of a block meet."""
     score = sum((F.when(c, F.lit(points)).otherwise(F.lit(0)) for c, points in rules), F.lit(0))
-    wanted = (F.lit(True) if only is None else only) & (score > least)
+    only = F.lit(True) if only is None else only
     if not keys:
-        return left.join(right, block).filter(wanted).withColumn("score", score)
-    out, before = None, F.lit(False)
-    for a, b, condition in keys:
-        met = left.withColumn("__v", F.explode(F.array_distinct(a))).join(right.withColumn("__v", F.explode(F.array_distinct(b))), [block, "__v"])
-        # of several values in common the least one counts
-        once = F.col("__v") == F.array_min(F.array_intersect(a, b))
-        part = met.filter(wanted & once & ~F.coalesce(before, F.lit(False))).withColumn("score", score).drop("__v")
-        out = part if out is None else out.unionByName(part)
-        before = F.coalesce(before, F.lit(False)) | F.coalesce(condition, F.lit(False))
-    return out
+        return left.join(right, block).filter(only).withColumn("score", score).filter(F.col("score") > least)
+    met = None
+    for a, b in keys:
+        one, two = (df.select(block, i, F.explode(F.array_distinct(v)).alias("__v")) for df, i, v in ((left, ids[0], a), (right, ids[1], b)))
+        part = one.join(two, [block, "__v"]).filter(only).select(*ids)
+        met = part if met is None else met.unionByName(part)
+    return met.distinct().join(left, ids[0]).join(right.drop(block), ids[1]).withColumn("score", score).filter(F.col("score") > least)
 
 
 def range_count(left: DataFrame, right: DataFrame, key: str, position: str, last: int, name: str) -> DataFrame:

@@ -166,10 +166,10 @@ def test_pairs_meet_by_what_they_must_have_in_common(spark):
     rows = [(i, i % 2, f"t{i % 5}", [i % 6, i % 4] if i % 9 else None) for i in range(60)]
     left, right = (spark.createDataFrame(rows, "i long, block long, t string, a array<long>").select("block", *[F.col(c).alias(f"{c}_{x}") for c in "ita"]) for x in "ab")
     rules = [(F.col("t_a") == F.col("t_b"), 100), (F.arrays_overlap("a_a", "a_b"), 20)]
-    keys = [(F.array("t_a"), F.array("t_b"), rules[0][0]), (F.col("a_a"), F.col("a_b"), rules[1][0])]
+    keys = [(F.array("t_a"), F.array("t_b")), (F.col("a_a"), F.col("a_b"))]
     of = lambda df: sorted((r.i_a, r.i_b, r.score) for r in df.collect())
     every = joins.candidate_scores(left, right, "block", rules, 0)
-    assert of(joins.candidate_scores(left, right, "block", rules, 0, keys, F.col("i_a") < F.col("i_b"))) == [x for x in of(every) if x[0] < x[1]]
+    assert of(joins.candidate_scores(left, right, "block", rules, 0, keys, ("i_a", "i_b"), F.col("i_a") < F.col("i_b"))) == [x for x in of(every) if x[0] < x[1]]
 
 
 def test_series_are_suggested_by_counts_of_prefixes(spark):
