@@ -153,7 +153,7 @@ def candidate_scores(left: DataFrame, right: DataFrame, block: str, rules: list[
         one, two = (df.select(block, i, F.explode(F.array_distinct(v)).alias("__v")) for df, i, v in ((left, ids[0], a), (right, ids[1], b)))
         part = one.join(two, [block, "__v"]).filter(only).select(*ids)
         met = part if met is None else met.unionByName(part)
-    return met.distinct().join(left, ids[0]).join(right.drop(block), ids[1]).withColumn("score", score).filter(F.col("score") > least)
+    return met.distinct().join(left.hint("merge"), ids[0]).join(right.drop(block).hint("merge"), ids[1]).withColumn("score", score).filter(F.col("score") > least)
 
 
 def range_count(left: DataFrame, right: DataFrame, key: str, position: str, last: int, name: str) -> DataFrame:
