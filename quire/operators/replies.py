@@ -46,10 +46,13 @@ def rewritten_relations(old: DataFrame, counts: DataFrame, labels: DataFrame, bo
     """(book, a, b, relation, weight): the relations of the books that have counts or labels written anew, those of others as they
     are. counts is (book, a, b, n) with a < b; labels (book, place, a, b, relation) in any order of a and b, of which the last of
     a pair holds; a pair that has a label alone weighs 0."""
-    ordered = labels.select(book, "place", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "relation")
-    last = ordered.groupBy(book, "a", "b").agg(F.max_by("relation", "place").alias("relation"))
-    new = counts.join(last, [book, "a", "b"], "full").select(book, "a", "b", "relation", F.coalesce(F.col("n").cast("double"), F.lit(0.0)).alias("weight"))
-    return old.join(new.select(book).distinct(), book, "left_anti").unionByName(new)
+    ordered = labels.select(book, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "place", "relation", F.lit(None).cast("long").alias("n"))
+    counted = counts.select(book, "a", "b", F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("relation"), F.col("n").cast("long").alias("n"))
+    pairs = ordered.unionByName(counted).groupBy(book, "a", "b").agg(F.max_by("relation", "place").alias("relation"), F.sum("n").alias("n"))
+    new = pairs.select(book, "a", "b", "relation", F.coalesce(F.col("n").cast("double"), F.lit(0.0)).alias("weight"))
+    books = labels.select(book).unionByName(counts.select(book)).distinct()
+    # as many books as replies, in files so small that they would be taken for a table to broadcast
+    return old.join(books.hint("merge"), book, "left_anti").unionByName(new)
 
 
 def fact_sheets(df: DataFrame, key: list[str], text: str) -> tuple[DataFrame, DataFrame]:

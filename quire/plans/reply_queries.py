@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.operators import replies
 from quire.plans.registry import query
 from quire.session import table
+from quire.sources.shared import stored
 
 
 def _replies(spark, d):
@@ -26,7 +27,7 @@ def relation_pairs(spark, d):
     SELECT book, a, b, relation, CAST(coalesce(n, 0) AS DOUBLE) AS weight FROM n LEFT JOIN c USING (book, a, b) UNION ALL SELECT -1 - o_orderkey, 'old', 'pair', NULL, 1.0 FROM orders WHERE o_orderstatus = 'P'"""
 )
 def rewritten_relations(spark, d):
-    labels = replies.relation_pairs(_replies(spark, d), "book", "reply")
+    labels = stored(replies.relation_pairs(_replies(spark, d), "book", "reply"), "relations")  # replies are parsed once for all that reads them
     counts = labels.filter("relation <> 'kind R'").groupBy("book", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
     old = table(spark, d, "orders").filter("o_orderstatus = 'P'").select((-1 - F.col("o_orderkey")).alias("book"), F.lit("old").alias("a"), F.lit("pair").alias("b"), F.lit(None).cast("string").alias("relation"), F.lit(1.0).alias("weight"))
     again = labels.select("book").distinct().select("book", F.lit("gone").alias("a"), F.lit("too").alias("b"), F.lit("x").alias("relation"), F.lit(5.0).alias("weight"))
