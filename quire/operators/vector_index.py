@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -193,6 +194,87 @@ def exact_search(vectors: DataFrame, key: str, queries: DataFrame, query_key: st
     return _ranked(_grid(asked, rows, "cell", near), top)
 
 
+def exact_cosine(vectors: DataFrame, key: str, queries: DataFrame, query_key: str, vector: str, top: int = 10) -> DataFrame:
+    """The rows of the greatest cosine of each query among all but its own: (query, key, score, rank). Scores have six places;
+    of equal ones the least key comes first, rows that have none come last. Of each part and block no more than `top` rows of a
+    query leave their task, so nothing of all pairs is sorted or sent."""
+    asked = queries.filter(F.col(query_key).isNotNull()).select(F.col(query_key).alias("query"), F.col(vector).alias("vector"), F.lit(0).alias("cell"))
+    rows = vectors.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("code"), F.lit(0).alias("cell"))
+
+    def near(_: int, asked_for: pa.Table, rows: pa.Table) -> Iterator[tuple]:
+        keys = rows.column("key").to_numpy()
+        found, wanted = _by_dimension(rows.column("code")), _by_dimension(asked_for.column("vector"))
+        names = asked_for.column("query").to_numpy()
+        alone = np.setdiff1d(np.arange(len(names)), np.concatenate([at for at, _ in wanted.values()] or [[]]))
+        for i in alone.tolist():  # no vector: no row has a score
+            yield names[i].item(), *_greatest(keys[keys != names[i]], np.full((keys != names[i]).sum(), -np.inf), top)
+        for dimension, (places, q) in wanted.items():
+            at, x = found.get(dimension, (np.zeros(0, np.int64), np.zeros((0, dimension))))
+            norms, q_norms = np.sqrt(_in_order(x * x)), np.sqrt(_in_order(q * q))
+            for i in range(0, len(q), 64):
+                with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                    about = (q[i : i + 64] @ x.T) / (q_norms[i : i + 64, None] * norms[None, :])
+                about[(q_norms[i : i + 64, None] * norms[None, :]) == 0] = 0.0
+                np.nan_to_num(about, copy=False, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+                for j, guess in enumerate(about):
+                    name = names[places[i + j]]
+                    guess[keys[at] == name] = -np.inf
+                    # sums of another order differ by far less than the margin: what can be in the top is looked at again
+                    best = np.flatnonzero(guess >= (np.partition(guess, -top)[-top] - 2e-6 if len(guess) > top else -np.inf))
+                    best = best[keys[at[best]] != name]
+                    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                        norm = q_norms[i + j] * norms[best]
+                        s = np.where(norm == 0, 0.0, _in_order(x[best] * q[i + j]) / norm)
+                    k, s = keys[at[best]], _six_places(s)
+                    if len(k) < top:
+                        rest = np.setdiff1d(np.arange(len(keys)), at)
+                        rest = rest[keys[rest] != name]
+                        k, s = np.concatenate((k, keys[rest])), np.concatenate((s, np.full(len(rest), -np.inf)))
+                    yield name.item(), *_greatest(k, s, top)
+
+    near_by = _grid(asked, rows, "cell", near).withColumnRenamed("distance", "score")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
+    return near_by.withColumn("rank", rank).filter(F.col("rank") <= top)
+
+
+def _by_dimension(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The places and the matrix of the vectors of each length; those that are null or have a null in them are left out."""
+    lists = column.combine_chunks()
+    if not len(lists):
+        return {}
+    flat, starts = lists.values.cast(pa.float64()), lists.offsets.to_numpy()
+    numbers, holes = flat.to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))))
+    fine = lists.is_valid().to_numpy(zero_copy_only=False) & (holes[starts[1:]] == holes[starts[:-1]])
+    sizes = np.diff(starts)
+    out = {}
+    for n in np.unique(sizes[fine]).tolist():
+        at = np.flatnonzero(fine & (sizes == n))
+        out[n] = at, numbers[starts[at][:, None] + np.arange(n)]
+    return out
+
+
+def _in_order(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, added from left to right as columns of Spark are."""
+    return np.add.accumulate(x, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+
+
+def _six_places(x: np.ndarray) -> np.ndarray:
+    """Numbers rounded as by `round`: by their decimal digits, halves away from zero."""
+    out = np.round(x, 6)
+    with np.errstate(invalid="ignore"):
+        y = np.abs(x) * 1e6
+        half = np.flatnonzero(np.abs(y - np.floor(y) - 0.5) < 1e-6)
+    for i in half.tolist():
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return out
+
+
+def _greatest(keys: np.ndarray, s: np.ndarray, top: int) -> tuple[list, list]:
+    """The keys of the greatest scores, ties by key; NaN is above all, and what has no score is null and last."""
+    order = np.lexsort((keys, -np.nan_to_num(s, nan=np.inf, posinf=np.inf, neginf=-np.inf)))[:top]
+    return keys[order].tolist(), [None if v == -np.inf else v for v in s[order].tolist()]
+
+
 def _best(keys: np.ndarray, d: np.ndarray, count: int) -> tuple[list, list]:
     """The keys with the least distances, ties by key."""
     if len(d) > count:

@@ -72,15 +72,36 @@ def best_by(df: DataFrame, key: list[str], score: str, order: str) -> DataFrame:
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, query: str, item: str, rank: str, grade: str, ks: tuple[int, ...] = (5, 10, 30)) -> DataFrame:
     """Per query: recall at each k, reciprocal rank within 10, and nDCG at 10 with gain 2^grade - 1."""
-    hits = ranked.join(relevant, [query, item])
-    gain = lambda g, r: (F.pow(F.lit(2.0), g) - 1) / F.log2(r + 1.0)
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(grade), item))
+    ideal = relevant.withColumn("__p", place).groupBy(query).agg(F.count("*").alias("__n"), F.sum(F.when(F.col("__p") <= 10, _gain(F.col(grade), F.col("__p")))).alias("__i"))
+    return _metrics(ranked.join(relevant, [query, item]), ideal, query, rank, grade, ks)
+
+
+def ranking_metrics_by_label(ranked: DataFrame, queries: DataFrame, items: DataFrame, query: str, item: str, rank: str, label: str, grade: str, ks: tuple[int, ...] = (5, 10, 30)) -> DataFrame:
+    """`ranking_metrics` where the items of a query's label are relevant, but for itself; queries are items too, (query, label), and
+    items (item, label, grade), each once. Of a label the numbers of its grades tell what is best, so pairs are not made."""
+    hits = ranked.join(items, item).join(queries, [query, label])
+    sizes = items.groupBy(label, grade).agg(F.count("*").alias("__c"))
+    own = items.select(F.col(item).alias(query), label, F.col(grade).alias("__g"))
+    grades = queries.join(own, [query, label], "left").join(sizes, label).withColumn("__c", F.col("__c") - F.coalesce((F.col("__g").eqNullSafe(F.col(grade)) & F.col("__g").isNotNull()).cast("int"), F.lit(0)))
+    upto = F.sum("__c").over(Window.partitionBy(query).orderBy(F.desc(grade)))
+    first = F.col("__u") - F.col("__c") + 1
+    gains = F.when(first <= F.least("__u", F.lit(10)), F.aggregate(F.sequence(first, F.least("__u", F.lit(10))), F.lit(0.0), lambda s, p: s + _gain(F.col(grade), p)))
+    ideal = grades.filter("__c > 0").withColumn("__u", upto).groupBy(query).agg(F.sum("__c").alias("__n"), F.sum(gains).alias("__i"))
+    return _metrics(hits, ideal, query, rank, grade, ks)
+
+
+def _gain(grade: Column, rank: Column) -> Column:
+    return (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1.0)
+
+
+def _metrics(hits: DataFrame, ideal: DataFrame, query: str, rank: str, grade: str, ks: tuple[int, ...]) -> DataFrame:
+    """The figures of queries that have something relevant, from what they found of it and from the best order: (query, __n, __i)."""
     got = hits.groupBy(query).agg(
         *[F.count(F.when(F.col(rank) <= k, 1)).alias(f"__h{k}") for k in ks],
         F.min(F.when(F.col(rank) <= 10, F.col(rank))).alias("__r"),
-        F.sum(F.when(F.col(rank) <= 10, gain(F.col(grade), F.col(rank)))).alias("__d"),
+        F.sum(F.when(F.col(rank) <= 10, _gain(F.col(grade), F.col(rank)))).alias("__d"),
     )
-    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(grade), item))
-    ideal = relevant.withColumn("__p", place).groupBy(query).agg(F.count("*").alias("__n"), F.sum(F.when(F.col("__p") <= 10, gain(F.col(grade), F.col("__p")))).alias("__i"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return ideal.join(got, query, "left").select(
         query,

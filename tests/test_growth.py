@@ -1,10 +1,12 @@
 """Steps that must not grow faster than their tables: what their plans have, beside the same rows."""
 
-import pytest
+import re
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from compare import SMALL, assert_same
-from quire.operators import replies
+from quire.operators import replies, search, vector_index, windows
 from quire.plans import all as library
 
 
@@ -24,3 +26,32 @@ def test_rewritten_relations_broadcast_no_books(spark):
     assert "Broadcast" not in plan(got)
     assert sorted(map(tuple, got.collect()), key=str) == [(1, "a", "b", "new", 3.0), (1, "a", "c", "alone", 0.0), (2, "x", "y", "k", 1.0), (3, "c", "d", None, 2.0)]
     same_as_sql(spark, "rewritten_relations")
+
+
+def test_ranking_metrics_make_no_pairs(spark):
+    got = library.QUERIES["ranking_metrics"](spark, SMALL)
+    assert not re.search(r"Join.* NOT \(vec_id", plan(got))
+    assert_same(got, library.ORACLE_SQL["ranking_metrics"])
+
+
+def test_exact_cosine_is_that_of_columns(spark):
+    rows = [(i, [float(i % 7 - 3), float(i % 5), float(i % 3)]) for i in range(60)] + [(60, None), (61, [1.0, None, 2.0]), (62, [0.0] * 3), (63, [float("nan"), 1.0, 1.0])]
+    v = spark.createDataFrame(rows, "k long, v array<float>")
+    asked = v.filter("k in (0, 7, 50, 60, 62, 63)")
+    both = v.join(asked.select(F.col("k").alias("q"), F.col("v").alias("w")), F.col("k") != F.col("q"))
+    scored = both.select("q", "k", F.round(search.cosine(F.col("w"), F.col("v")), 6).alias("s"))
+    for top in (5, 62):
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "k"))
+        want = scored.withColumn("r", rank).filter(F.col("r") <= top)
+        got = vector_index.exact_cosine(v, "k", asked, "k", "v", top).select("query", "key", "score", "rank")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.toDF("query", "key", "score", "rank").collect()))
+
+
+def test_metrics_by_label_are_those_of_pairs(spark):
+    items = spark.createDataFrame([(i, None if i == 9 else i % 3, 1 + i % 2) for i in range(40)] + [(40, 7, 1)], "i long, label int, g int")
+    queries = items.filter("i in (0, 4, 9, 40)").select(F.col("i").alias("q"), "label")
+    ranked = spark.createDataFrame([(q, (q + 3 * k) % 41, k) for q in (0, 4, 9, 40) for k in range(1, 31)], "q long, i long, rank int").filter("q <> i")
+    relevant = items.join(queries, "label").filter("q <> i").select("q", "i", "g")
+    want = windows.ranking_metrics(ranked, relevant, "q", "i", "rank", "g")
+    got = windows.ranking_metrics_by_label(ranked, queries, items, "q", "i", "rank", "label", "g")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
