@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column
@@ -82,20 +83,49 @@ def layout_type(html: Column, text: Column, chars: Column, kind: Column) -> Colu
 
 
 _NO_CONTENT = regex.compile("[^" + CONTENT[1:])
+_NO_CONTENT_ASCII = bytes(i for i in range(128) if _NO_CONTENT.match(chr(i)))
 _SPACES = regex.compile(r"\s+")
+_SPACES_ASCII = bytes(i for i in range(128) if _SPACES.match(chr(i)))
+GRAM, GRAM_TIMES = 12, 8
+
+
+def _without(text: str, pattern: regex.Pattern, signs: bytes) -> str:
+    """What a pattern leaves of a text; `signs` are the ASCII characters that it matches."""
+    return text.encode().translate(None, signs).decode() if text.isascii() else pattern.sub("", text)
+
+
+def _content(text: str) -> str:
+    return _without(text, _NO_CONTENT, _NO_CONTENT_ASCII)
 
 
 def repeats(text: str) -> bool:
     """Whether a line of ten content characters comes three times, one of forty twice, two neighbouring lines of forty
     together twice, or some twelve content characters eight times."""
-    size = lambda x: len(_NO_CONTENT.sub("", x))
-    lines = [x for x in (_SPACES.sub("", line) for line in text.splitlines()) if size(x) >= 10]
-    if any(n >= 3 or n == 2 and size(x) >= 40 for x, n in Counter(lines).items() if n > 1):
+    compacted = (_without(line, _SPACES, _SPACES_ASCII) for line in text.splitlines())
+    lines = [x for x in compacted if len(x) >= 10 and len(_content(x)) >= 10]
+    if any(n >= 3 or n == 2 and len(_content(x)) >= 40 for x, n in Counter(lines).items() if n > 1):
         return True
-    if any(n > 1 for n in Counter(x for x in map("".join, zip(lines, lines[1:])) if size(x) >= 40).values()):
+    if any(n > 1 and len(_content(x)) >= 40 for x, n in Counter(map("".join, zip(lines, lines[1:]))).items()):
         return True
-    content = _NO_CONTENT.sub("", text)
-    return max(Counter(content[i : i + 12] for i in range(len(content) - 11)).values(), default=0) >= 8
+    return _gram_repeats(_content(text))
+
+
+def _gram_repeats(content: str) -> bool:
+    """Whether some GRAM characters come GRAM_TIMES; hashes of all places are sorted, and only grams whose hash comes as often are counted."""
+    places = len(content) - GRAM + 1
+    if places < GRAM_TIMES:
+        return False
+    codes = np.frombuffer(content.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    hashes = np.zeros(places, np.uint64)
+    for i in range(GRAM):
+        hashes *= np.uint64(0x9E3779B97F4A7C15)
+        hashes += codes[i : i + places]
+    ordered = np.sort(hashes)
+    often = ordered[GRAM_TIMES - 1 :][ordered[GRAM_TIMES - 1 :] == ordered[: 1 - GRAM_TIMES]]
+    if not len(often):
+        return False
+    at = np.flatnonzero(np.isin(hashes, np.unique(often))).tolist()
+    return max(Counter(content[i : i + GRAM] for i in at).values()) >= GRAM_TIMES
 
 
 @F.arrow_udf(BooleanType())
@@ -106,18 +136,27 @@ def has_repetition(texts: pa.Array) -> pa.Array:
 
 def more_complete(primary: Column, external: Column) -> Column:
     """Whether the other candidate keeps materially more text: 256 characters at least in the first, 30 more, and 2 per cent."""
-    a, b = F.length(compact(primary)), F.length(compact(external))
+    return _more_complete(compact(primary), compact(external))
+
+
+def _more_complete(primary: Column, external: Column) -> Column:
+    a, b = F.length(primary), F.length(external)
     return (a >= 256) & (b - a >= 30) & (b >= a * 1.02)
 
 
-def repetition_fallback(primary: Column, external: Column) -> Column:
-    """Whether the other candidate can stand in for one that repeats itself."""
-    return has_repetition(primary) & (F.length(compact(external)) >= 256) & ~has_repetition(external)
+def repetition_fallback(primary: Column, external: Column, compacted: Column | None = None) -> Column:
+    """Whether the other candidate can stand in for one that repeats itself. `compacted` is the other one's `compact`, if it is
+    there already."""
+    primary, external = (F.coalesce(x, F.lit("")) for x in (primary, external))
+    return has_repetition(primary) & (F.length(compact(external) if compacted is None else compacted) >= 256) & ~has_repetition(external)
 
 
 def terms(text: Column) -> Column:
     """Names before an honorific, and long katakana words."""
-    t = compact(text)
+    return _terms(compact(text))
+
+
+def _terms(t: Column) -> Column:
     return F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit(HONORIFIC_NAME), F.lit(1)), F.regexp_extract_all(t, F.lit(KATAKANA), F.lit(0))))
 
 
@@ -131,8 +170,7 @@ def one_letter_variant(a: Column, b: Column) -> Column:
     return F.exists(left, lambda x: F.exists(right, lambda y: (F.length(x) == F.length(y)) & (apart(x, y) == 1)))
 
 
-def _overlay(text: Column) -> Column:
-    t = compact(text)
+def _overlay(t: Column) -> Column:
     has = lambda x: F.contains(t, F.lit(x))
     out = F.contains(F.lower(t), F.lit(OVERLAY))
     for a, b in OVERLAY_PAIRS:
@@ -140,21 +178,23 @@ def _overlay(text: Column) -> Column:
     return out
 
 
-def risk_flags(kind: Column, text: Column, chars: Column, primary: Column, external: Column) -> Column:
-    """Reasons for a review of a page, in the order of their names."""
+def risk_flags(kind: Column, text: Column, chars: Column, primary: Column, external: Column, compacted: tuple[Column, Column, Column] | None = None) -> Column:
+    """Reasons for a review of a page, in the order of their names. `compacted` has `compact` of text, primary and external if
+    they are there already, for long texts: each is read by several rules."""
     text, primary, external = (F.coalesce(x, F.lit("")) for x in (text, primary, external))
-    n = F.greatest(chars, F.length(compact(text)))
-    most = F.greatest(F.length(compact(primary)), F.length(compact(external)))
-    told = (kind == "narrative") & (compact(primary) != "") & (compact(external) != "")
+    t, p, e = compacted or map(compact, (text, primary, external))
+    n = F.greatest(chars, F.length(t))
+    most = F.greatest(F.length(p), F.length(e))
+    told = (kind == "narrative") & (p != "") & (e != "")
     flags = {
         "candidate_content_conflict": (n < 30) & (most >= 300),
         "external_text_repetition": has_repetition(external),
-        "named_entity_candidate_disagreement": told & one_letter_variant(terms(primary), terms(external)),
+        "named_entity_candidate_disagreement": told & one_letter_variant(_terms(p), _terms(e)),
         "page_type_text_conflict": (kind != "narrative") & (F.greatest(n, most) >= 300),
         "primary_text_repetition": has_repetition(primary),
         "selected_text_repetition": has_repetition(text),
-        "ui_overlay_text_detected": _overlay(primary) | _overlay(external) | _overlay(text),
-        "unselected_external_candidate_more_complete": told & (compact(text) != compact(external)) & more_complete(primary, external),
+        "ui_overlay_text_detected": _overlay(p) | _overlay(e) | _overlay(t),
+        "unselected_external_candidate_more_complete": told & (t != e) & _more_complete(p, e),
     }
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in flags.items()]))
 

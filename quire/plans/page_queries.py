@@ -88,8 +88,9 @@ EXTERNAL = "CASE doc_id % 4 WHEN 0 THEN text || text WHEN 1 THEN substr(text, 1,
 )
 def risk_flags(spark, d):
     p = table(spark, d, "documents").select("doc_id", "text", F.expr(EXTERNAL).alias("e"))
-    flags = rules.risk_flags(F.lit("narrative"), F.col("text"), F.lit(0), F.col("text"), F.col("e"))
-    return p.select("doc_id", F.array_join(flags, ",").alias("flags"), rules.repetition_fallback(F.col("text"), F.col("e")).alias("fallback"))
+    p = p.select("*", rules.compact(F.col("text")).alias("ct"), rules.compact(F.col("e")).alias("ce"))
+    flags = rules.risk_flags(F.lit("narrative"), F.col("text"), F.lit(0), F.col("text"), F.col("e"), (F.col("ct"), F.col("ct"), F.col("ce")))
+    return p.select("doc_id", F.array_join(flags, ",").alias("flags"), rules.repetition_fallback(F.col("text"), F.col("e"), F.col("ce")).alias("fallback"))
 
 
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN lang ELSE source END AS selected FROM documents")

@@ -1,11 +1,14 @@
 """Steps that must not grow faster than their tables: what their plans have, beside the same rows."""
 
+import random
 import re
+from collections import Counter
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from compare import SMALL, assert_same
+from quire.functions import pages
 from quire.operators import replies, search, vector_index, windows
 from quire.plans import all as library
 
@@ -55,3 +58,38 @@ def test_metrics_by_label_are_those_of_pairs(spark):
     want = windows.ranking_metrics(ranked, relevant, "q", "i", "rank", "g")
     got = windows.ranking_metrics_by_label(ranked, queries, items, "q", "i", "rank", "label", "g")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_repeats_is_that_of_the_plain_form():
+    def plain_form(text):
+        content = lambda x: pages._NO_CONTENT.sub("", x)
+        lines = [x for x in (pages._SPACES.sub("", line) for line in text.splitlines()) if len(content(x)) >= 10]
+        if any(n >= 3 or n == 2 and len(content(x)) >= 40 for x, n in Counter(lines).items()):
+            return True
+        if any(n > 1 for n in Counter(x for x in map("".join, zip(lines, lines[1:])) if len(content(x)) >= 40).values()):
+            return True
+        c = content(text)
+        return max(Counter(c[i : i + 12] for i in range(len(c) - 11)).values(), default=0) >= 8
+
+    chance, found = random.Random(3), set()
+    for _ in range(1500):
+        signs = chance.choice(["ab", "abc d.", "あ漢 ー　b", "a\x1c\x1f\x85\xa0b 9_"])
+        text = "".join(chance.choice(signs) for _ in range(chance.randrange(120))) * chance.choice([1, 1, 7, 8])
+        text = "\n".join([text[i : i + 30] for i in range(0, len(text), 30)] * chance.choice([1, 1, 2, 3]))
+        assert pages.repeats(text) == plain_form(text)
+        found.add(pages.repeats(text))
+    assert found == {True, False}
+
+
+def test_risk_flags_read_each_text_once_for_repetition(spark):
+    got = library.QUERIES["risk_flags"](spark, SMALL)
+    calls = set(re.findall(r"has_repetition\([^)]*\)[^#]*#\d+", plan(got).split("ArrowEvalPython")[1].split("\n")[0]))
+    assert len(calls) == 2
+    same_as_sql(spark, "risk_flags")
+
+
+def test_claim_evidence_of_texts_that_are_null(spark, tmp_path):
+    rows = [(1, 0, None), (1, 1, None), (1, 2, "abc"), (2, 0, "ab, cd"), (2, 1, "xbcd"), (2, 2, None), (2, 3, ""), (2, 4, "𝒳bc d"), (3, 0, ""), (3, 1, "a")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    same_as_sql(spark, "claim_evidence", str(tmp_path))
+    same_as_sql(spark, "claim_evidence")
