@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 
 @F.arrow_udf(StringType())
@@ -290,13 +291,32 @@ def valid_box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 def bigram_overlap(a: Column, b: Column) -> Column:
-    """Distinct pairs of neighbouring characters that both have, after punctuation and white space are gone."""
-
-    def grams(x: Column) -> Column:
-        t = F.regexp_replace(x, r"(?U)[\p{P}\s]+", "")
-        return F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(2)))))
-
-    return F.size(F.array_intersect(grams(a), grams(b)))
+    """Distinct pairs of neighbouring characters that both have, after punctuation and white space are gone; null where a text is."""
+    return _shared_pairs(*[F.regexp_replace(x, r"(?U)[\p{P}\s]+", "") for x in (a, b)])
+
+
+def _pairs(text: str) -> np.ndarray:
+    """The distinct pairs of neighbouring characters as numbers, in order."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    pairs = np.sort(codes[:-1] << 21 | codes[1:])
+    return pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))] if len(pairs) else pairs
+
+
+@F.arrow_udf(IntegerType())
+def _shared_pairs(a: pa.Array, b: pa.Array) -> pa.Array:
+    """A text that comes in rows one after another, as one side of a join does, is taken apart once."""
+    last, mine, out = None, None, []
+    for x, y in zip(a, b):
+        x, y = x.as_py(), y.as_py()
+        if x is None or y is None:
+            out.append(None)
+            continue
+        if x != last:
+            last, mine = x, _pairs(x)
+        theirs = _pairs(y)
+        at = np.searchsorted(mine, theirs)
+        out.append(int((mine[np.minimum(at, len(mine) - 1)] == theirs).sum()) if len(mine) else 0)
+    return pa.array(out, pa.int32())
 
 
 # Signs that count as punctuation, and small kana. Fixed values.
