@@ -41,7 +41,7 @@ def word_search(spark, d):
 )
 def gram_index(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return postings.index(docs, "doc_id", postings.grams(F.col("text"))).groupBy("token").agg(F.count("*").alias("pages"), F.sum("tf").alias("total"))
+    return postings.index(docs, "doc_id", postings.words(F.col("text")), (2, 3)).groupBy("token").agg(F.count("*").alias("pages"), F.sum("tf").alias("total"))
 
 
 @query(

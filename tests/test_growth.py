@@ -4,13 +4,15 @@ import random
 import re
 from collections import Counter
 
+import regex
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from compare import SMALL, assert_same
 from quire.functions import pages
-from quire.operators import replies, search, vector_index, windows
+from quire.operators import postings, replies, search, text_index, vector_index, windows
 from quire.plans import all as library
+from quire.sources.publications import Publication
 
 
 def plan(df) -> str:
@@ -93,3 +95,34 @@ def test_claim_evidence_of_texts_that_are_null(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     same_as_sql(spark, "claim_evidence", str(tmp_path))
     same_as_sql(spark, "claim_evidence")
+
+
+def test_postings_are_counted_where_a_page_is_read(spark):
+    rows = [(1, "Ab ab abc"), (2, None), (3, ""), (4, "𝒳é漢字 x " + "y" * 41), (5, "a " * 30)]
+    docs = spark.createDataFrame(rows, "k long, text string")
+    for sizes, tokens in (((), lambda ws: ws), ((2, 3), lambda ws: [w[i : i + n] for w in ws for n in (2, 3) for i in range(len(w) - n + 1)])):
+        got = postings.index(docs, "k", postings.words(F.col("text")), sizes)
+        assert "Exchange" not in plan(got)
+        words = {k: [w for w in regex.findall(r"[\p{L}\p{N}]+", (t or "").lower()) if len(w) <= 40] for k, t in rows}
+        want = [(t, k, n, len(tokens(ws))) for k, ws in words.items() for t, n in Counter(tokens(ws)).items()]
+        assert sorted(map(tuple, got.select("token", "k", "tf", "length").collect())) == sorted(want)
+    for name in ("gram_index", "index_refresh", "postings_index"):
+        same_as_sql(spark, name)
+
+
+def test_text_index_deals_texts_and_not_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "SEGMENT", 3)
+    docs = spark.createDataFrame([(i, None if i == 5 else "b a " * (i % 4) + f"w{i}") for i in range(20)], "k long, t string")
+    at = Publication(spark, f"file://{tmp_path}/index")
+    dealt = []
+    publish = at.publish
+    at.publish = lambda tables, *a, **b: dealt.append(tables["postings"]) or publish(tables, *a, **b)
+    text_index.build(at, docs, "k", "t", buckets=4)
+    assert plan(dealt[0]).count("Exchange") == 2 and "collect_list" not in plan(dealt[0])
+    got = [(r.token, k, n, length, list(p)) for r in at.read("postings").collect() for k, n, length, p in zip(r["keys"], r.tf, r.lengths, r.positions)]
+    texts = {r.k: (r.t or "").split() for r in docs.collect()}
+    want = [(w, k, ws.count(w), len(ws), [i for i, x in enumerate(ws) if x == w]) for k, ws in texts.items() for w in set(ws)]
+    assert sorted(got) == sorted(want)
+    blocks = at.read("postings").collect()
+    assert all(r["keys"] == sorted(r["keys"]) and r.most == max(r.tf) and r.shortest == min(r.lengths) and r.docs == len(r.tf) for r in blocks)
+    assert len({(r.token, r.segment) for r in blocks}) == len(blocks)
