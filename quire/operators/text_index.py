@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from quire.sources.writers import Conflict
 
 #: Documents of one segment, about.
 SEGMENT = 1000
+#: Segments that a task writes, about: each task has a file in each folder that its words go to.
+TASK = 64
 #: Segments that are scored before the bound of the others is known.
 FIRST = 16
 #: Segments whose numbers may stand in a filter; more are joined.
@@ -45,45 +49,65 @@ def add(at: Publication, docs: DataFrame, key: str, text: str) -> int:
 def _write(at: Publication, docs: DataFrame, key: str, text: str, buckets: int, first: int, expected: int | None, append: bool) -> int:
     count = docs.count()
     segments = max(1, -(-count // SEGMENT))
-    rows = docs.select(F.col(key).alias("key"), (F.pmod(F.xxhash64(key), F.lit(segments)) + first).cast("int").alias("segment"), words(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    kind = rows.schema["key"].dataType.simpleString()
-    placed = rows.mapInArrow(_places, f"segment int, token string, key {kind}, length int, positions array<int>")
-    block = F.array_sort(F.collect_list(F.struct("key", "length", "positions")))
-    blocks = placed.groupBy("token", "segment").agg(block.alias("found"))
-    longest = lambda x: F.size(x["positions"])
-    blocks = blocks.select(
-        F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("bucket"),
-        "token",
-        "segment",
-        F.size("found").alias("docs"),
-        F.array_max(F.transform("found", longest)).alias("most"),
-        F.array_min(F.transform("found", lambda x: x["length"])).alias("shortest"),
-        F.transform("found", lambda x: x["key"]).alias("keys"),
-        F.transform("found", lambda x: x["length"]).alias("lengths"),
-        F.transform("found", longest).alias("tf"),
-        F.transform("found", lambda x: x["positions"]).alias("positions"),
-    )
-    dealt = blocks.repartition("bucket", F.pmod(F.col("segment"), F.lit(4))).sortWithinPartitions("bucket", "token", "segment")
-    sizes = rows.groupBy("segment").agg(F.count("*").alias("docs"), F.sum(F.size("words")).alias("words"))
+    texts = docs.select(F.col(key).alias("key"), (F.pmod(F.xxhash64(key), F.lit(segments)) + first).cast("int").alias("segment"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kind = texts.schema["key"].dataType.simpleString()
+    # texts are dealt, which are shorter than their postings; a segment's blocks are then made and written where it lies
+    tasks = min(segments, max(2 * at.spark.sparkContext.defaultParallelism, -(-segments // TASK)))
+    placed = texts.repartition(tasks, "segment").sortWithinPartitions("segment", "key").select("segment", "key", words(F.col("text")).alias("words"))
+    blocks = placed.mapInArrow(_blocks, f"token string, segment int, docs int, most int, shortest int, keys array<{kind}>, lengths array<int>, tf array<int>, positions array<array<int>>")
+    blocks = blocks.select(F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("bucket"), "*")
+    ordered = blocks.sortWithinPartitions("bucket", "token", "segment")
+    sizes = texts.select("segment", F.size(words(F.col("text"))).alias("words")).groupBy("segment").agg(F.count("*").alias("docs"), F.sum("words").alias("words"))
     settings = at.spark.createDataFrame([(RULE, buckets, segments)], "rule string, buckets int, segments int").coalesce(1)
     lost = {"segments that miss documents": lambda tables: tables["segments"].agg(F.sum("docs").alias("n")).filter(F.lit(not append) & (F.coalesce("n", F.lit(0)) != count))}
-    return at.publish({"postings": dealt, "segments": sizes, "settings": settings}, lost, {"postings": "bucket"}, expected=expected, append=append)
+    return at.publish({"postings": ordered, "segments": sizes, "settings": settings}, lost, {"postings": "bucket"}, expected=expected, append=append)
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, segment, words) to one row for each word of a document, with the places where it stands."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (segment, key, words), sorted by the first two, to the blocks of each segment. One segment is held at a time."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for row in range(batch.num_rows):  # one document at a time: a batch of long ones is as long as its longest
-            found = batch.column("words").slice(row, 1).flatten()
-            if not len(found):
+        segments = batch.column("segment").to_numpy()
+        cuts = np.flatnonzero(segments[1:] != segments[:-1]) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if a == b:
                 continue
-            coded = found.dictionary_encode()
-            at = pa.table({"w": coded.indices, "i": pa.array(range(len(found)), pa.int32())}).group_by("w", use_threads=False).aggregate([("i", "list")])
-            same = pa.array([0] * at.num_rows, pa.int32())
-            yield pa.record_batch(
-                [batch.column("segment").slice(row, 1).take(same), coded.dictionary.take(at.column("w").combine_chunks()), batch.column("key").slice(row, 1).take(same), pa.array([len(found)] * at.num_rows, pa.int32()), at.column("i_list").combine_chunks()],
-                names=["segment", "token", "key", "length", "positions"],
-            )
+            if held and held[-1].column("segment")[0].as_py() != segments[a]:
+                yield from _blocks_of(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from _blocks_of(held)
+
+
+def _blocks_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each word of a segment: its documents in order, and in each the places where it stands."""
+    rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    lengths = pc.list_value_length(rows.column("words")).to_numpy(zero_copy_only=False).astype(np.int32)
+    coded = rows.column("words").flatten().dictionary_encode()
+    if not len(coded):
+        return
+    word = coded.indices.to_numpy()
+    doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(lengths, dtype=np.int64) - lengths, lengths)
+    order = np.argsort(word, kind="stable")  # words stand by document and place already
+    word, doc, place = word[order], doc[order], place[order].astype(np.int32)
+    new = np.concatenate(([True], (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])))
+    runs = np.flatnonzero(new)  # a word in a document
+    tf = np.diff(np.append(runs, len(word))).astype(np.int32)
+    word, doc = word[runs], doc[runs]
+    starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    ends = np.append(starts[1:], len(word))
+    key, length = rows.column("key").take(pa.array(doc)), lengths[doc]
+    offsets = pa.array(np.append(starts, len(word)).astype(np.int32))
+    lists = lambda values: pa.ListArray.from_arrays(offsets, values)
+    places = pa.ListArray.from_arrays(pa.array(np.append(runs, len(place)).astype(np.int32)), pa.array(place))
+    numbers = [np.full(len(starts), rows.column("segment")[0].as_py()), ends - starts, np.maximum.reduceat(tf, starts), np.minimum.reduceat(length, starts)]
+    out = pa.record_batch(
+        [coded.dictionary.take(pa.array(word[starts])), *[pa.array(n, pa.int32()) for n in numbers], lists(key), lists(pa.array(length)), lists(pa.array(tf)), lists(places)],
+        names=["token", "segment", "docs", "most", "shortest", "keys", "lengths", "tf", "positions"],
+    )
+    yield from (out.slice(i, 2000) for i in range(0, out.num_rows, 2000))
 
 
 def _settings(at: Publication) -> dict:
