@@ -12,6 +12,7 @@ from compare import SMALL, assert_same
 from quire.functions import pages
 from quire.operators import postings, replies, search, text_index, vector_index, windows
 from quire.plans import all as library
+from quire.sources import publications
 from quire.sources.publications import Publication
 
 
@@ -126,3 +127,13 @@ def test_text_index_deals_texts_and_no_postings(spark, tmp_path, monkeypatch):
     blocks = at.read("postings").collect()
     assert all(r["keys"] == sorted(r["keys"]) and r.most == max(r.tf) and r.shortest == min(r.lengths) and r.docs == len(r.tf) for r in blocks)
     assert len({(r.token, r.segment) for r in blocks}) == len(blocks)
+
+
+def test_a_part_is_read_back_once_when_it_is_published(spark, tmp_path, monkeypatch):
+    reads, real = [], publications.digest
+    monkeypatch.setattr(publications, "digest", lambda df: reads.append("digest") or real(df))
+    monkeypatch.setattr(type(spark.range(1)), "count", lambda df: reads.append("count"))
+    at = Publication(spark, f"file://{tmp_path}/p")
+    at.publish({"t": spark.range(7), "none": spark.range(0)})
+    assert reads == ["digest", "digest"]
+    assert {n: t["parts"][0]["rows"] for n, t in at.current()["tables"].items()} == {"t": 7, "none": 0}
