@@ -17,11 +17,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.pretoken import Spans, in_chunks, spread
+from quire.llm.pretoken import Remembered, encoded
 from quire.llm.workspace import schema_with, slices, with_columns
 
-#: Misses that a worker remembers; then it forgets all.
-REMEMBERED = 150_000
+#: Pre-tokens that a worker remembers the ids of, about 30 bytes each.
+REMEMBERED = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -131,7 +131,7 @@ class Codec:
         self.ids = [i.to_bytes(4, "little") for i in ranks.values()]
         self.pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.hash = PerfectHash(self.tokens)
-        self.missed: dict[bytes, bytes] = {}
+        self.known = Remembered(REMEMBERED)
         self.by_id: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.by_id[i] = token
@@ -139,35 +139,14 @@ class Codec:
     def __len__(self) -> int:
         return len(self.tokens)
 
-    def _ids(self, unique: list[bytes]) -> list[bytes]:
-        entry = self.hash.order[self.hash.slots(unique)].tolist() if unique else []
-        out = []
-        for token, e in zip(unique, entry):
-            if self.tokens[e] == token:
-                out.append(self.ids[e])
-            else:
-                found = self.missed.get(token)
-                if found is None:
-                    if len(self.missed) >= REMEMBERED:
-                        self.missed.clear()
-                    found = np.array(merge(token, self.ranks, self.pairs), "<u4").tobytes()
-                    if len(token) <= 64:
-                        self.missed[token] = found
-                out.append(found)
-        return out
+    def _ids(self, new: list[str]) -> list[bytes]:
+        unique = [t.encode() for t in new]
+        entry = self.hash.order[self.hash.slots(unique)].tolist()
+        return [self.ids[e] if self.tokens[e] == token else np.array(merge(token, self.ranks, self.pairs), "<u4").tobytes() for token, e in zip(unique, entry)]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        held: list[np.ndarray] = []
-        for parts, last in in_chunks(texts):
-            spans = Spans(parts)
-            ids, ends = spread(spans.codes, self._ids(spans.unique))
-            upto = np.concatenate(([0], ends))[spans.ends]
-            for a, b, whole in zip(np.concatenate(([0], upto[:-1])).tolist(), upto.tolist(), last):
-                held.append(ids[a:b])
-                if whole:
-                    yield held[0] if len(held) == 1 else np.concatenate(held)
-                    held = []
+        return encoded(texts, self.known, self._ids)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.by_id.__getitem__, ids.tolist()))

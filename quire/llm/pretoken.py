@@ -8,7 +8,7 @@ of which the last character goes to what follows. Each rule becomes an operation
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,12 +44,12 @@ def pieces(text: str, limit: int = CHUNK) -> Iterator[str]:
 
 
 class Spans:
-    """Pre-tokens of several texts: `codes` has a number for each pre-token in order, `unique` the bytes of each
-    number, `ends` for each text the count of pre-tokens up to its end."""
+    """Pre-tokens of several texts: `codes` has a number for each pre-token in order, `hashes` the hash of each number,
+    `ends` for each text the count of pre-tokens up to its end."""
 
     def __init__(self, texts: list[str]):
-        joined = "\0".join(texts) + "\0"
-        cps = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        self.joined = "\0".join(texts) + "\0"
+        cps = np.frombuffer(self.joined.encode("utf-32-le"), "<u4")
         kinds = char_classes()[cps]
         edges = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
         kinds[edges] = EDGE
@@ -59,14 +59,74 @@ class Spans:
         real = kinds[at] != EDGE
         self.ends = np.searchsorted(at[real], edges)
         at, upto = at[real], upto[real]
-        self.codes, _ = pd.factorize(_span_hashes(cps, at, upto))
-        n = int(self.codes.max()) + 1 if len(self.codes) else 0
-        first = np.zeros(n, np.int64)
+        self.codes, self.hashes = pd.factorize(_span_hashes(cps, at, upto))
+        first = np.zeros(len(self.hashes), np.int64)
         first[self.codes[::-1]] = np.arange(len(self.codes))[::-1]
-        width = 1 + (cps >= 0x80).astype(np.int64) + (cps >= 0x800) + (cps >= 0x10000)
-        offset = np.concatenate(([0], np.cumsum(width)))
-        data = joined.encode()
-        self.unique = [data[a:b] for a, b in zip(offset[at[first]].tolist(), offset[upto[first]].tolist())]
+        self.at, self.upto = at[first], upto[first]
+
+    def of(self, numbers: np.ndarray) -> list[str]:
+        """The pre-tokens of some numbers."""
+        return [self.joined[a:b] for a, b in zip(self.at[numbers].tolist(), self.upto[numbers].tolist())]
+
+
+class Remembered:
+    """Ids of at most `limit` pre-tokens by their hashes, in sorted arrays: a large table and one of the latest, which is
+    added to it now and then. When the large one is full it goes, and the latest stay. Those of over LONGEST characters are not kept."""
+
+    LONGEST = 64
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.tables = [_Table(), _Table()]
+
+    def ids(self, spans: Spans, make: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each number of spans, one after the other, and how many each has; `make` gives the packed ids of unknown ones."""
+        left, order, found = np.arange(len(spans.hashes)), [], []
+        for table in self.tables:
+            at = table.find(spans.hashes[left])
+            order.append(left[at >= 0])
+            found.append(table.take(at[at >= 0]))
+            left = left[at < 0]
+        made = make(spans.of(left)) if len(left) else []
+        n = np.fromiter(map(len, made), np.int64, len(made)) >> 2
+        order.append(left)
+        found.append((np.frombuffer(b"".join(made), "<u4"), n))
+        self._keep(spans, left, *found[-1])
+        place = np.empty(len(spans.hashes), np.int64)
+        place[np.concatenate(order)] = np.arange(len(place))
+        return repeated(np.concatenate([ids for ids, _ in found]), np.concatenate([n for _, n in found]), place)
+
+    def _keep(self, spans: Spans, numbers: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        short = spans.upto[numbers] - spans.at[numbers] <= self.LONGEST
+        large, latest = self.tables
+        latest = latest.with_more(spans.hashes[numbers[short]], ids[np.repeat(short, n)], n[short])
+        if len(latest.hashes) > self.limit // 8:
+            large, latest = (latest if len(large.hashes) + len(latest.hashes) > self.limit else large.with_more(latest.hashes, *latest.take(slice(None)))), _Table()
+        self.tables = [large, latest]
+
+
+class _Table:
+    """Sorted hashes; the ids of each are n of `flat` from `begin`."""
+
+    def __init__(self, hashes=np.zeros(0, np.uint64), begin=np.zeros(0, np.int64), n=np.zeros(0, np.int32), flat=np.zeros(0, "<u4")):
+        self.hashes, self.begin, self.n, self.flat = hashes, begin, n, flat
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def take(self, at: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        n = self.n[at].astype(np.int64)
+        return self.flat[_places(self.begin[at], n)], n
+
+    def with_more(self, hashes: np.ndarray, ids: np.ndarray, n: np.ndarray) -> _Table:
+        hashes = np.concatenate((self.hashes, hashes))
+        begin = np.concatenate((self.begin, np.cumsum(n) - n + len(self.flat)))
+        order = np.argsort(hashes, kind="stable")
+        return _Table(hashes[order], begin[order], np.concatenate((self.n, n.astype(np.int32)))[order], np.concatenate((self.flat, ids)))
 
 
 def _begins(cps: np.ndarray, kinds: np.ndarray) -> np.ndarray:
@@ -128,12 +188,27 @@ def in_chunks(texts: list[str]) -> Iterator[tuple[list[str], list[bool]]]:
         yield parts, last
 
 
-def spread(codes: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """ids has the packed ids of each code. All ids in the order of codes, and where those of each code end."""
-    lens = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    begin = np.cumsum(lens) - lens
-    n = lens[codes]
+def _places(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n places from each begin on."""
     ends = np.cumsum(n)
-    at = np.repeat(begin[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-    return flat[at], ends
+    return np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def repeated(flat: np.ndarray, n: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Item i has n[i] ids, one item after the other in flat: the ids of the items of `codes` in that order, and how many each has."""
+    many = n[codes]
+    return flat[_places((np.cumsum(n) - n)[codes], many)], many
+
+
+def encoded(texts: list[str], known: Remembered, make: Callable[[list[str]], list[bytes]]) -> Iterator[np.ndarray]:
+    """The ids of each text; `make` gives the packed ids of pre-tokens that are not known."""
+    held: list[np.ndarray] = []
+    for parts, last in in_chunks(texts):
+        spans = Spans(parts)
+        ids, n = repeated(*known.ids(spans, make), spans.codes)
+        upto = np.concatenate(([0], np.cumsum(n)))[spans.ends]
+        for a, b, whole in zip(np.concatenate(([0], upto[:-1])).tolist(), upto.tolist(), last):
+            held.append(ids[a:b])
+            if whole:
+                yield held[0] if len(held) == 1 else np.concatenate(held)
+                held = []

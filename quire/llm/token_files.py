@@ -13,6 +13,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +22,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.pretoken import Spans, in_chunks, spread
+from quire.llm.pretoken import Remembered, encoded
 from quire.llm.workspace import materialize, slices
 
 LENGTH = 2048
 #: Sequences in a batch.
 BATCH = 64
-#: Pre-tokens that a worker remembers the ids of; then it forgets all.
-REMEMBERED = 400_000
+#: Pre-tokens that a worker remembers the ids of, from task to task, about 30 bytes each.
+REMEMBERED = 1_500_000
 
 MANIFEST = "part int, n_documents long, n_ids long, n_sequences long, tokens string, index string"
 
 
 class LibraryEncoder:
     """Ids by the tokenizers library. A byte-level tokenizer encodes each pre-token on its own, so the library gets
-    the distinct pre-tokens of many texts, each once, and a text's ids are those of its pre-tokens in order. With `added`,
+    the distinct pre-tokens of many texts that it has not had yet, and a text's ids are those of its pre-tokens in order. With `added`,
     the file's added tokens are found in a text first, as by the library; without, special ones are text like any other."""
 
     def __init__(self, spec: str, added: bool = False):
@@ -44,7 +45,7 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = not added
-        self.known: dict[bytes, bytes] = {}
+        self.known = Remembered(REMEMBERED)
         tokens = (json.loads(spec).get("added_tokens") or []) if added else []
         self.added = {t["content"]: np.array([t["id"]], np.uint32) for t in tokens if t["content"]}
         longest_first = sorted(self.added, key=len, reverse=True)
@@ -52,16 +53,9 @@ class LibraryEncoder:
         #: Tokens that take blanks beside them or ask for a word's edges are left to the library.
         self.by_library = any(t.get(flag) for t in tokens for flag in ("single_word", "lstrip", "rstrip"))
 
-    def _ids(self, unique: list[bytes]) -> list[bytes]:
-        new = [t for t in unique if t not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = unique
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for token, e in zip(some, self.tokenizer.encode_batch_fast([t.decode() for t in some], add_special_tokens=False)):
-                self.known[token] = np.array(e.ids, "<u4").tobytes()
-        return [self.known[t] for t in unique]
+    def _ids(self, new: list[str]) -> list[bytes]:
+        some = (new[i : i + 4096] for i in range(0, len(new), 4096))
+        return [np.array(e.ids, "<u4").tobytes() for x in some for e in self.tokenizer.encode_batch_fast(x, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if not self.cut:
@@ -80,16 +74,13 @@ class LibraryEncoder:
         return self.by_library and self.cut.search(text) is not None
 
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        held: list[np.ndarray] = []
-        for parts, last in in_chunks(texts):
-            spans = Spans(parts)
-            ids, ends = spread(spans.codes, self._ids(spans.unique))
-            upto = np.concatenate(([0], ends))[spans.ends]
-            for a, b, whole in zip(np.concatenate(([0], upto[:-1])).tolist(), upto.tolist(), last):
-                held.append(ids[a:b])
-                if whole:
-                    yield held[0] if len(held) == 1 else np.concatenate(held)
-                    held = []
+        return encoded(texts, self.known, self._ids)
+
+
+@lru_cache(1)
+def encoder_of(spec: str, added: bool) -> LibraryEncoder:
+    """The encoder of this process: a worker's tasks have one, and what it remembers."""
+    return LibraryEncoder(spec, added)
 
 
 def _splits_by_itself(spec: dict) -> bool:
@@ -156,7 +147,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, id_col: s
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        codec, (files, at) = LibraryEncoder(encoder.value, added), fs.FileSystem.from_uri(folder)
+        codec, (files, at) = encoder_of(encoder.value, added), fs.FileSystem.from_uri(folder)
         files.create_dir(at, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}"
         rows = start = 0

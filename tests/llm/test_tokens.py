@@ -154,3 +154,27 @@ def test_query_takes_added_tokens(spark, tmp_path):
     ids = np.array([64, 220, 50256, 275, 0], "<u4").tobytes()
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in op3_token_files(spark, str(tmp_path)).collect()}
     assert got[1] == (0, 5, zlib.crc32(ids)) and got[2][:2] == (5, 2)
+
+
+def test_pretokens_are_made_once_in_a_worker(monkeypatch):
+    with open(JSON, encoding="utf-8") as f:
+        spec = f.read()
+    made = []
+    real = token_files.LibraryEncoder._ids
+    monkeypatch.setattr(token_files.LibraryEncoder, "_ids", lambda self, new: made.extend(new) or real(self, new))
+    token_files.encoder_of.cache_clear()
+    for _ in range(3):  # as many tasks
+        list(token_files.encoder_of(spec, False).encode(["some words", " some", "words", "x" * 100]))
+    assert sorted(made) == [" some", " words", "some", "words", *["x" * 100] * 3]
+
+
+def test_what_is_forgotten_is_made_anew(library):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abé漢'1 \n") for _ in range(rnd.randrange(1, 9))) for _ in range(900)]
+    texts = [" ".join(rnd.choices(words[a : a + 60], k=50)) for a in range(0, 840, 6)] + ["y" * 70, ""]
+    codec = bpe.Codec(bpe.read_ranks(RANKS))
+    codec.known = pretoken.Remembered(64)
+    for _ in range(2):
+        got = [ids.tolist() for t in texts for ids in codec.encode([t])]
+        assert got == [library.encode_ordinary(t) for t in texts]
+    assert sum(len(t.hashes) for t in codec.known.tables) < 900
