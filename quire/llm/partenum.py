@@ -15,7 +15,7 @@ Sets with more are those that consist of shared text, near copies above all. The
 crowded signature; the crowds that this leaves in several components are signed anew by single shingles, without those
 that many of the crowds' sets have. What shares no rare shingle and can link all the same has few rare ones: such sets
 are held against pivots until each was one, and only pairs whose numbers of rare and frequent shingles and sketches (the
-parity of 512 cells) allow a link leave the join.
+parity of 512 cells) allow a link leave the join, in the first of the signatures that they share, and in few of the others.
 
 A candidate pair first has its *prints* compared: a set's features fall into about as many cells as it has features, and
 the print has four bits of a sum for each cell. A cell that differs holds a feature that differs, so a pair with more such
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
@@ -46,6 +46,8 @@ REMEMBERED = 60_000
 RARE = 16
 SKETCH = [f"s{i}" for i in range(8)]
 HOT_SHARE = 1000
+#: Signatures of a set before one of them, in which pairs are looked for that have met.
+BEFORE = 16
 #: Sets that one task compares with a pivot, about.
 MEMBERS = 500
 
@@ -383,12 +385,13 @@ def _components_of_rows(df: DataFrame, id_col: str, text_col: str, n: int, perce
     # then what is made of frequent shingles: a crowd that is still in several components is held against some of its
     # members as pivots, which then leave it, and against many more of them each time
     count = 16
+    open_rows = _renew(_with_earlier(open_rows), "crowded", open_rows)
     while not open_rows.isEmpty():
         open_rows = _renew(_divided(open_rows, labels), "crowded", open_rows)
         chosen = materialize(_pivots(open_rows, count, percent), "pivots")
         if chosen.isEmpty():
             break
-        near = open_rows.join(F.broadcast(chosen) if small_enough(chosen) else chosen, "sig").filter(_near_by_shape(percent))
+        near = open_rows.join(F.broadcast(chosen) if small_enough(chosen) else chosen, "sig").filter(_near_by_shape(percent)).filter("not arrays_overlap(earlier, a.earlier)")
         edges = near.select(F.least("a.class", "class").alias("a"), F.greatest("a.class", "class").alias("b")).distinct()
         labels = _contracted(docs, classes, _plausible(edges, classes, percent), labels, n, percent)
         left = open_rows.join(chosen.select("sig", F.col("a.class").alias("class")), ["sig", "class"], "left_anti").drop("label")
@@ -457,11 +460,19 @@ def _features(n: int):
     return run
 
 
+def _with_earlier(rows: DataFrame) -> DataFrame:
+    """The rows (sig, class, ...) with the last BEFORE signatures of the class that are smaller, as `earlier`. Near copies share
+    most of their signatures. Two sets that have one of them in common meet there, or in one before that, so they need
+    not meet here: in the smallest that both have nothing is left out. These lists stay as they are from round to round."""
+    order = Window.partitionBy("class").orderBy("sig").rowsBetween(-BEFORE, -1)
+    return rows.withColumn("earlier", F.collect_list("sig").over(order))
+
+
 def _pivots(rows: DataFrame, count: int, percent: int) -> DataFrame:
     """`count` members of each signature, the smallest in each of as many slices, of those that can be the one with the
     fewer rare shingles of a pair (an eighth of its own at 80 per cent)."""
     light = rows.filter(f"2 * {percent} * rare <= {100 - percent} * n_shingles")
-    best = light.groupBy("sig", F.pmod(F.xxhash64("class"), F.lit(count)).alias("slice")).agg(F.min(F.struct("class", "label", "n_shingles", "rare", *SKETCH)).alias("a"))
+    best = light.groupBy("sig", F.pmod(F.xxhash64("class"), F.lit(count)).alias("slice")).agg(F.min(F.struct("class", "label", "n_shingles", "rare", *SKETCH, "earlier")).alias("a"))
     return best.select("sig", "a")
 
 

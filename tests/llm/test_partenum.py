@@ -177,3 +177,18 @@ def test_near_copies_go_by_id_and_text(spark):
     assert [x for x in left if x[0] != 8] == sorted([(3, near), (5, b), (7, None), (7, ""), (7, ""), (None, "e f"), (None, "g h")], key=str)
     assert [x for x in left if x[0] == 8] in ([(8, "c d")], [(8, "C  D")])
     assert partenum.drop_near_copies(df.limit(0)).collect() == []
+
+
+def test_pairs_meet_once_in_crowds_that_are_alike(spark):
+    rnd = random.Random(11)
+    sigs = {c: {s for s in range(90) if rnd.random() < 0.9} if c < 15 else {rnd.randrange(90) for _ in range(3)} for c in range(30)}
+    row = {"n_shingles": 100, "rare": 0, **{s: 0 for s in partenum.SKETCH}}
+    rows = spark.createDataFrame([{"sig": s, "class": c, "label": c} | row for c in sigs for s in sigs[c]])
+    rows = partenum._with_earlier(rows)
+    near = rows.join(partenum._pivots(rows, 1 << 20, 80), "sig").filter(partenum._near_by_shape(80))
+    many = near.count()
+    met = near.filter("not arrays_overlap(earlier, a.earlier)").selectExpr("class", "a.class as pivot").collect()
+    assert {(r["class"], r["pivot"]) for r in met} == {(c, d) for c in sigs for d in sigs if c != d and sigs[c] & sigs[d]}
+    assert many > 8 * len(met)
+    alike = [r for r in met if max(r) < 15]
+    assert len(alike) == len(set(alike)) == 15 * 14
