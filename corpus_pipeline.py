@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each whole text, with their number and that of the bytes they decode to; a null text has none."""
     codec = bpe.ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    both = codec.round_trip(docs)
+    both = codec.round_trip(docs.select("doc_id", "source", "text"), keep_text=False)
     return both.select("doc_id", "source", bpe.n_tokens("token_ids").alias("n_tokens"), "token_ids", F.octet_length("decoded").cast("long").alias("n_bytes"))
 
 

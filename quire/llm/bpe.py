@@ -22,6 +22,8 @@ from quire.llm.workspace import schema_with, slices, with_columns
 
 #: Pre-tokens that a worker remembers the ids of, about 30 bytes each.
 REMEMBERED = 500_000
+#: Bytes of texts that are encoded before their ids leave the worker, about.
+SLICE = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -175,22 +177,24 @@ class ByteBPE:
     def decode(self, df: DataFrame, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
         return self._map(df, ids, {decoded: lambda codec, packed, _: (None if x is None else codec.decode(np.frombuffer(x, "<u4")) for x in packed)})
 
-    def round_trip(self, df: DataFrame, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
-        return self._map(df, text, {ids: lambda codec, texts, _: codec.encode([t or "" for t in texts]), decoded: lambda codec, _, found: map(codec.decode, found)})
+    def round_trip(self, df: DataFrame, text: str = "text", ids: str = "token_ids", decoded: str = "decoded", keep_text: bool = True) -> DataFrame:
+        """Both columns; without keep_text, the texts do not come back from the workers."""
+        return self._map(df, text, {ids: lambda codec, texts, _: codec.encode([t or "" for t in texts]), decoded: lambda codec, _, found: map(codec.decode, found)}, keep_text)
 
-    def _map(self, df: DataFrame, column: str, steps: dict) -> DataFrame:
+    def _map(self, df: DataFrame, column: str, steps: dict, keep: bool = True) -> DataFrame:
         broadcast = self.codec
+        kept = df if keep else df.drop(column)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = broadcast.value
-            for batch in slices(batches, column):
+            for batch in slices(batches, column, SLICE):
                 given, found, new = batch.column(column).to_pylist(), None, {}
                 for name, step in steps.items():
                     found = list(step(codec, given, found))
                     new[name] = pa.array([x.tobytes() if isinstance(x, np.ndarray) else x for x in found], pa.binary())
-                yield with_columns(batch, new)
+                yield with_columns(batch if keep else batch.drop_columns([column]), new)
 
-        return df.mapInArrow(run, schema_with(df, dict.fromkeys(steps, "binary")))
+        return df.mapInArrow(run, schema_with(kept, dict.fromkeys(steps, "binary")))
 
 
 def n_tokens(ids: str | Column) -> Column:

@@ -17,7 +17,7 @@ import regex
 
 LETTER, NUMBER, SPACE, OTHER, EDGE = range(5)
 #: Characters that are handled at once; a longer text is cut only where a pre-token must begin.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 

@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    both = codec.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    both = codec.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return both.select("doc_id", bpe.n_tokens("token_ids").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -178,3 +178,11 @@ def test_what_is_forgotten_is_made_anew(library):
         got = [ids.tolist() for t in texts for ids in codec.encode([t])]
         assert got == [library.encode_ordinary(t) for t in texts]
     assert sum(len(t.hashes) for t in codec.known.tables) < 900
+
+
+def test_texts_stay_with_the_workers(spark):
+    df = spark.createDataFrame([(1, "two words"), (2, None)], "doc_id long, text string")
+    codec = bpe.ByteBPE(spark, RANKS)
+    got = codec.round_trip(df, keep_text=False)
+    assert got.columns == ["doc_id", "token_ids", "decoded"]
+    assert got.orderBy("doc_id").collect() == codec.round_trip(df).drop("text").orderBy("doc_id").collect()
