@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.pretoken import Remembered, encoded
-from quire.llm.workspace import schema_with, slices, with_columns
+from quire.llm.workspace import give_back, schema_with, slices, with_columns
 
 #: Pre-tokens that a worker remembers the ids of, about 30 bytes each.
 REMEMBERED = 500_000
@@ -186,6 +186,7 @@ class ByteBPE:
         kept = df if keep else df.drop(column)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()  # what the worker's last task had is gone by now
             codec = broadcast.value
             for batch in slices(batches, column, SLICE):
                 given, found, new = batch.column(column).to_pylist(), None, {}

@@ -65,10 +65,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20)
         cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Free memory goes back to the system: a worker lives on after its task, beside others and the JVM."""
     pa.default_memory_pool().release_unused()
     if hasattr(_libc, "malloc_trim"):
