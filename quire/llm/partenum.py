@@ -30,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.workspace import discard, lookup, materialize, schema_with, slices, small_enough, with_columns
+from quire.llm.workspace import BROADCAST_ROWS, discard, gathered, lookup, materialize, schema_with, slices, small_enough, with_columns
 
 WORDS = 5
 PERCENT = 80
@@ -50,6 +50,8 @@ HOT_SHARE = 1000
 BEFORE = 16
 #: Sets that one task compares with a pivot, about.
 MEMBERS = 500
+#: Pairs, or rows of some 300 bytes, that may be broadcast.
+FEW_PAIRS = 20_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
@@ -276,10 +278,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield close(sig, cls, True)[0]
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts, (class, text), of classes given as (class, id, place)."""
+def _few(df: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if it is small."""
+    return F.broadcast(df) if small_enough(df) else df
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+    """The texts, (class, text), of classes given as (class, id, place); `few` if these may be broadcast."""
     wanted = wanted.select("class", F.col("id").alias("__id"), F.col("place").alias("__place"))
-    if small_enough(wanted):
+    if few:
         wanted = F.broadcast(wanted)
     return docs.join(wanted, (F.col("place") == F.col("__place")) & F.col("id").eqNullSafe(F.col("__id"))).select("class", "text")
 
@@ -336,7 +343,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = F.min(F.struct(F.col("id").isNull(), "id", "place", "copies")).alias("one")
     kept = found.filter("label is not null").groupBy("label").agg(first).select("one.id", "one.place", "one.copies")
     kept = kept.unionByName(found.filter("label is null").select("id", "place", F.lit(1).cast("long").alias("copies")))
-    kept = materialize(kept.select(F.col("id").alias("__id"), F.col("place").alias("__place"), F.col("copies").alias("__copies")), "kept")
+    kept = _stored(kept.select(F.col("id").alias("__id"), F.col("place").alias("__place"), F.col("copies").alias("__copies")), "kept")
     placed = df.withColumn("__at", F.xxhash64(text_col))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__place"))
     once = placed.join(kept.filter("__copies = 1"), same, "left_semi")
@@ -351,51 +358,54 @@ def _components_of_rows(df: DataFrame, id_col: str, text_col: str, n: int, perce
     rows = materialize(document_classes(docs, n), "classes")
     one = F.min(F.struct("place", "id"))  # the row whose text stands for the class
     groups = rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("least"), one.alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("print").alias("print"), *[F.first(s).alias(s) for s in SKETCH], F.count("*").alias("members"))
-    classes = materialize(groups.select("class", "least", "one.id", "one.place", "n_shingles", "print", *SKETCH, "members"), "class_groups")
+    classes = _stored(groups.select("class", "least", "one.id", "one.place", "n_shingles", "print", *SKETCH, "members"), "class_groups")
     rows = rows.select("id", "place", "class", "n_shingles")
 
     dealt = signature_rows(docs.select("id", "text"), n, percent).repartition("sig").sortWithinPartitions("sig", "class")
-    met = materialize(dealt.mapInArrow(_meet, "crowded boolean, x long, y long"), "candidates")
-    pairs = met.filter("not crowded").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    met = materialize(gathered(dealt).mapInArrow(_meet, "crowded boolean, x long, y long"), "candidates")
+    pairs = met.filter("not crowded").select(F.col("x").alias("a"), F.col("y").alias("b"))
     crowded = met.filter("crowded").select(F.col("x").alias("sig"), F.col("y").alias("class"))
 
     # sets with more crowded signatures than the slack of the smallest set that they may link with
     often = crowded.groupBy("class").agg(F.count("*").alias("n")).join(classes.select("class", "n_shingles"), "class")
     often = often.filter(f"n > 2 + floor(ceil({percent} * n_shingles / 100) / 25)").select("class")
-    open_rows = materialize(crowded.join(often, "class"), "crowded")
+    open_rows = _stored(crowded.join(often, "class"), "crowded")
 
     # first round: each set against the smallest that it shares an uncrowded signature or a crowd with
     pivots = open_rows.groupBy("sig").agg(F.min("class").alias("a"))
     first = open_rows.join(pivots, "sig").filter("a <> class").select("a", F.col("class").alias("b"))
-    pairs = _plausible(pairs, classes, percent)
-    first = pairs.unionByName(_plausible(first.distinct(), classes, percent)).groupBy("b").agg(F.min("a").alias("a"))
-    links = _verify(docs, classes, materialize(first.select("a", "b"), "first"), n, percent)
-    labels = materialize(components(links), "labels")
+    pairs = _plausible(pairs.unionByName(first).distinct(), classes, percent)
+    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    links = _verify(docs, classes, _stored(first.select("a", "b"), "first"), n, percent)
+    labels = _stored(components(links), "labels")
 
     # second: all other pairs that share an uncrowded signature, or a rare shingle in crowds that are not yet one component
     open_rows = _renew(_divided(open_rows, labels), "crowded", open_rows)
     rest = _apart(pairs, labels)
-    if not open_rows.isEmpty():
+    if not (done := open_rows.isEmpty()):
         alike, rare = _by_rare_shingles(docs, classes, open_rows, n, percent)
         rest = rest.unionByName(_plausible(alike, classes, percent)).distinct()
-        info = classes.select("class", "n_shingles", *SKETCH).join(rare, "class")
-        open_rows = _renew(open_rows.select("sig", "class").join(info.filter(f"{percent} * rare <= {100 - percent} * (n_shingles - rare)"), "class"), "crowded", open_rows)
-    labels = _contracted(docs, classes, rest, labels, n, percent)
+        info = classes.select("class", "n_shingles", *SKETCH).join(_few(rare), "class")
+        members = open_rows.select("sig", "class").join(info.filter(f"{percent} * rare <= {100 - percent} * (n_shingles - rare)"), "class")
+        open_rows = _renew(_with_earlier(members), "crowded", open_rows)
+    labels = _contracted(docs, classes, _stored(rest, "rest"), labels, n, percent)
 
     # then what is made of frequent shingles: a crowd that is still in several components is held against some of its
     # members as pivots, which then leave it, and against many more of them each time
     count = 16
-    open_rows = _renew(_with_earlier(open_rows), "crowded", open_rows)
-    while not open_rows.isEmpty():
+    while not done:
         open_rows = _renew(_divided(open_rows, labels), "crowded", open_rows)
-        chosen = materialize(_pivots(open_rows, count, percent), "pivots")
+        chosen = _stored(_pivots(open_rows, count, percent), "pivots")
         if chosen.isEmpty():
             break
-        near = open_rows.join(F.broadcast(chosen) if small_enough(chosen) else chosen, "sig").filter(_near_by_shape(percent)).filter("not arrays_overlap(earlier, a.earlier)")
+        near = open_rows.join(F.broadcast(chosen) if small_enough(chosen, FEW_PAIRS) else chosen, "sig").filter(_near_by_shape(percent)).filter("not arrays_overlap(earlier, a.earlier)")
         edges = near.select(F.least("a.class", "class").alias("a"), F.greatest("a.class", "class").alias("b")).distinct()
         labels = _contracted(docs, classes, _plausible(edges, classes, percent), labels, n, percent)
-        left = open_rows.join(chosen.select("sig", F.col("a.class").alias("class")), ["sig", "class"], "left_anti").drop("label")
-        open_rows = _renew(left, "crowded", open_rows)
+        # a crowd of which all were pivots is through
+        left = open_rows.filter(f"size > {count}").drop("label", "size")
+        done = left.isEmpty()
+        if not done:
+            open_rows = _renew(left.join(chosen.select("sig", F.col("a.class").alias("class")), ["sig", "class"], "left_anti"), "crowded", open_rows)
         discard(chosen)
         count *= 64
 
@@ -409,18 +419,22 @@ def _components_of_rows(df: DataFrame, id_col: str, text_col: str, n: int, perce
     return lookup(rows, table.drop("members"), "class", hot=hot.drop("members")).select("id", "place", "n_shingles", "label", "lowest")
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    return materialize(gathered(df), name)
+
+
 def _renew(df: DataFrame, name: str, old: DataFrame) -> DataFrame:
     """df as a table, which takes the place of the one that it was made of."""
-    new = materialize(df, name)
+    new = _stored(df, name)
     discard(old)
     return new
 
 
 def _divided(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (sig, class, ...) whose signature still has several components, with their labels."""
-    labelled = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    mixed = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    return labelled.join(mixed.select("sig"), "sig", "left_semi")
+    """The rows (sig, class, ...) whose signature still has several components, with their labels and its number of rows."""
+    labelled = rows.join(_few(labels).withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    mixed = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low <> high")
+    return labelled.join(mixed.select("sig", "size"), "sig")
 
 
 def _by_rare_shingles(docs: DataFrame, classes: DataFrame, open_rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -429,19 +443,18 @@ def _by_rare_shingles(docs: DataFrame, classes: DataFrame, open_rows: DataFrame,
 
     Of two sets with r and q rare ones, c of them in both, and f and g others, r + q - 2c + |f - g| features differ at
     least. Two sets without a common rare shingle (c = 0) are left to the frequent ones."""
-    members = materialize(open_rows.select("class", "label").distinct().join(classes.select("class", "id", "place", "n_shingles"), "class"), "open")
-    few = lambda df: F.broadcast(df) if small_enough(df) else df
-    found = materialize(_texts_of(docs, members).mapInArrow(_features(n), "class long, feature long"), "features")
+    members = _stored(open_rows.select("class", "label").distinct().join(classes.select("class", "id", "place", "n_shingles"), "class"), "open")
+    found = materialize(_texts_of(docs, members, small_enough(members)).mapInArrow(_features(n), "class long, feature long"), "features")
     common = found.groupBy("feature").agg(F.count("*").alias("sets")).filter(f"sets <= {RARE}").select("feature")
-    mine = found.join(common, "feature").join(few(members.select("class", "label", "n_shingles")), "class")
+    mine = found.join(common, "feature").join(_few(members.select("class", "label", "n_shingles")), "class")
     mine = _renew(mine, "rare", found)
     rare = members.select("class").join(mine.groupBy("class").agg(F.count("*").alias("rare")), "class", "left").select("class", F.coalesce("rare", F.lit(0)).alias("rare"))
-    rare = materialize(rare, "rare_counts")
+    rare = _stored(rare, "rare_counts")
     x, y = (mine.select("feature", F.col("class").alias(c), F.col("label").alias(f"l_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
     met = x.join(y, "feature").filter(f"a < b and l_a <> l_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     met = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"))
     for c in "ab":
-        met = met.join(few(rare.select(F.col("class").alias(c), F.col("rare").alias(f"r_{c}"))), c)
+        met = met.join(_few(rare.select(F.col("class").alias(c), F.col("rare").alias(f"r_{c}"))), c)
     differ = "r_a + r_b - 2 * c + abs(n_a - r_a - n_b + r_b)"
     return met.filter(f"({differ}) * {100 + percent} <= (n_a + n_b) * {100 - percent}").select("a", "b"), rare
 
@@ -470,9 +483,12 @@ def _with_earlier(rows: DataFrame) -> DataFrame:
 
 def _pivots(rows: DataFrame, count: int, percent: int) -> DataFrame:
     """`count` members of each signature, the smallest in each of as many slices, of those that can be the one with the
-    fewer rare shingles of a pair (an eighth of its own at 80 per cent)."""
+    fewer rare shingles of a pair (an eighth of its own at 80 per cent); all such ones where its `size` is no more."""
     light = rows.filter(f"2 * {percent} * rare <= {100 - percent} * n_shingles")
-    best = light.groupBy("sig", F.pmod(F.xxhash64("class"), F.lit(count)).alias("slice")).agg(F.min(F.struct("class", "label", "n_shingles", "rare", *SKETCH, "earlier")).alias("a"))
+    of = F.pmod(F.xxhash64("class"), F.lit(count))
+    if "size" in rows.columns:
+        of = F.when(F.col("size") <= count, F.col("class")).otherwise(of)
+    best = light.groupBy("sig", of.alias("slice")).agg(F.min(F.struct("class", "label", "n_shingles", "rare", *SKETCH, "earlier")).alias("a"))
     return best.select("sig", "a")
 
 
@@ -484,22 +500,22 @@ def _near_by_shape(percent: int) -> str:
 
 
 def _contracted(docs: DataFrame, classes: DataFrame, pairs: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame:
-    """Labels after those of the pairs that link. Only components that a link joins are looked at again."""
-    pairs = materialize(pairs, "pairs")
+    """Labels after those of stored pairs that link. Only components that a link joins are looked at again."""
     if pairs.isEmpty():
         return labels
     links = _verify(docs, classes, pairs, n, percent)
     discard(pairs)
-    joined = materialize(_labelled(links, labels).filter("l_a <> l_b").select(F.col("l_a").alias("a"), F.col("l_b").alias("b")).distinct(), "joined")
+    joined = _stored(_labelled(links, labels).filter("l_a <> l_b").select(F.col("l_a").alias("a"), F.col("l_b").alias("b")).distinct(), "joined")
     if joined.isEmpty():
         return labels
-    new = components(joined)
-    moved = labels.join(F.broadcast(new) if small_enough(new) else new, labels["label"] == new["node"], "left").select(labels["node"], F.coalesce(new["label"], labels["label"]).alias("label"))
-    return _renew(moved.unionByName(new.join(labels.select("node"), "node", "left_anti")), "labels", labels)
+    new = _stored(components(joined), "moved")
+    moved = labels.join(_few(new), labels["label"] == new["node"], "left").select(labels["node"], F.coalesce(new["label"], labels["label"]).alias("label"))
+    return _renew(moved.unionByName(new.join(_few(labels).select("node"), "node", "left_anti")), "labels", labels)
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) with l_a and l_b, the components of both; a class without a label is one by itself."""
+    labels = _few(labels)
     for c in "ab":
         pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}")), c, "left").withColumn(f"l_{c}", F.coalesce(f"l_{c}", c))
     return pairs
@@ -507,15 +523,24 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes, sketches and prints allow a link."""
-    shapes = classes.select("class", "n_shingles", *SKETCH)
-    left, right = (shapes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n_{c}"), *[F.col(s).alias(f"{s}_{c}") for s in SKETCH]) for c in "ab")
+    pairs = _stored(pairs, "met")
+
+    def shape(c: str, *more: Column) -> DataFrame:
+        return classes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n_{c}"), *[F.col(s).alias(f"{s}_{c}") for s in SKETCH], *more)
+
     apart = " + ".join(f"bit_count({s}_a ^ {s}_b)" for s in SKETCH)
     sized = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and ({apart}) * {100 + percent} <= (n_a + n_b) * {100 - percent}"
-    near = materialize(pairs.join(left, "a").join(right, "b").filter(sized).select("a", "b", "n_a", "n_b"), "near")
-    few = F.broadcast(near) if small_enough(near) else near
-    prints = classes.select(F.col("class").alias("c"), "print")
-    x = few.join(prints, F.col("a") == F.col("c")).select("a", "b", "n_a", "n_b", F.col("print").alias("x"))
-    y = few.join(prints, F.col("b") == F.col("c")).select("a", "b", F.col("print").alias("y"))
+    if small_enough(pairs, FEW_PAIRS):  # the classes need not be shuffled
+        x = F.broadcast(pairs).join(shape("a", F.col("print").alias("x")), "a")
+        y = F.broadcast(pairs).join(shape("b", F.col("print").alias("y")), "b")
+        both = x.join(y, ["a", "b"]).filter(sized)
+    else:
+        near = _stored(pairs.join(shape("a"), "a").join(shape("b"), "b").filter(sized).select("a", "b", "n_a", "n_b"), "near")
+        few = _few(near)
+        prints = classes.select(F.col("class").alias("c"), "print")
+        x = few.join(prints, F.col("a") == F.col("c")).select("a", "b", "n_a", "n_b", F.col("print").alias("x"))
+        y = few.join(prints, F.col("b") == F.col("c")).select("a", "b", F.col("print").alias("y"))
+        both = x.join(y, ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -523,7 +548,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             near = [cells_apart(p, q) <= d for p, q, d in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), most)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return materialize(x.join(y, ["a", "b"]).mapInArrow(run, "a long, b long"), "pairs")
+    return materialize(gathered(both.select("a", "b", "n_a", "n_b", "x", "y")).mapInArrow(run, "a long, b long"), "pairs")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -537,11 +562,14 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, perce
     The text of b goes to its pivot a, that of a once to each part of the group that is made for it; a pivot
     with many members has its group in parts of about MEMBERS. Only texts are moved, which shrink well in a shuffle.
     """
+    few = small_enough(pairs, BROADCAST_ROWS // 2)  # of stored pairs, of which two deliveries each are made at most
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
-    members = pairs.join(sizes, "a").select(F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("class"))
+    members = pairs.join(F.broadcast(sizes) if few else sizes, "a").select(F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("class"))
     own = sizes.select(F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("class"))
-    deliveries = materialize(members.unionByName(own), "deliveries")
-    texts = _texts_of(docs, classes.select("class", "id", "place").join(deliveries.select("class").distinct(), "class"))
-    sent = texts.join(F.broadcast(deliveries) if small_enough(deliveries) else deliveries, "class")
+    deliveries = _stored(members.unionByName(own), "deliveries")
+    named = deliveries.select("class").distinct()
+    wanted = classes.select("class", "id", "place").join(F.broadcast(named) if few else named, "class")
+    texts = _texts_of(docs, wanted, few or small_enough(wanted))
+    sent = texts.join(F.broadcast(deliveries) if few else _few(deliveries), "class")
     grouped = sent.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("class") != F.col("pivot"))
-    return materialize(grouped.select("pivot", "class", "text").mapInArrow(_compare(percent, n), "a long, b long"), "links")
+    return materialize(gathered(grouped.select("pivot", "class", "text")).mapInArrow(_compare(percent, n), "a long, b long"), "links")

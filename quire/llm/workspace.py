@@ -27,6 +27,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """df in four parts for each core at most, without a shuffle. A part has whole partitions, one after the other in their
+    order, so that many small ones are not a task, a worker and a file each."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the folder of a table of `materialize`, after which nothing may read it."""
     files = df.inputFiles()

@@ -111,6 +111,25 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 160)}}
 
 
+def test_few_edges_take_few_jobs_and_give_what_stars_give(spark):
+    rnd = random.Random(5)
+    edges = [(i, i + 1) for i in range(60)] + [(rnd.randrange(-300, 300), rnd.randrange(-300, 300)) for _ in range(150)]
+    table = spark.createDataFrame(edges, "a long, b long").repartition(7).cache()
+    table.count()
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    before = jobs()
+    at_once = {(r.node, r.label) for r in components(table).collect()}
+    assert jobs() - before <= 4
+    assert at_once == {(r.node, r.label) for r in components(table, at_once=10).collect()}
+
+
+def test_a_crowd_of_the_count_gives_all_its_light_members_as_pivots(spark):
+    row = {"n_shingles": 100, "rare": 0, "label": 0, "earlier": [0], **{s: 0 for s in partenum.SKETCH}}
+    rows = spark.createDataFrame([{"sig": s, "class": 7 * c, "size": n} | row for s, n in ((1, 16), (2, 40)) for c in range(n)])
+    got = [r.sig for r in partenum._pivots(rows, 16, 80).collect()]
+    assert got.count(1) == 16 and got.count(2) <= 16
+
+
 def test_prints_never_tell_more_differences_than_there_are():
     rng = np.random.default_rng(4)
     for n, m, both in ((1, 1, 1), (1, 2, 1), (7, 9, 6), (100, 120, 95), (1000, 700, 650), (4000, 3900, 0)):
