@@ -8,6 +8,7 @@ scored by the sum of their calibrated log-odds.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.workspace import materialize, slices
+from quire.llm.workspace import gathered, materialize, slices
 
 #: Labelled rows that the classifiers are fitted on, at most; chosen by a hash.
 MAX_LABELLED = 20_000
@@ -31,6 +32,8 @@ KEEP_FROM = 0.5
 WORD_BUCKETS, VALUE_BUCKETS = 256, 32
 NUMBER_STEPS = 48
 TEXT_FEATURES = 12 + WORD_BUCKETS
+#: Rows that a fit holds as 64-bit numbers at a time.
+BLOCK = 1024
 _SIGNS = "#*$%&|<>"
 
 
@@ -100,15 +103,18 @@ def metadata_features(columns: dict[str, pa.Array], texts: list) -> np.ndarray:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights of a penalised logistic regression, by Newton's method; the last is the constant."""
-    x = np.concatenate((x.astype(np.float64), np.ones((len(x), 1))), 1)
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], penalty)
+    """Weights of a penalised logistic regression, by Newton's method; the last is the constant. Sums are taken over blocks of
+    rows, so that beside x little is held."""
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.full(len(w), penalty)
     ridge[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + ridge * w
-        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(ridge)
+        gradient, curve = ridge * w, np.diag(ridge)
+        for at in range(0, len(x), BLOCK):
+            rows = np.concatenate((x[at : at + BLOCK].astype(np.float64), np.ones((len(x[at : at + BLOCK]), 1))), 1)
+            p, u = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30))), weight[at : at + BLOCK]
+            gradient += rows.T @ (u * (p - y[at : at + BLOCK]))
+            curve += (rows * (u * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ rows
         step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -272,7 +278,7 @@ def choose_by_spark(pool: DataFrame) -> Choose:
         found = pool.mapInArrow(_best(weights, taken, most), "other string, label int, sure double, key long, row long")
         rank = F.row_number().over(Window.partitionBy("other", "label").orderBy(F.desc("sure"), "key", "row"))
         found = found.withColumn("__rank", rank).filter(F.col("__rank") <= max(most)).filter(F.col("__rank") <= F.when(F.col("label") == 1, most[1]).otherwise(most[0]))
-        chosen = materialize(found.select("other", "label", "key", "row"), "chosen")
+        chosen = materialize(gathered(found.select("other", "label", "key", "row")), "chosen")
         features = F.when(F.col("other") == "x", F.col("x")).otherwise(F.col("m")).alias("features")
         got = pool.drop("key").join(F.broadcast(chosen), "row").select("other", "label", "key", "row", features).collect()
         got.sort(key=lambda r: (r.label, r.key, r.row))
@@ -291,6 +297,23 @@ def _matrix(rows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(rows), "<f4").reshape(len(rows), -1)
 
 
+def _brought(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows (label, x, m) of a bounded table as arrays in the order of a hash, brought to the driver a partition at a
+    time: only the arrays are ever held whole."""
+    parts, keys, rows = [], [], labelled.toLocalIterator()
+    while some := list(islice(rows, BLOCK)):
+        parts.append((_matrix([r.x for r in some]), _matrix([r.m for r in some]), np.array([r.label for r in some])))
+        keys += [xxhash.xxh3_64_intdigest(r.x + r.m) for r in some]
+    if not parts:
+        return np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0)
+    order = np.argsort(np.array(keys, np.uint64), kind="stable")
+    out = []
+    for i in range(3):
+        out.append(np.concatenate([part[i] for part in parts])[order])
+        parts = [part[:i] + (None,) + part[i + 1 :] for part in parts]
+    return tuple(out)
+
+
 def _sample(df: DataFrame, key: Column, most: int) -> DataFrame:
     """At most `most` rows, those with the smallest hash; the same ones each time."""
     n = df.count()
@@ -309,15 +332,12 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
     labelled = rows.join(F.broadcast(chosen), id_col)
     one = F.min_by(F.struct("__text", *metadata, "label"), F.struct(F.xxhash64("__text"), F.xxhash64(*metadata))).alias("one")
     labelled = labelled.groupBy(id_col).agg(one).select("one.*")
-    got = materialize(_features(labelled, text, metadata, "label double"), "labelled").collect()
-    y = np.array([r.label for r in got])
+    x, m, y = _brought(materialize(_features(gathered(labelled), text, metadata, "label double"), "labelled"))
     if not len(y) or y.min() == y.max():
         return None
     pool = rows.join(F.broadcast(chosen.select(id_col)), id_col, "left_anti").withColumns({"key": F.col("__order"), "row": F.monotonically_increasing_id()})
     pool = materialize(_features(pool.select("__text", *metadata, "key", "row"), text, metadata, "key long, row long"), "pool")
-    x, m = _matrix([r.x for r in got]), _matrix([r.m for r in got])
-    order = np.argsort([xxhash.xxh3_64_intdigest(r.x + r.m) for r in got], kind="stable")
-    return co_train_by(x[order], m[order], y[order], choose_by_spark(pool))
+    return co_train_by(x, m, y, choose_by_spark(pool))
 
 
 def score(df: DataFrame, model: Views | None, text: str = "text", metadata: tuple[str, ...] = ("source", "lang", "n_chars")) -> DataFrame:

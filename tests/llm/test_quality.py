@@ -1,6 +1,8 @@
 import re
+import tracemalloc
 import zlib
 
+import numpy as np
 from compare import SMALL, assert_same
 from pyspark.sql import functions as F
 
@@ -90,6 +92,20 @@ def test_views_label_for_each_other():
     assert right(both) >= right(alone) - 0.005 and right(both) > 0.93
 
 
+def test_a_fit_holds_little_beside_its_rows():
+    rng = np.random.default_rng(8)
+    x = rng.random((20_000, 100), np.float32)
+    y = (x[:, 0] + 0.3 * rng.standard_normal(len(x)) > 0.5).astype(float)
+    tracemalloc.start()
+    w = cotrain.fit_logistic(x, y, np.ones(len(x)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20  # x as 64-bit numbers is 16 MB
+    rows = np.concatenate((x.astype(np.float64), np.ones((len(x), 1))), 1)
+    gradient = rows.T @ (1 / (1 + np.exp(-rows @ w)) - y) + np.append(w[:-1], 1e-6 * w[-1])
+    assert np.abs(gradient).max() < 1e-3 and w[0] > 3
+
+
 def test_a_round_that_hurts_is_not_kept():
     import numpy as np
 
