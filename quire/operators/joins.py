@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.shared import spread
+
+#: A block of more rows is dealt in parts of about so many; two parts meet at a time.
+PART = 50_000
+#: Pairs that `shared_scores` makes at a time; of one row they may be more.
+PAIRS = 1 << 19
+
 
 def flag_exists(df: DataFrame, other: DataFrame, key: str, name: str) -> DataFrame:
     """Add whether `other` has the row's key. The keys are made distinct before they meet df, so no row is doubled."""
@@ -143,7 +155,8 @@ def candidate_scores(left: DataFrame, right: DataFrame, block: str, rules: list[
 
     keys: arrays of values of a left and a right row, of which a pair with more than the least score has some value in common.
     Then ids, which are unique, meet by equality of block and value, each pair once, and their rows are joined afterwards;
-    without keys, all pairs of a block meet."""
+    without keys, all pairs of a block meet. Pairs are shuffled with their rows; where all rules ask for values in common and both
+    sides are one table, `shared_scores` shuffles rows alone."""
     score = sum((F.when(c, F.lit(points)).otherwise(F.lit(0)) for c, points in rules), F.lit(0))
     only = F.lit(True) if only is None else only
     if not keys:
@@ -156,6 +169,103 @@ def candidate_scores(left: DataFrame, right: DataFrame, block: str, rules: list[
     return met.distinct().join(left.hint("merge"), ids[0]).join(right.drop(block).hint("merge"), ids[1]).withColumn("score", score).filter(F.col("score") > least)
 
 
+def shared_scores(df: DataFrame, key: str, block: list[str], rules: list[tuple[Column, int]], least: int) -> DataFrame:
+    """Pairs (a, b, score) of keys of a block, the smaller one first, with more than the least score.
+
+    rules: arrays of values, and the points of a pair whose rows have some value in common; nulls have nothing in common.
+    Points are above 0, and least is 0 or more. A block's rows are dealt to one task, which finds pairs by their values, scores
+    each once and gives it away: what is shuffled are rows, and no pair. A task holds one block, or two parts of one that has
+    more than PART rows; then each row goes to as many tasks as its block has parts."""
+    if least < 0 or any(points <= 0 for _, points in rules):
+        raise ValueError("a pair without any value in common would count, or a value in common would count against it")
+    points = [p for _, p in rules]
+    rows = df.select(F.col(key).alias("key"), *[F.col(c).alias(f"block_{i}") for i, c in enumerate(block)], *[v.alias(f"rule_{i}") for i, (v, _) in enumerate(rules)])
+    by = [f"block_{i}" for i in range(len(block))]
+    rows = rows.dropna(subset=["key", *by])
+    parts = rows.groupBy(*by).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).filter("parts > 1")
+    rows = rows.join(F.broadcast(parts), by, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # one narrow row to a large block
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.struct(*by, F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    dealt = spread(rows.select(cell.alias("cell"), "key", "part", "other", *[f"rule_{i}" for i in range(len(rules))]), "cell")
+    most = PAIRS
+
+    def meet(cells: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys_a, keys_b, scores in _shared(pa.Table.from_batches(cells), points, least, most):
+            yield pa.record_batch([keys_a, keys_b, pa.array(scores)], names=["a", "b", "score"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return dealt.groupBy("cell").applyInArrow(meet, f"a {kind}, b {kind}, score int")
+
+
+def _shared(rows: pa.Table, points: list[int], least: int, most: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """The pairs of one part's rows, or of the rows of two parts, about `most` at a time."""
+    rows = rows.sort_by([("part", "ascending"), ("key", "ascending")])
+    n, keys, part = rows.num_rows, rows.column("key").combine_chunks(), rows.column("part").to_numpy()
+    alone = bool(part[0] == rows.column("other").to_numpy()[0])
+    cut = int(np.searchsorted(part, part[0], "right"))  # where the other part begins
+    rank = pc.rank(keys, tiebreaker="dense").to_numpy().astype(np.int64)
+    values = [_values(rows.column(f"rule_{i}").combine_chunks(), n) for i in range(len(points))]
+
+    # rules that together give no more than the least score find no pairs; of one value to a row, they are read off those found
+    spare, checked = 0, {}
+    for i in sorted(range(len(points)), key=points.__getitem__):
+        spare += points[i]
+        at, code = values[i]
+        if spare <= least and len(np.unique(at)) == len(at):
+            checked[i] = np.full(n, -1, np.int64)
+            checked[i][at] = code
+
+    # each value of a rule has its rows side by side
+    sizes = [0 if i in checked else int(code.max()) + 1 if len(code) else 0 for i, (_, code) in enumerate(values)]
+    first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    posts = np.sort(np.concatenate([(code + first[i]) * n + at for i, (at, code) in enumerate(values) if i not in checked] or [np.zeros(0, np.int64)]))
+    code, row = np.divmod(posts, n)
+    rule = np.searchsorted(first, code, "right") - 1
+    ends = np.searchsorted(code, code, "right")
+    # a row meets those after it, or those of the other part
+    starts = np.arange(1, len(posts) + 1) if alone else np.where(row < cut, np.searchsorted(posts, code * n + cut), ends)
+
+    order = np.argsort(row, kind="stable")
+    row_of, starts, counts, rule = row[order], starts[order], (ends - starts)[order], rule[order]
+    total = np.concatenate(([0], np.cumsum(counts)))
+    bounds = np.searchsorted(row_of, np.arange(n + 1))  # where a row's values begin
+    made = total[bounds]
+    worth, bits = np.array(points, np.int32), max(1, (len(points) - 1).bit_length())
+    begin = 0
+    while begin < n:
+        end = max(begin + 1, int(np.searchsorted(made, made[begin] + most, "right")) - 1)
+        p, q = bounds[begin], bounds[end]
+        c = counts[p:q]
+        y = row[np.repeat(starts[p:q] - (total[p:q] - total[p]), c) + np.arange(c.sum())]
+        met = ((np.repeat((row_of[p:q] - begin) * n, c) + y) << bits) | np.repeat(rule[p:q], c)
+        if len(met):
+            met.sort()
+            met = met[np.concatenate(([True], met[1:] != met[:-1]))]
+            pair, gained = met >> bits, worth[met & ((1 << bits) - 1)]
+            new = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+            score = np.add.reduceat(gained, new, dtype=np.int32)
+            x, y = np.divmod(pair[new], n)
+            x += begin
+            for i, of in checked.items():
+                score += ((of[x] == of[y]) & (of[x] >= 0)) * worth[i]
+            kept = (score > least) & (rank[x] != rank[y])
+            x, y, score = x[kept], y[kept], score[kept]
+            turned = rank[x] > rank[y]
+            a, b = np.where(turned, y, x), np.where(turned, x, y)
+            if len(a):
+                yield keys.take(pa.array(a)), keys.take(pa.array(b)), score
+        begin = end
+
+
+def _values(lists: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of all values in a column of arrays, and the values' numbers; each once in a row, without nulls."""
+    at, flat = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).dictionary_encode().indices
+    some = flat.is_valid().to_numpy(zero_copy_only=False)
+    both = np.unique(flat.fill_null(0).to_numpy().astype(np.int64)[some] * n + at[some])
+    code, at = np.divmod(both, n)
+    return at, code
+
+
 def range_count(left: DataFrame, right: DataFrame, key: str, position: str, last: int, name: str) -> DataFrame:
     """How many rows of `right` lie at positions 1 to last of each key of left; 0 where there is none."""
     return count_matches(left, right, key, name, F.col(position).between(1, last))

@@ -172,6 +172,39 @@ def test_pairs_meet_by_what_they_must_have_in_common(spark):
     assert of(joins.candidate_scores(left, right, "block", rules, 0, keys, ("i_a", "i_b"), F.col("i_a") < F.col("i_b"))) == [x for x in of(every) if x[0] < x[1]]
 
 
+def test_pairs_are_scored_where_they_are_found(spark, monkeypatch):
+    from quire.operators import joins
+
+    rows = [(k, None if i % 31 == 0 else i % 2, None if i % 13 == 0 else f"t{i % 5}{i % 3}", None if i % 9 == 0 else [i % 6, None, i % 4, i % 6]) for i in range(90) for k in ([i, i] if i == 40 else [None] if i == 41 else [i])]
+    df = spark.createDataFrame(rows, "i long, block long, t string, a array<long>")
+    rules = [(F.array("t"), 100), (F.array(F.substring("t", 1, 2)), 15), (F.col("a"), 20)]
+
+    def score(x, y):
+        t = x[2] is not None and y[2] is not None
+        return 100 * (t and x[2] == y[2]) + 15 * (t and x[2][:2] == y[2][:2]) + 20 * bool((set(x[3] or ()) & set(y[3] or ())) - {None})
+
+    every = sorted((x[0], y[0], score(x, y)) for x in rows for y in rows if None not in (x[0], y[0], x[1]) and x[1] == y[1] and x[0] < y[0])
+    got = lambda least: sorted(map(tuple, joins.shared_scores(df, "i", ["block"], rules, least).collect()))
+    for least in (0, 15, 20, 35, 120):
+        assert got(least) == [x for x in every if x[2] > least]
+    # large blocks in parts, few pairs at a time
+    monkeypatch.setattr(joins, "PART", 7)
+    monkeypatch.setattr(joins, "PAIRS", 10)
+    assert got(15) == [x for x in every if x[2] > 15]
+    with pytest.raises(ValueError, match="without any value"):
+        joins.shared_scores(df, "i", ["block"], rules, -1)
+
+
+def test_candidates_are_not_shuffled_as_pairs(spark):
+    from compare import SMALL, assert_same
+    from quire.plans import all as library
+
+    found = library.QUERIES["candidate_scoring"](spark, SMALL)
+    above = found._jdf.queryExecution().executedPlan().toString().split("InArrow")[0]
+    assert "Exchange" not in above and "Join" not in above
+    assert_same(found, library.ORACLE_SQL["candidate_scoring"], SMALL)
+
+
 def test_series_are_suggested_by_counts_of_prefixes(spark):
     from quire.operators import catalog
 
